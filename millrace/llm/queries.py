@@ -5,20 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, oracles
+from . import mixing, oracles, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repetition rules over every whole text of ``documents``."""
+    return suffix.with_rules(_table(spark, sf_dir, "documents"), keep=F.col("doc_id")).select(F.col("row").alias("doc_id"), "rules.*")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` mixed; a digest of :func:`mixing.mix`."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_repetition_rules": op3_repetition_rules,
     "op10_mix_sources": op10_mix_sources,
 }
 
