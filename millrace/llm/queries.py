@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, oracles, simhash, suffix
+from . import linedup, mixing, oracles, simhash, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without repeated lines: lines that went, lines left and a digest of the text left."""
+    left = linedup.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
+    return left.select("doc_id", F.col("_lost").alias("n_lost"), F.when(F.col("text").isNull(), 0).otherwise(lines).alias("n_left"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` mixed; a digest of :func:`mixing.mix`."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -33,6 +40,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repetition_rules": op3_repetition_rules,
     "op4_simhash_golay": op4_simhash_golay,
+    "op5_fuzzy_lines": op5_fuzzy_lines,
     "op10_mix_sources": op10_mix_sources,
 }
 
