@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linedup, mixing, oracles, simhash, suffix
+from . import linedup, mixing, oracles, simhash, spm, suffix, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,18 @@ def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.col("_lost").alias("n_lost"), F.when(F.col("text").isNull(), 0).otherwise(lines).alias("n_left"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op7_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text of ``documents``."""
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` encoded and decoded again: how many pieces, a digest of their ids, and whether the text came back."""
+    found = spm.encode(_table(spark, sf_dir, "documents"), verify=True)
+    digest = F.xxhash64("pieces").alias("pieces_xxh64")
+    return found.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), F.size(F.array_distinct("pieces")).cast("long").alias("n_distinct_pieces"), digest, F.col("same").alias("round_trip"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` mixed; a digest of :func:`mixing.mix`."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -41,6 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repetition_rules": op3_repetition_rules,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_fuzzy_lines": op5_fuzzy_lines,
+    "op7_viterbi_counts": op7_viterbi_counts,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_mix_sources": op10_mix_sources,
 }
 
