@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linedup, mixing, oracles, simhash, spm, suffix, tokencount
+from . import labelled, linedup, mixing, oracles, simhash, spm, suffix, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.col("_lost").alias("n_lost"), F.when(F.col("text").isNull(), 0).otherwise(lines).alias("n_left"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op6_toxic_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of ``documents``, and how many of its sentences offend."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
+
+
 def op7_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text of ``documents``."""
     return tokencount.token_counts(_table(spark, sf_dir, "documents"))
@@ -53,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repetition_rules": op3_repetition_rules,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_fuzzy_lines": op5_fuzzy_lines,
+    "op6_toxic_noisy_or": op6_toxic_noisy_or,
     "op7_viterbi_counts": op7_viterbi_counts,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mix_sources": op10_mix_sources,
