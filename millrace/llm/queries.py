@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labelled, linedup, mixing, oracles, simhash, spm, suffix, tokencount, toxicity
+from . import labelled, linedup, mixing, oracles, quality, simhash, spm, suffix, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,15 @@ def op7_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of ``documents``."""
+    docs = _table(spark, sf_dir, "documents")
+    vectors = quality.word_vectors(docs)
+    net = quality.fit(docs, _table(spark, sf_dir, "labels"), vectors)
+    found = quality.score(docs, vectors, net)
+    return found.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` encoded and decoded again: how many pieces, a digest of their ids, and whether the text came back."""
     found = spm.encode(_table(spark, sf_dir, "documents"), verify=True)
@@ -63,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fuzzy_lines": op5_fuzzy_lines,
     "op6_toxic_noisy_or": op6_toxic_noisy_or,
     "op7_viterbi_counts": op7_viterbi_counts,
+    "op8_quality_network": op8_quality_network,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mix_sources": op10_mix_sources,
 }
