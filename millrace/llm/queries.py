@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labelled, linedup, mixing, oracles, quality, simhash, spm, suffix, tokencount, toxicity
+from . import ann, labelled, linedup, mixing, oracles, quality, simhash, spm, suffix, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of ``embeddings`` to each row whose vec_id is divisible by 100."""
+    table = _table(spark, sf_dir, "embeddings")
+    return ann.search_all(table, table.where("vec_id % 100 = 0"))
+
+
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repetition rules over every whole text of ``documents``."""
     return suffix.with_rules(_table(spark, sf_dir, "documents"), keep=F.col("doc_id")).select(F.col("row").alias("doc_id"), "rules.*")
@@ -67,6 +73,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_small_world": op1_small_world,
     "op3_repetition_rules": op3_repetition_rules,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_fuzzy_lines": op5_fuzzy_lines,
