@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, labelled, linedup, mixing, oracles, quality, simhash, spm, suffix, tokencount, toxicity
+from . import ann, labelled, linedup, mixing, oracles, pii, quality, simhash, spm, suffix, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op1_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search_all(table, table.where("vec_id % 100 = 0"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with surrogates for personal data."""
+    found = pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_entities").alias("n_entities"), "text")
+
+
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repetition rules over every whole text of ``documents``."""
     return suffix.with_rules(_table(spark, sf_dir, "documents"), keep=F.col("doc_id")).select(F.col("row").alias("doc_id"), "rules.*")
@@ -74,6 +80,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_small_world": op1_small_world,
+    "op2_surrogates": op2_surrogates,
     "op3_repetition_rules": op3_repetition_rules,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_fuzzy_lines": op5_fuzzy_lines,
