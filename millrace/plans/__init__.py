@@ -1 +1,6 @@
-"""Plans of the engine."""
+"""The registered queries: each applies operators of the engine to whole tables."""
+
+from . import metrics, preprocessing, splits  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
