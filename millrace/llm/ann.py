@@ -158,7 +158,12 @@ def build_index(vectors: DataFrame, k: int, shard_points: int = SHARD_POINTS, li
         row = (int(pdf["dim"].iloc[0]), int(pdf["shard"].iloc[0]), len(own), [list(m) for m in pdf["members"]], own.tobytes(), graph.levels.tobytes(), [t.tobytes() for t in graph.tables], graph.entry)
         return pd.DataFrame([row], columns=["dim", "shard", "points", "members", "vectors", "levels", "tables", "entry"])
 
-    return cut(dealt.groupBy("dim", "shard").applyInPandas(build, INDEX), "ann-index")
+    return cut(_spread_out(dealt, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, INDEX), "ann-index")
+
+
+def _spread_out(rows: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by ``keys`` over all shuffle partitions: graphs cost far more than their bytes tell, so tasks are not merged by size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def nearest(queries: DataFrame, index: DataFrame, k: int = 10, width: int = SEARCH_WIDTH, block_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -171,7 +176,9 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 10, width: int = SEAR
         return pd.DataFrame([row], columns=["dim", "block", "ids", "asked"])
 
     blocks = asked.groupBy("dim", "block").applyInPandas(pack, "dim int, block long, ids binary, asked binary")
-    tasks = index.join(blocks, "dim")
+    shards = index.groupBy("dim").agg(F.max("shard").alias("last"))
+    sent = blocks.join(shards, "dim").select("dim", "block", "ids", "asked", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("shard"))
+    tasks = index.join(sent, ["dim", "shard"])
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -186,7 +193,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 10, width: int = SEAR
                 out += [(int(query), m, d) for d, m in found[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = tasks.groupBy("shard", "block", "dim").applyInPandas(look, "query_id long, vec_id long, score double")
+    found = _spread_out(tasks, "shard", "block", "dim").groupBy("shard", "block", "dim").applyInPandas(look, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
