@@ -185,7 +185,9 @@ def pseudonymised(docs: DataFrame, row_id: str = "doc_id", text: str = "text", k
     in id and text are treated alike; an empty table gives an empty result.
     """
     found = cut(mentions(docs, row_id, text), "pii-mentions")
-    entities = found.where("kind <> 'title'").select("kind", "canon").distinct()
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # drawing costs far more than its bytes tell, so its tasks are not merged by size
+    entities = found.where("kind <> 'title'").select("kind", "canon").distinct().repartition(tasks, "kind", "canon")
     named = found.join(surrogates(entities, key), ["kind", "canon"], "left")
     named = named.withColumn("new", _written(F.col("surface"), F.col("kind"), F.col("surrogate")))
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), " ")
