@@ -1,6 +1,6 @@
 """The registered queries: each applies operators of the engine to whole tables."""
 
-from . import expressions, metrics, models, ordered, preprocessing, splits  # noqa: F401
+from . import expressions, metrics, models, ordered, preprocessing, quantize, splits, text  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
