@@ -1,16 +1,15 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-A line (trimmed, lower case) is the set of its character shingles: SHINGLE characters from the start of
-each word, from every SHINGLE-th character inside longer words, and from each character of scripts that
-write no spaces, so that every character lies in a shingle.  Its signature is, for each of q * q masks, the
-least ``hash XOR mask``.  Bands are lines of the affine plane of order q: q values a band, any two bands
+A line (trimmed, lower case) is the set of its character shingles: SHINGLE characters from every position; a
+shorter line is its only shingle.  Its signature is, for each of q * q masks, the least ``hash XOR mask``.  Bands are lines of the affine plane of order q: q values a band, any two bands
 share at most one value, and so many bands come from few values.
 
 In each band bucket all lines are compared with one pivot, its most common line.  Only lines of a bucket
 that are then in different components are still to be compared, and as Jaccard distance is a metric, only
 those whose distances from the pivot, and whose numbers of shingles, allow a link.  Small rests are compared
 within the join on their bucket, so that only links come out of it; large ones meet further pivots first.  Links become components by star contraction; of each
-component the first line stays.
+component the first line stays.  Tables and shuffles carry lines as text, an eighth of their hashed shingles;
+the sets are taken where lines are compared.
 """
 
 from __future__ import annotations
@@ -53,10 +52,15 @@ def planes(order: int = ORDER, classes: int = CLASSES) -> list[list[int]]:
 
 def shingles(line: Column, width: int = SHINGLE) -> Column:
     """The character shingles of a line, in order and with repeats."""
-    pattern = rf"(?s)(?=(\S.{{0,{width - 1}}}))(?:[\x{{0E00}}-\x{{10FFFF}}]|[^\s\x{{0E00}}-\x{{10FFFF}}]{{1,{width}}})\s*"
+    pattern = rf"(?s)(?=(.{{{width}}}|\A.{{1,{width - 1}}}\z))." if width > 1 else "(?s)(.)"
     return F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
 
 
+def shingle_set(line: Column, width: int = SHINGLE) -> Column:
+    """The distinct shingles of a line as hashes of 64 bits."""
+    return F.array_distinct(F.transform(shingles(line, width), lambda g: F.xxhash64(g)))
+
+
 def numbered_lines(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     """(doc_id, text_key, line_no, line): the non-blank lines of all texts, trimmed and in lower case."""
     rows = docs.select(F.col(f"`{row_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("line_no", "line"))
@@ -106,13 +110,15 @@ def _shared(distinct: DataFrame, bands: list[list[int]]) -> DataFrame:
     return banded.join(cut(several, "line-buckets"), "bucket")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(a, b, d): Jaccard distance of each distinct pair of ids."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
+    left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("total")).select("a", "b", (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
+    of_a, of_b = shingle_set(F.col("line_a"), width), shingle_set(F.col("line_b"), width)
+    sizes = both.select("a", "b", F.explode(F.array(F.struct(of_a.alias("a"), of_b.alias("b")))).alias("of"))
+    common, total = F.size(F.array_intersect("of.a", "of.b")), F.size("of.a") + F.size("of.b")
+    return sizes.select("a", "b", common.alias("common"), total.alias("total")).select("a", "b", (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
 
 
 def links(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width: int, threshold: float, crowd: int, pivots: int) -> tuple[DataFrame, DataFrame]:
@@ -121,22 +127,23 @@ def links(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width:
     far = 1 - threshold + 1e-9
     members = cut(_shared(distinct, bands), "line-members")
     named = cut(members.select("id", "key").distinct(), "line-names")
-    own = F.array_distinct(F.transform(shingles(F.col("line"), width), lambda g: F.xxhash64(g)))
     texts = _likely(lines.select(F.xxhash64("line").alias("key"), "line"), named).distinct().join(named, "key")
-    sets = cut(texts.select("id", own.alias("shingles")).withColumn("n", F.size("shingles")).dropDuplicates(["id"]), "line-shingles")
+    texts = cut(texts.select("id", "line").dropDuplicates(["id"]), "line-texts")
     rest = members.select("bucket", "pivot", "id")
     found: list[DataFrame] = []
     for turn in range(pivots):
-        measured = cut(_compared(rest.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")), sets), "line-distances")
+        measured = cut(_compared(rest.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")), texts, width), "line-distances")
         found.append(measured.where(F.col("d") <= far).select("a", "b"))
         graph = cut(components(reduce(DataFrame.unionByName, found)), "line-components")
         far_of = measured.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d")
         known = rest.join(far_of, ["id", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
         known = known.join(graph.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         split = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-        known = cut(known.join(split.select("bucket", "size"), "bucket").join(sets, "id"), "line-rest")
+        known = cut(known.join(split.select("bucket", "size"), "bucket").join(texts, "id"), "line-rest")
         last = turn == pivots - 1
         few = known.where(F.col("d") > 0) if last else known.where((F.col("d") > 0) & (F.col("size") <= crowd))
+        # dealt as text; the sets are taken once a line, behind the shuffle
+        few = few.repartition("bucket").withColumn("shingles", shingle_set(F.col("line"), width)).withColumn("n", F.size("shingles"))
         a = few.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "d", "n", "shingles")])
         b = few.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "d", "n", "shingles")])
         apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))

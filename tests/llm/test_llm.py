@@ -180,6 +180,36 @@ def test_fuzzy_lines(spark):
     assert own  # texts were not empty
 
 
+def test_short_lines_against_brute_force_on_all_shingles(spark):
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(6, 14)))
+    lines = ["short", "shorter", "eightchr", "ninechars"]
+    for g in range(150):
+        words = [word() for _ in range(rng.randrange(8, 15))]
+        lines.append(" ".join(words))
+        at = rng.randrange(len(lines[-1]))
+        lines.append(lines[-1][:at] + "#" + lines[-1][at + 1 :])
+        lines.append(" ".join(words[1:]))
+    lines = list(dict.fromkeys(lines))
+    width, own = linedup.SHINGLE, []
+    for t in lines:
+        own.append({t[i : i + width] for i in range(len(t) - width + 1)} or {t})
+    frame = spark.createDataFrame([(t,) for t in lines], "line string")
+    taken = {r["line"]: r["s"] for r in frame.select("line", linedup.shingles(F.col("line")).alias("s")).collect()}
+    assert all(set(taken[t]) == s for t, s in zip(lines, own))
+    near = {(a, b) for a, b in combinations(range(len(lines)), 2) if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])}
+    assert len(near) > 100
+    distinct = linedup.distinct_lines(frame, linedup.ORDER, width, linedup.SEED)
+    found, named = linedup.links(distinct, frame, linedup.planes(), width, linedup.THRESHOLD, linedup.CROWD, linedup.PIVOTS)
+    keys = {r["key"]: k for k, r in enumerate(frame.select(F.xxhash64("line").alias("key")).collect())}
+    place = {r["id"]: keys[r["key"]] for r in named.collect()}
+    linked = {tuple(sorted((place[r["a"]], place[r["b"]]))) for r in found.collect()}
+    assert linked <= near
+    whole, parts = classes(range(len(lines)), near), classes(range(len(lines)), linked)
+    assert sum(parts[a] == parts[b] for a, b in near) >= 0.98 * len(near)
+    assert all(whole[a] == whole[b] for a, b in linked)
+
+
 def test_lines_of_odd_rows(spark, odd_docs):
     docs = spark.createDataFrame([(2, "Same line here\nother words stand in this one", 1), (1, "same line here \n\nsomething else entirely is said", 2), (None, "same line here", 3)], "doc_id long, text string, component long")
     out = {r["doc_id"]: r["text"] for r in linedup.without_repeats(docs).collect()}
