@@ -4,7 +4,8 @@ One pattern finds e-mail addresses, secrets, network addresses, card and phone n
 texts.  Equal entities of the corpus, written in whatever format, are one row of an entity table and get one
 surrogate, drawn by a keyed digest: digits for digits and letters for letters of the same case and script,
 the same number of them, card numbers with the same check, names of the same gender and script.  A surrogate
-that another entity has, or that is itself an entity of the corpus, is drawn again until all differ.  Each
+that another entity has, or that is itself an entity of the corpus, is drawn again until all differ; names,
+secrets, e-mail and phone numbers grow with the attempts, so their room has no end.  Each
 mention is then written in its own format, so coreference and distinctness survive.
 """
 
@@ -102,13 +103,18 @@ def _byte(stream: Column, k: Column | int) -> Column:
 
 
 def _drawn(value: Column, stream: Column) -> Column:
-    """``value`` with every digit and letter drawn anew, in case and script; a value of hexadecimal digits stays one."""
+    """``value`` with every digit and letter drawn anew, in case and script; a value of hexadecimal digits stays one.
+
+    A value without any digit or letter of these alphabets becomes small letters and digits, as many.
+    """
     alphabets = (("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("[а-я]", "абвгдежзиклмнопрстуфхцчшэюя"), ("[А-Я]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"), ("[Α-Ω]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"))
+    plain = "abcdefghijklmnopqrstuvwxyz0123456789"
+    undrawable = ~value.rlike("|".join(form for form, _ in alphabets))
     hexadecimal = value.rlike(r"^(?=.*[a-f])(?=.*\d)[0-9a-f]{8,}$")
 
     def one(c: Column, k: Column) -> Column:
         b = _byte(stream, k)
-        out = F.when(hexadecimal, F.substring(F.lit("0123456789abcdef"), 1, 16).substr(b % 16 + 1, F.lit(1)))
+        out = F.when(hexadecimal, F.substring(F.lit("0123456789abcdef"), 1, 16).substr(b % 16 + 1, F.lit(1))).when(undrawable, F.lit(plain).substr(b % len(plain) + 1, F.lit(1)))
         for form, letters in alphabets:
             out = out.when(c.rlike(form), F.lit(letters).substr(b % len(letters) + 1, F.lit(1)))
         return out.otherwise(c)
@@ -125,16 +131,17 @@ def _luhn(digits: Column) -> Column:
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The surrogate of an entity at an attempt, in canonical form."""
+    """The surrogate of an entity at an attempt, in canonical form; from attempt 3 on it is longer than the entity where its format allows."""
     stream = _stream(key, kind, canon, attempt)
+    longer = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"), F.lit("longer")), 256).substr(F.lit(1), F.greatest(attempt - 2, F.lit(0)))
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     host = F.regexp_replace(domain, r"\.[^.]*$", "")
-    email = F.concat(_drawn(local, stream), F.lit("@"), _drawn(host, _stream(key, F.lit("domain"), domain, F.lit(0))), F.lit("."), F.substring_index(domain, ".", -1))
+    email = F.concat(_drawn(local, stream), longer, F.lit("@"), _drawn(host, _stream(key, F.lit("domain"), domain, F.lit(0))), F.lit("."), F.substring_index(domain, ".", -1))
     drawn = _drawn(canon, stream)
     body = F.concat(canon.substr(1, 1), drawn.substr(F.lit(2), F.length(canon) - 2))
     check = (_luhn(canon) - _luhn(F.concat(body, F.lit("0"))) + 10) % 10
     card = F.concat(body, check.cast("string"))
-    phone = F.concat(canon.substr(1, 1), drawn.substr(F.lit(2), F.length(canon)))
+    phone = F.concat(canon.substr(1, 1), drawn.substr(F.lit(2), F.length(canon)), F.translate(longer, "abcdef", "012345"))
     ip = F.concat_ws(".", *[(_byte(stream, k) % 254 + 1).cast("string") for k in range(4)])
     out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "access_key", F.concat(F.lit("AKIA"), drawn.substr(F.lit(5), F.lit(16))))
 
@@ -143,10 +150,13 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
 
     for role, endings in _ENDINGS.items():
         for script, words in endings.items():
-            more = F.when(attempt > 1, pick(_MIDDLES[script], 2)).otherwise("")
+            middles = F.array(*[F.lit(w) for w in _MIDDLES[script]])
+            # a further middle for each further attempt
+            rest = F.array_join(F.transform(F.split(longer, ""), lambda c: F.element_at(middles, F.conv(c, 16, 10).cast("int") % len(_MIDDLES[script]) + 1)), "")
+            more = F.when(attempt > 2, F.concat(pick(_MIDDLES[script], 2), rest)).when(attempt > 1, pick(_MIDDLES[script], 2)).otherwise("")
             name = F.lower(F.concat(pick(_STEMS[script], 0), pick(_MIDDLES[script], 1), more, pick(words, 3)))
             out = out.when(kind == f"{role}_{script}", name)
-    return out.otherwise(drawn)
+    return out.otherwise(F.concat(drawn, longer))
 
 
 def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
@@ -173,7 +183,7 @@ def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> Dat
 def _written(surface: Column, kind: Column, value: Column) -> Column:
     """A surrogate in the format of the mention: its separators, or its capitals."""
     gaps, digits = F.split(surface, r"\d", -1), F.concat(F.split(value, ""), F.array(F.lit("")))
-    numbers = F.array_join(F.zip_with(gaps, digits, lambda g, d: F.concat(g, F.coalesce(d, F.lit("")))), "")
+    numbers = F.array_join(F.zip_with(gaps, digits, lambda g, d: F.concat(F.coalesce(g, F.lit("")), F.coalesce(d, F.lit("")))), "")
     capital = F.concat(F.upper(value.substr(1, 1)), value.substr(F.lit(2), F.length(value)))
     return F.when(kind == "title", surface).when(kind.isin("phone", "card"), numbers).when(kind.rlike("^(given|surname)_"), capital).when((kind == "email") & (surface == F.upper(surface)), F.upper(value)).otherwise(value)
 

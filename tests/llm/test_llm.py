@@ -90,6 +90,21 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(out)) == 300 and not set(out) & {n for _, n in names}
 
 
+def test_surrogates_where_a_format_has_no_room(spark):
+    secrets = ["***", "???", "密码密码"] + [str(k) for k in range(10)]
+    rows = [(k, f"password={t}") for k, t in enumerate(secrets)] + [(20, "to _@a.com"), (21, "to -@a.com")]
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(out.values())) == len(rows) and not set(out.values()) & {t for _, t in rows}
+
+
+def test_more_names_than_one_attempt_has(spark, monkeypatch):
+    monkeypatch.setitem(pii._STEMS, "latin", ("Mar",))
+    monkeypatch.setitem(pii._ENDINGS["surname"], "latin", ("son",))
+    names = spark.range(600).select(F.lit("surname_latin").alias("kind"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("canon"))
+    found = pii.surrogates(names).agg(F.count_distinct("surrogate").alias("n"), F.count_distinct("canon").alias("all")).first()
+    assert found["n"] == found["all"] == 600  # a stem, two of 16 middles and an ending give 256 at most
+
+
 # 3
 
 
