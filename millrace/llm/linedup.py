@@ -1,27 +1,30 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 A line (trimmed, lower case) is the set of its character shingles: SHINGLE characters from every position; a
-shorter line is its only shingle.  Its signature is, for each of q * q masks, the least ``hash XOR mask``.  Bands are lines of the affine plane of order q: q values a band, any two bands
-share at most one value, and so many bands come from few values.
-
-In each band bucket all lines are compared with one pivot, its most common line.  Only lines of a bucket
-that are then in different components are still to be compared, and as Jaccard distance is a metric, only
-those whose distances from the pivot, and whose numbers of shingles, allow a link.  Small rests are compared
-within the join on their bucket, so that only links come out of it; large ones meet further pivots first.  Links become components by star contraction; of each
-component the first line stays.  Tables and shuffles carry lines as text, an eighth of their hashed shingles;
-the sets are taken where lines are compared.
+shorter line is its only shingle.  Its signature is, for each of q * q masks, the least ``hash XOR mask``.
+Bands are lines of the affine plane of order q: q values a band, any two bands share at most one value, and so
+many bands come from few values.
+
+Lines are told apart by two hashes of 64 bits, and each distinct line gets a number of its own.  One
+aggregation finds the buckets that several lines share.  Two or three lines are paired at once; in larger
+buckets all are compared with one pivot, the most common line, and only buckets whose lines are then still in
+different components need more: small ones are paired, larger ones are dealt out again by the rarest fifth of
+each line's shingles, of which two lines of Jaccard 0.8 must share one.  Every pair that may be a link is
+verified by the exact Jaccard similarity of the whole shingle sets.  Links become components by star
+contraction; of each component the first line stays.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import cut, discard
+from .scratch import cut, discard, fresh
 
 SHINGLE = 8
 THRESHOLD = 0.8
@@ -29,14 +32,14 @@ THRESHOLD = 0.8
 ORDER = 4
 CLASSES = 3
 SEED = 7
-#: Buckets of which that many lines or fewer are left are compared in pairs; larger ones get another pivot.
-CROWD = 2_000
-#: After so many pivots what is left of a bucket is compared in pairs whatever its size.
-PIVOTS = 4
-
-
-#: Size of the bit sets that keep rows out of shuffles, as a power of two.
-BITS = 22
+#: Split buckets of that many lines or fewer are compared in pairs; larger ones are dealt out by rare shingles.
+CROWD = 200
+#: Shingles hashed for each exploded row of the signature pass.
+STEP = 8
+#: What is cut from the ends of a line.
+BLANK = " \t\r\x0b\f"
+#: Largest size of the bit sets that keep rows out of shuffles, as a power of two.
+BITS = 26
 
 
 def planes(order: int = ORDER, classes: int = CLASSES) -> list[list[int]]:
@@ -50,115 +53,159 @@ def planes(order: int = ORDER, classes: int = CLASSES) -> list[list[int]]:
     return [band for group in slopes[:classes] for band in group]
 
 
-def shingles(line: Column, width: int = SHINGLE) -> Column:
-    """The character shingles of a line, in order and with repeats."""
-    pattern = rf"(?s)(?=(.{{{width}}}|\A.{{1,{width - 1}}}\z))." if width > 1 else "(?s)(.)"
-    return F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
+def _shingle(code: Column, place: Column, width: int) -> Column:
+    """The shingle at a place of a line in UTF-32, four bytes a character."""
+    return F.substring(code, place * 4 + 1, F.lit(width * 4))
+
+
+def _last(code: Column, width: int) -> Column:
+    """The place of the last shingle of a line in UTF-32."""
+    return F.greatest((F.octet_length(code) / 4).cast("int") - width, F.lit(0))
 
 
 def shingle_set(line: Column, width: int = SHINGLE) -> Column:
     """The distinct shingles of a line as hashes of 64 bits."""
-    return F.array_distinct(F.transform(shingles(line, width), lambda g: F.xxhash64(g)))
+    held = F.array(F.encode(line, "UTF-32"))  # encoded once, not at every place
+    return F.transform(held, lambda code: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(code, width)), lambda p: F.xxhash64(_shingle(code, p, width)))))[0]
 
 
 def numbered_lines(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     """(doc_id, text_key, line_no, line): the non-blank lines of all texts, trimmed and in lower case."""
-    rows = docs.select(F.col(f"`{row_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("line_no", "line"))
-    return rows.withColumn("line", F.lower(F.trim("line"))).where("line <> ''")
+    body = F.col(f"`{text}`")
+    rows = docs.select(F.col(f"`{row_id}`").alias("doc_id"), F.xxhash64(body).alias("text_key"), F.posexplode(F.split(F.lower(body), "\n", -1)).alias("line_no", "raw"))
+    rows = rows.select("doc_id", "text_key", "line_no", F.trim("raw").alias("raw"))
+    other = reduce(Column.__or__, [end(F.col("raw"), F.lit(c)) for c in BLANK[1:] for end in (F.startswith, F.endswith)])  # rare, and slow to cut
+    return rows.select("doc_id", "text_key", "line_no", F.when(other, F.trim("raw", F.lit(BLANK))).otherwise(F.col("raw")).alias("line")).where("line <> ''")
+
 
+def _key(line: str = "line") -> Column:
+    return F.xxhash64(line)
 
-def placed_lines(lines: DataFrame, seed: int) -> DataFrame:
-    """The place of each line with two hashes of its text: ``key``, and ``check`` that tells colliding keys apart."""
-    return lines.select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("key"), F.xxhash64(F.lit(seed), F.col("line")).alias("check"))
+
+def _check(seed: int, line: str = "line") -> Column:
+    """A second hash, that tells lines of the same key apart."""
+    return F.xxhash64(F.lit(seed), F.col(line))
 
 
 def distinct_lines(lines: DataFrame, order: int, width: int, seed: int) -> DataFrame:
-    """(id, key, n, v0, v1, ...): one row per line text, with how often it occurs and its signature; one pass over the text.
+    """(id, key, check, n, v0, v1, ...): one written row per line text, with how often it occurs and its signature.
 
     Tasks take the least values of their own lines before anything is shuffled.  The high bits of an id fall
     with how often the line occurs (by powers of two), so that the smallest id of a bucket is a common line,
-    from which its variants are not far; the other 58 bits are of the key.
+    from which its variants are not far; the other bits number the rows.
     """
     rng = random.Random(seed)
     masks = [rng.getrandbits(32) - (1 << 31) for _ in range(order * order)]
-    each = lines.select(F.xxhash64("line").alias("key"), F.posexplode_outer(shingles(F.col("line"), width)).alias("place", "shingle"))
-    each = each.select("key", (F.coalesce("place", F.lit(0)) == 0).cast("long").alias("one"), F.hash("shingle").alias("h"))
+    code = F.col("code")
+    each = lines.select(_key().alias("key"), _check(seed).alias("check"), F.encode("line", "UTF-32").alias("code"))
+    each = each.withColumn("last", _last(code, width))
+    each = each.select("key", "check", "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("place"))
+    hashes = [F.hash(_shingle(code, F.least(F.col("place") + j, F.col("last")), width)).alias(f"h{j}") for j in range(STEP)]
+    each = each.select("key", "check", (F.col("place") == 0).cast("long").alias("one"), *hashes)
     values = [f"v{k}" for k in range(order * order)]
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(v) for v, m in zip(values, masks)]
+    least = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(STEP)])).alias(v) for v, m in zip(values, masks)]
     often = F.least(F.floor(F.log2(F.col("n").cast("double"))), F.lit(31)).cast("int")
-    number = F.shiftleft((F.lit(31) - often).cast("long"), 58).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 58) - 1)))
-    return each.groupBy("key").agg(F.sum("one").alias("n"), *least).select(number.alias("id"), "key", "n", *values)
+    number = F.shiftleft((F.lit(31) - often).cast("long"), 58).bitwiseOR(F.monotonically_increasing_id())
+    found = each.groupBy("key", "check").agg(F.sum("one").alias("n"), *least)
+    return cut(found.select(number.alias("id"), "key", "check", "n", *values), "line-distinct")
 
 
-def _likely(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose ``key`` may be one of ``keys``, and all that are: a set of 2 ** BITS bits, 64 a row.
+def _likely(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is one of ``keys`` and a few others: a broadcast set of bits, 64 a row.
 
-    The set has a fixed size, so it can be broadcast; it only keeps rows out of a shuffle that follows.
+    The set grows with the keys, up to 2 ** BITS bits; beyond, it lets more and at last all rows pass.  It
+    only keeps rows out of a shuffle that follows, and decides nothing.
     """
-    place = F.col("key").bitwiseAND(F.lit((1 << BITS) - 1))
-    word, bit = F.shiftrightunsigned(place, 6), F.expr("shiftleft(1L, CAST(key & 63 AS INT))")
+    power = min(BITS, max(12, math.ceil(math.log2(16 * (keys.count() + 1)))))
+    mixed = F.xxhash64(column)
+    place = mixed.bitwiseAND(F.lit((1 << power) - 1))
+    word, bit = F.shiftrightunsigned(place, 6), F.expr(f"shiftleft(1L, CAST(xxhash64(`{column}`) & 63 AS INT))")
     bits = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     held = rows.join(F.broadcast(bits), word == F.col("_word"))
     return held.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
 
 
-def _shared(distinct: DataFrame, bands: list[list[int]]) -> DataFrame:
-    """(bucket, pivot, id, key): the lines of all buckets that hold several; the pivot is the smallest id."""
-    keys = F.array(*[F.xxhash64(F.lit(n), *[F.col(f"v{k}") for k in band]) for n, band in enumerate(bands)])
-    banded = distinct.select("id", "key", F.explode(keys).alias("bucket"))
-    several = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
-    return banded.join(cut(several, "line-buckets"), "bucket")
-
-
 def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(a, b, d): Jaccard distance of each distinct pair of ids."""
+    """(a, b, n, d): of each distinct pair of ids the shingles of b and the Jaccard distance."""
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-    both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
-    of_a, of_b = shingle_set(F.col("line_a"), width), shingle_set(F.col("line_b"), width)
-    sizes = both.select("a", "b", F.explode(F.array(F.struct(of_a.alias("a"), of_b.alias("b")))).alias("of"))
-    common, total = F.size(F.array_intersect("of.a", "of.b")), F.size("of.a") + F.size("of.b")
-    return sizes.select("a", "b", common.alias("common"), total.alias("total")).select("a", "b", (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
+    both = pairs.select("a", "b").distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    both = both.select("a", "b", shingle_set(F.col("line_a"), width).alias("of_a"), shingle_set(F.col("line_b"), width).alias("of_b"))
+    common, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
+    both = both.select("a", "b", F.size("of_b").alias("n"), common.alias("common"), total.alias("total"))
+    return both.select("a", "b", "n", (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
+
 
+def _split(members: DataFrame, measured: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """(bucket, id, component, n, d, size): the members, but for pivots and their equals, of buckets whose lines are in several components."""
+    graph = components(reduce(DataFrame.unionByName, found)).withColumnRenamed("node", "id")
+    far_of = measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "n", "d")
+    known = members.join(far_of, ["pivot", "id"], "left").join(graph, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = cut(known.select("bucket", "id", "component", "n", "d"), "line-known")
+    split = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    return cut(known.where("d > 0").join(split.select("bucket", "size"), "bucket"), "line-rest")
 
-def links(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width: int, threshold: float, crowd: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+
+def _paired(rest: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs of a bucket, in different components, whose shingle counts and distances from the pivot allow a link."""
+    a, b = (rest.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "d")]) for side in "ab")
+    apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+    alike = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6) & (F.abs(F.col("d_a") - F.col("d_b")) <= 1 - threshold + 1e-9)
+    return a.join(b.withColumnRenamed("bucket", "bucket_b"), (F.col("bucket") == F.col("bucket_b")) & apart & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+def _by_rare_shingles(rest: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(bucket, pivot, id): the lines of large buckets dealt out by the rarest of their shingles.
+
+    With shingles ordered by how many lines of the bucket hold them, two sets of similarity t share one of
+    the first ``n - ceil(t * n) + 1`` of each, so no link is lost.
+    """
+    each = rest.select("bucket", "id").join(texts, "id").select("bucket", "id", F.explode(shingle_set(F.col("line"), width)).alias("s"))
+    each = cut(each, "line-shingles")
+    holders = each.groupBy("bucket", "s").agg(F.count(F.lit(1)).alias("holders"))
+    order = Window.partitionBy("bucket", "id")
+    ranked = each.join(holders, ["bucket", "s"]).withColumn("n", F.count(F.lit(1)).over(order)).withColumn("place", F.row_number().over(order.orderBy("holders", "s")))
+    dealt = ranked.where((F.col("holders") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-6) + 1)).select(F.xxhash64("bucket", "s").alias("bucket"), "id")
+    dealt = cut(dealt, "line-dealt")
+    pivots = dealt.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
+    return cut(dealt.join(pivots, "bucket").select("bucket", "pivot", "id"), "line-members")
+
+
+def links(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width: int, threshold: float, crowd: int = CROWD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between ids of lines that share a bucket and whose Jaccard similarity reaches ``threshold``,
-    enough of them to connect all that such links connect; and (id, key) of the lines in shared buckets."""
+    enough of them to connect all that such links connect; and (id, key, check) of the lines in shared buckets."""
     far = 1 - threshold + 1e-9
-    members = cut(_shared(distinct, bands), "line-members")
-    named = cut(members.select("id", "key").distinct(), "line-names")
-    texts = _likely(lines.select(F.xxhash64("line").alias("key"), "line"), named).distinct().join(named, "key")
-    texts = cut(texts.select("id", "line").dropDuplicates(["id"]), "line-texts")
-    rest = members.select("bucket", "pivot", "id")
-    found: list[DataFrame] = []
-    for turn in range(pivots):
-        measured = cut(_compared(rest.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")), texts, width), "line-distances")
-        found.append(measured.where(F.col("d") <= far).select("a", "b"))
-        graph = cut(components(reduce(DataFrame.unionByName, found)), "line-components")
-        far_of = measured.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d")
-        known = rest.join(far_of, ["id", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-        known = known.join(graph.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-        known = cut(known.join(split.select("bucket", "size"), "bucket").join(texts, "id"), "line-rest")
-        last = turn == pivots - 1
-        few = known.where(F.col("d") > 0) if last else known.where((F.col("d") > 0) & (F.col("size") <= crowd))
-        # dealt as text; the sets are taken once a line, behind the shuffle
-        few = few.repartition("bucket").withColumn("shingles", shingle_set(F.col("line"), width)).withColumn("n", F.size("shingles"))
-        a = few.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "d", "n", "shingles")])
-        b = few.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "d", "n", "shingles")])
-        apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-        alike = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6) & (F.abs(F.col("d_a") - F.col("d_b")) <= far)
-        common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        close = (1 + threshold) * common >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6
-        pairs = a.join(b, (a["bucket"] == b["bucket"]) & apart & alike & close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        found.append(cut(pairs.distinct(), "line-links"))
-        many = known.where(F.col("size") > crowd) if not last else known.limit(0)
-        if last or many.isEmpty():
-            break
-        # the next pivot is a line that the last one is not linked to; what lies near the last one only leaves
-        away = many.where((F.col("d") > far) & (F.col("component") != F.col("pivot"))).groupBy("bucket").agg(F.min("id").alias("next"), F.min("d").alias("nearest"))
-        rest = many.join(away, "bucket").where((F.col("d") > 0) & (F.col("d") >= F.col("nearest") - far))
-        rest = cut(rest.select("bucket", F.col("next").alias("pivot"), "id"), "line-rest")
+    keys = F.array(*[F.xxhash64(F.lit(n), *[F.col(f"v{k}") for k in band]) for n, band in enumerate(bands)])
+    banded = distinct.select("id", F.explode(keys).alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("all")).where("size > 1")
+    shared = cut(shared, "line-buckets")
+    middle = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    low, high = F.col("low"), F.col("high")
+    three = F.when(F.col("size") == 3, F.array(pair(low, high), pair(low, middle), pair(middle, high))).otherwise(F.array(pair(low, high)))
+    direct = shared.where("size <= 3").select(F.explode(three).alias("p")).select("p.a", "p.b")
+    crowded = shared.where("size > 3").select("bucket", F.col("low").alias("pivot"))
+    members = cut(_likely(banded, crowded, "bucket").join(crowded.hint("merge"), "bucket").select("bucket", "pivot", "id"), "line-members")
+    pairs = cut(direct.unionByName(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))).distinct(), "line-pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    named = cut(_likely(distinct.select("id", "key", "check"), cut(ids, "line-ids"), "id").join(ids, "id", "left_semi"), "line-names")
+    texts = _likely(lines.select(_key().alias("key"), "line"), named, "key").select("key", _check(seed).alias("check"), "line").distinct()
+    texts = cut(texts.join(named.hint("merge"), ["key", "check"]).select("id", "line"), "line-texts")
+
+    def near(measured: DataFrame) -> DataFrame:
+        return measured.where(F.col("d") <= far).select("a", "b")
+
+    measured = cut(_compared(pairs, texts, width), "line-distances")
+    found = [near(measured)]
+    rest = _split(members, measured, found)
+    found.append(cut(near(_compared(_paired(rest.where(F.col("size") <= crowd), threshold), texts, width)), "line-links"))
+    many = rest.where(F.col("size") > crowd)
+    if not many.isEmpty():
+        members = _by_rare_shingles(many, texts, width, threshold)
+        measured = cut(_compared(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), texts, width), "line-distances")
+        found.append(near(measured))
+        found.append(cut(near(_compared(_paired(_split(members, measured, found), threshold), texts, width)), "line-links"))
+    discard(texts)
     return reduce(DataFrame.unionByName, found), named
 
 
@@ -172,51 +219,47 @@ def repeated_lines(
     order: int = ORDER,
     classes: int = CLASSES,
     crowd: int = CROWD,
-    pivots: int = PIVOTS,
     seed: int = SEED,
 ) -> DataFrame:
-    """(doc_id, text_key, line_no, component, first): the lines that may have a like one, their component, and whether they stay.
+    """(doc_id, text_key, line_no): every line but the first of its component.
 
-    The line that stays is the first by doc_id (null first) and line number; rows that agree in id and text
-    are treated alike.  Equal lines share a component whatever their length.  Lines that are left out stay.
+    The line that stays is the first by doc_id (null first) and line number, then by a hash of its text; rows
+    that agree in id and text are treated alike.  Equal lines share a component whatever their length.
     """
     lines = numbered_lines(docs, row_id, text)
-    distinct = cut(distinct_lines(lines, order, width, seed), "line-distinct")
-    _let_go(docs)
-    found, named = links(distinct, lines, planes(order, classes), width, threshold, crowd, pivots)
-    graph = cut(components(found).join(named.withColumnRenamed("id", "node"), "node").select("key", "component"), "line-graph")
-    _let_go(docs)
-    several = distinct.where("n > 1").select("key").unionByName(graph.select("key"))
-    placed = _likely(placed_lines(lines, seed), several).join(graph, "key", "left")
-    group = [F.coalesce("component", "key").alias("component"), F.when(F.col("component").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check")]
-    placed = cut(placed.select("doc_id", "text_key", "line_no", *group), "line-groups")
+    distinct = distinct_lines(lines, order, width, seed)
+    found, named = links(distinct, lines, planes(order, classes), width, threshold, crowd, seed)
+    graph = cut(components(found).withColumnRenamed("node", "id").join(named, "id").select("key", "check", "component"), "line-graph")
+    several = cut(distinct.where("n > 1").select("key").unionByName(graph.select("key")).distinct(), "line-several")
     discard(distinct)
-    heads = placed.groupBy("component", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = placed.join(heads, ["component", "check"], "left")
-    stays = F.col("n").isNull() | (F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.line_no") == F.col("line_no")))
-    return found.select("doc_id", "text_key", "line_no", "component", stays.alias("first"))
-
-
-def _let_go(df: DataFrame) -> None:
-    """Have Spark delete the shuffle files of finished steps, which it does once the driver has collected its garbage."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
-def without_repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text", counts: bool = False, **options) -> DataFrame:
+    placed = _likely(lines.select("doc_id", "text_key", "line_no", "line", _key().alias("key")), several, "key")
+    placed = cut(placed.select("doc_id", "text_key", "line_no", "key", _check(seed).alias("check")), "line-places")
+    # the first place of each line, then of each component: no join meets all places of a common line
+    first = placed.groupBy("key", "check").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("head"))
+    first = cut(first.join(graph, ["key", "check"], "left").select("component", "head"), "line-firsts")
+    heads = first.where("component IS NULL").select("head.*").unionByName(first.where("component IS NOT NULL").groupBy("component").agg(F.min("head").alias("head")).select("head.*"))
+    heads = heads.select(F.col("doc_id").alias("head_doc"), F.col("line_no").alias("head_line"), F.col("text_key").alias("head_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("head_doc")) & (F.col("line_no") == F.col("head_line")) & (F.col("text_key") == F.col("head_key"))
+    return placed.select("doc_id", "text_key", "line_no").distinct().join(heads, same, "left_anti")
+
+
+def without_repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text", lost: str | None = None, **options) -> DataFrame:
     """``docs`` with every repeated line gone but the first of its component; all columns return.
 
     Blank lines stay.  A text that loses lines is its other lines joined by newlines, possibly the empty
-    text; ``n_chars``, where there is one, is set anew.  Null and empty texts return as they are; an empty
-    table gives an empty result.  With ``counts`` a column ``_lost`` says how many lines went.
+    text; ``n_chars``, where there is one, is set anew.  Null and empty texts return as they are; very long
+    texts and lines are taken whole; an empty table gives an empty result; columns of any name may stand
+    beside.  A column named ``lost``, if given, says how many lines went.
     """
-    gone = repeated_lines(docs, row_id, text, **options).where(~F.col("first"))
-    gone = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
-    gone = cut(gone, "lines-gone")
-    _let_go(docs)
-    own = F.col(f"`{row_id}`").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_key"))
-    found = docs.join(gone, own, "left")
-    numbered = F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda line, k: ~F.array_contains(F.col("_gone"), k))
-    less = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(numbered, "\n"))
+    gone, doc, key = fresh(docs, "gone", "doc", "key")
+    repeats = repeated_lines(docs, row_id, text, **options)
+    repeats = repeats.groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(F.collect_set("line_no").alias(gone))
+    repeats = cut(repeats, "lines-gone")
+    body = F.col(f"`{text}`")
+    own = F.col(f"`{row_id}`").eqNullSafe(F.col(doc)) & (F.xxhash64(body) == F.col(key))
+    found = docs.join(repeats.hint("merge"), own, "left")
+    kept = F.filter(F.split(body, "\n", -1), lambda line, k: ~F.array_contains(F.col(gone), k))
+    less = F.when(F.col(gone).isNull(), body).otherwise(F.array_join(kept, "\n"))
     kinds = dict(docs.dtypes)
-    columns = [less.alias(c) if c == text else F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(less)).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*columns, *([F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_lost")] if counts else []))
+    columns = [less.alias(c) if c == text else F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(less)).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return found.select(*columns, *([F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(lost)] if lost else []))

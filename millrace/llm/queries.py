@@ -39,9 +39,9 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without repeated lines: lines that went, lines left and a digest of the text left."""
-    left = linedup.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    left = linedup.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), lost="n_lost")
     lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
-    return left.select("doc_id", F.col("_lost").alias("n_lost"), F.when(F.col("text").isNull(), 0).otherwise(lines).alias("n_left"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return left.select("doc_id", "n_lost", F.when(F.col("text").isNull(), 0).otherwise(lines).alias("n_left"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def op6_toxic_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:

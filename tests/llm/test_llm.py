@@ -195,10 +195,42 @@ def test_fuzzy_lines(spark):
     assert own  # texts were not empty
 
 
+def shingles_of(line, width=linedup.SHINGLE):
+    return {line[i : i + width] for i in range(len(line) - width + 1)} or {line}
+
+
+def near_lines(lines, threshold=0.8):
+    """All pairs of positions whose whole shingle sets reach the threshold, by an index of shingles."""
+    own, holders, near = [shingles_of(t) for t in lines], {}, set()
+    for k, s in enumerate(own):
+        common = {}
+        for g in s:
+            for j in holders.setdefault(g, []):
+                common[j] = common.get(j, 0) + 1
+            holders[g].append(k)
+        near |= {(j, k) for j, n in common.items() if n >= threshold * (len(s) + len(own[j]) - n)}
+    return near
+
+
+def check_links(spark, lines, **options):
+    frame = spark.createDataFrame([(t,) for t in lines], "line string")
+    distinct = linedup.distinct_lines(frame, linedup.ORDER, linedup.SHINGLE, linedup.SEED)
+    found, named = linedup.links(distinct, frame, linedup.planes(), linedup.SHINGLE, linedup.THRESHOLD, **options)
+    keys = {r["key"]: k for k, r in enumerate(frame.select(F.xxhash64("line").alias("key")).collect())}
+    place = {r["id"]: keys[r["key"]] for r in named.collect()}
+    linked = {tuple(sorted((place[r["a"]], place[r["b"]]))) for r in found.collect()}
+    near = near_lines(lines)
+    assert len(near) > 100 and linked <= near
+    parts = classes(range(len(lines)), linked)
+    recall = sum(parts[a] == parts[b] for a, b in near) / len(near)
+    print("recall of links between components", recall)
+    assert recall >= 0.98
+
+
 def test_short_lines_against_brute_force_on_all_shingles(spark):
     rng = random.Random(19)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(6, 14)))
-    lines = ["short", "shorter", "eightchr", "ninechars"]
+    lines = ["short", "shorter", "eightchr", "ninechars", "\U0001f600 beyond the first plane"]
     for g in range(150):
         words = [word() for _ in range(rng.randrange(8, 15))]
         lines.append(" ".join(words))
@@ -206,29 +238,45 @@ def test_short_lines_against_brute_force_on_all_shingles(spark):
         lines.append(lines[-1][:at] + "#" + lines[-1][at + 1 :])
         lines.append(" ".join(words[1:]))
     lines = list(dict.fromkeys(lines))
-    width, own = linedup.SHINGLE, []
-    for t in lines:
-        own.append({t[i : i + width] for i in range(len(t) - width + 1)} or {t})
     frame = spark.createDataFrame([(t,) for t in lines], "line string")
-    taken = {r["line"]: r["s"] for r in frame.select("line", linedup.shingles(F.col("line")).alias("s")).collect()}
-    assert all(set(taken[t]) == s for t, s in zip(lines, own))
-    near = {(a, b) for a, b in combinations(range(len(lines)), 2) if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])}
-    assert len(near) > 100
-    distinct = linedup.distinct_lines(frame, linedup.ORDER, width, linedup.SEED)
-    found, named = linedup.links(distinct, frame, linedup.planes(), width, linedup.THRESHOLD, linedup.CROWD, linedup.PIVOTS)
-    keys = {r["key"]: k for k, r in enumerate(frame.select(F.xxhash64("line").alias("key")).collect())}
-    place = {r["id"]: keys[r["key"]] for r in named.collect()}
-    linked = {tuple(sorted((place[r["a"]], place[r["b"]]))) for r in found.collect()}
-    assert linked <= near
-    whole, parts = classes(range(len(lines)), near), classes(range(len(lines)), linked)
-    assert sum(parts[a] == parts[b] for a, b in near) >= 0.98 * len(near)
-    assert all(whole[a] == whole[b] for a, b in linked)
+    sizes = {r["line"]: r["n"] for r in frame.select("line", F.size(linedup.shingle_set(F.col("line"))).alias("n")).collect()}
+    assert all(sizes[t] == len(shingles_of(t)) for t in lines)
+    check_links(spark, lines)
+
+
+def test_crowded_buckets_against_brute_force(spark):
+    rng = random.Random(23)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    template, lines = " ".join(word(7) for _ in range(12)), []
+    for g in range(60):  # alike, but for the most part below the threshold
+        tail = " ".join(word(6) for _ in range(4))
+        lines += [f"{template} {tail}", f"{template} {tail[:-3]}xyz", f"{template[8:]} {tail}"]
+    check_links(spark, list(dict.fromkeys(lines)), crowd=5)
+
+
+def test_line_dedup_of_documents_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted((r["doc_id"], k, line.lower().strip(linedup.BLANK)) for r in docs.collect() for k, line in enumerate((r["text"] or "").split("\n")))
+    rows = [r for r in rows if r[2]]
+    lines = list(dict.fromkeys(r[2] for r in rows))
+    part = classes(range(len(lines)), near_lines(lines))
+    number, seen, want = {t: k for k, t in enumerate(lines)}, set(), set()
+    for doc, k, line in rows:
+        if part[number[line]] in seen:
+            want.add((doc, k))
+        seen.add(part[number[line]])
+    gone = {(r["doc_id"], r["line_no"]) for r in linedup.repeated_lines(docs).collect()}
+    assert len(want) > 50 and len(gone & want) >= 0.99 * len(want) and len(gone - want) <= 0.01 * len(want)
+    left = {r["doc_id"]: r["n_lost"] for r in QUERIES["op5_fuzzy_lines"](spark, sf_dir).collect()}
+    assert left == {r["doc_id"]: sum(d == r["doc_id"] for d, _ in gone) for r in docs.collect()}
 
 
 def test_lines_of_odd_rows(spark, odd_docs):
-    docs = spark.createDataFrame([(2, "Same line here\nother words stand in this one", 1), (1, "same line here \n\nsomething else entirely is said", 2), (None, "same line here", 3)], "doc_id long, text string, component long")
+    docs = spark.createDataFrame([(2, "Same line here\nother words stand in this one", 1), (1, "same line here \n\nsomething else entirely is said", 2), (None, "\tsame line here\r", 3)], "doc_id long, text string, component long")
     out = {r["doc_id"]: r["text"] for r in linedup.without_repeats(docs).collect()}
-    assert out == {None: "same line here", 1: "\nsomething else entirely is said", 2: "other words stand in this one"}
+    assert out == {None: "\tsame line here\r", 1: "\nsomething else entirely is said", 2: "other words stand in this one"}
+    clash = docs.withColumns({"gone": F.lit("a"), "doc": F.lit("b"), "key": F.lit("c"), "_key": F.lit("d")})
+    assert {r["text"] for r in linedup.without_repeats(clash).where("gone = 'a' AND doc = 'b' AND key = 'c' AND _key = 'd'").collect()} == set(out.values())
     assert linedup.without_repeats(odd_docs).columns == odd_docs.columns and linedup.without_repeats(odd_docs).count() == 7
     assert linedup.without_repeats(odd_docs.limit(0)).count() == 0
 
