@@ -9,9 +9,10 @@ Lines are told apart by two hashes of 64 bits, and each distinct line gets a num
 aggregation finds the buckets that several lines share.  Two or three lines are paired at once; in larger
 buckets all are compared with one pivot, the most common line, and only buckets whose lines are then still in
 different components need more: small ones are paired, larger ones are dealt out again by the rarest fifth of
-each line's shingles, of which two lines of Jaccard 0.8 must share one.  Every pair that may be a link is
-verified by the exact Jaccard similarity of the whole shingle sets.  Links become components by star
-contraction; of each component the first line stays.
+each line's shingles, of which two lines of Jaccard 0.8 must share one.  Pairs whose sketches,
+parities of shingles at hashed places, differ too often cannot be links; all others are verified by the exact
+Jaccard similarity of the whole shingle sets.  Links become components by star contraction; of each component the
+first line stays.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ ORDER = 4
 CLASSES = 3
 SEED = 7
 #: Split buckets of that many lines or fewer are compared in pairs; larger ones are dealt out by rare shingles.
-CROWD = 200
+CROWD = 2_000
+#: Words of 64 bits of a line's sketch.
+WORDS = 16
 #: Shingles hashed for each exploded row of the signature pass.
 STEP = 8
 #: What is cut from the ends of a line.
@@ -63,6 +66,12 @@ def _last(code: Column, width: int) -> Column:
     return F.greatest((F.octet_length(code) / 4).cast("int") - width, F.lit(0))
 
 
+def _placed(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` with ``last`` and, for every STEP places of a shingle in ``code``, a row with the first ``place``."""
+    rows = rows.withColumn("last", _last(F.col("code"), width))
+    return rows.select("*", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("place"))
+
+
 def shingle_set(line: Column, width: int = SHINGLE) -> Column:
     """The distinct shingles of a line as hashes of 64 bits."""
     held = F.array(F.encode(line, "UTF-32"))  # encoded once, not at every place
@@ -98,8 +107,7 @@ def distinct_lines(lines: DataFrame, order: int, width: int, seed: int) -> DataF
     masks = [rng.getrandbits(32) - (1 << 31) for _ in range(order * order)]
     code = F.col("code")
     each = lines.select(_key().alias("key"), _check(seed).alias("check"), F.encode("line", "UTF-32").alias("code"))
-    each = each.withColumn("last", _last(code, width))
-    each = each.select("key", "check", "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("place"))
+    each = _placed(each, width)
     hashes = [F.hash(_shingle(code, F.least(F.col("place") + j, F.col("last")), width)).alias(f"h{j}") for j in range(STEP)]
     each = each.select("key", "check", (F.col("place") == 0).cast("long").alias("one"), *hashes)
     values = [f"v{k}" for k in range(order * order)]
@@ -125,33 +133,66 @@ def _likely(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return held.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(a, b, n, d): of each distinct pair of ids the shingles of b and the Jaccard distance."""
+def _sketches(texts: DataFrame, width: int) -> DataFrame:
+    """(id, n, p0, p1, ...): how many shingles a line has, and the parity of how many fall on each of 64 * WORDS places."""
+    each = texts.select("id", F.explode(shingle_set(F.col("line"), width)).alias("s"))
+    bit, word = F.expr("shiftleft(1L, CAST(s & 63 AS INT))"), F.shiftrightunsigned("s", 6).bitwiseAND(F.lit(WORDS - 1))
+    return each.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(WORDS)])
+
+
+def _may_link(left: str, right: str, threshold: float) -> Column:
+    """Whether the sketches allow a link: every place of odd difference needs a shingle that only one line has."""
+    at = lambda side, c: F.col(f"{side}{c}")
+    odd = reduce(Column.__add__, [F.bit_count(at(left, f"p{k}").bitwiseXOR(at(right, f"p{k}"))) for k in range(WORDS)])
+    fewer, more = F.least(at(left, "n"), at(right, "n")), F.greatest(at(left, "n"), at(right, "n"))
+    return (odd <= (1 - threshold) / (1 + threshold) * (fewer + more) + 1e-6) & (fewer >= threshold * more - 1e-6)
+
+
+def _sided(sketches: DataFrame, side: str) -> DataFrame:
+    return sketches.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sketches.columns if c != "id"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(a, b): the distinct pairs of ids whose whole shingle sets reach the Jaccard similarity ``threshold``."""
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-    both = pairs.select("a", "b").distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     both = both.select("a", "b", shingle_set(F.col("line_a"), width).alias("of_a"), shingle_set(F.col("line_b"), width).alias("of_b"))
     common, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    both = both.select("a", "b", F.size("of_b").alias("n"), common.alias("common"), total.alias("total"))
-    return both.select("a", "b", "n", (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
+    both = both.select("a", "b", common.alias("common"), total.alias("total"))
+    return both.where((1 + threshold) * F.col("common") >= threshold * F.col("total") - 1e-6).select("a", "b")
 
 
-def _split(members: DataFrame, measured: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """(bucket, id, component, n, d, size): the members, but for pivots and their equals, of buckets whose lines are in several components."""
-    graph = components(reduce(DataFrame.unionByName, found)).withColumnRenamed("node", "id")
-    far_of = measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "n", "d")
-    known = members.join(far_of, ["pivot", "id"], "left").join(graph, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    known = cut(known.select("bucket", "id", "component", "n", "d"), "line-known")
+def _near(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(a, b), written: the links among distinct pairs."""
+    held = pairs.join(_sided(sketches, "a").hint("merge"), "a").join(_sided(sketches, "b").hint("merge"), "b")
+    held = cut(held.where(_may_link("a_", "b_", threshold)).select("a", "b"), "line-candidates")
+    return cut(_verified(held, texts, width, threshold), "line-links")
+
+
+def _split(members: DataFrame, graph: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(bucket, id, component, size, sketch): the members of buckets whose lines are in several components."""
+    known = members.join(graph.withColumnRenamed("node", "id"), "id", "left")
+    known = cut(known.select("bucket", "id", F.coalesce("component", "id").alias("component")), "line-known")
     split = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    return cut(known.where("d > 0").join(split.select("bucket", "size"), "bucket"), "line-rest")
+    return cut(known.join(split.select("bucket", "size"), "bucket").join(sketches.hint("merge"), "id"), "line-rest")
 
 
 def _paired(rest: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): the pairs of a bucket, in different components, whose shingle counts and distances from the pivot allow a link."""
-    a, b = (rest.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "d")]) for side in "ab")
-    apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-    alike = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6) & (F.abs(F.col("d_a") - F.col("d_b")) <= 1 - threshold + 1e-9)
-    return a.join(b.withColumnRenamed("bucket", "bucket_b"), (F.col("bucket") == F.col("bucket_b")) & apart & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    """(a, b): the distinct pairs of a bucket that are in different components and whose sketches allow a link."""
+    a, b = (rest.select(*[F.col(c).alias(f"{side}_{c}") for c in rest.columns]) for side in "ab")
+    apart = (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
+    met = a.join(b, (F.col("a_bucket") == F.col("b_bucket")) & apart & _may_link("a_", "b_", threshold))
+    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+def _widened(graph: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, component) after further links (a, b): only links between different components are contracted."""
+    more = more.join(graph.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(graph.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
+    between = components(more.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    old = graph.join(between.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")
+    old = old.select("node", F.coalesce("new", "component").alias("component"))
+    return cut(old.unionByName(between.join(graph, "node", "left_anti")), "line-components")
 
 
 def _by_rare_shingles(rest: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -171,10 +212,11 @@ def _by_rare_shingles(rest: DataFrame, texts: DataFrame, width: int, threshold:
     return cut(dealt.join(pivots, "bucket").select("bucket", "pivot", "id"), "line-members")
 
 
-def links(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width: int, threshold: float, crowd: int = CROWD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between ids of lines that share a bucket and whose Jaccard similarity reaches ``threshold``,
-    enough of them to connect all that such links connect; and (id, key, check) of the lines in shared buckets."""
-    far = 1 - threshold + 1e-9
+def grouped(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width: int, threshold: float, crowd: int = CROWD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of the linked lines' ids, and (id, key, check) of the lines in shared buckets.
+
+    Two lines are linked if they share a bucket and their Jaccard similarity reaches ``threshold``.
+    """
     keys = F.array(*[F.xxhash64(F.lit(n), *[F.col(f"v{k}") for k in band]) for n, band in enumerate(bands)])
     banded = distinct.select("id", F.explode(keys).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("all")).where("size > 1")
@@ -192,21 +234,18 @@ def links(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width:
     texts = _likely(lines.select(_key().alias("key"), "line"), named, "key").select("key", _check(seed).alias("check"), "line").distinct()
     texts = cut(texts.join(named.hint("merge"), ["key", "check"]).select("id", "line"), "line-texts")
 
-    def near(measured: DataFrame) -> DataFrame:
-        return measured.where(F.col("d") <= far).select("a", "b")
-
-    measured = cut(_compared(pairs, texts, width), "line-distances")
-    found = [near(measured)]
-    rest = _split(members, measured, found)
-    found.append(cut(near(_compared(_paired(rest.where(F.col("size") <= crowd), threshold), texts, width)), "line-links"))
-    many = rest.where(F.col("size") > crowd)
+    sketches = cut(_sketches(texts, width), "line-sketches")
+    graph = cut(components(_near(pairs, texts, sketches, width, threshold)), "line-components")
+    rest = _split(members, graph, sketches)
+    graph = _widened(graph, _near(_paired(rest.where(F.col("size") <= crowd), threshold), texts, sketches, width, threshold))
+    many = rest.where(F.col("size") > crowd).select("bucket", "id")
     if not many.isEmpty():
         members = _by_rare_shingles(many, texts, width, threshold)
-        measured = cut(_compared(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), texts, width), "line-distances")
-        found.append(near(measured))
-        found.append(cut(near(_compared(_paired(_split(members, measured, found), threshold), texts, width)), "line-links"))
+        pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        graph = _widened(graph, _near(pairs, texts, sketches, width, threshold))
+        graph = _widened(graph, _near(_paired(_split(members, graph, sketches), threshold), texts, sketches, width, threshold))
     discard(texts)
-    return reduce(DataFrame.unionByName, found), named
+    return graph, named
 
 
 def repeated_lines(
@@ -221,15 +260,15 @@ def repeated_lines(
     crowd: int = CROWD,
     seed: int = SEED,
 ) -> DataFrame:
-    """(doc_id, text_key, line_no): every line but the first of its component.
+    """(doc_id, text_key, line_no): every line but the first of its component, for each row that holds it.
 
     The line that stays is the first by doc_id (null first) and line number, then by a hash of its text; rows
     that agree in id and text are treated alike.  Equal lines share a component whatever their length.
     """
     lines = numbered_lines(docs, row_id, text)
     distinct = distinct_lines(lines, order, width, seed)
-    found, named = links(distinct, lines, planes(order, classes), width, threshold, crowd, seed)
-    graph = cut(components(found).withColumnRenamed("node", "id").join(named, "id").select("key", "check", "component"), "line-graph")
+    graph, named = grouped(distinct, lines, planes(order, classes), width, threshold, crowd, seed)
+    graph = cut(graph.withColumnRenamed("node", "id").join(named, "id").select("key", "check", "component"), "line-graph")
     several = cut(distinct.where("n > 1").select("key").unionByName(graph.select("key")).distinct(), "line-several")
     discard(distinct)
     placed = _likely(lines.select("doc_id", "text_key", "line_no", "line", _key().alias("key")), several, "key")
@@ -240,7 +279,7 @@ def repeated_lines(
     heads = first.where("component IS NULL").select("head.*").unionByName(first.where("component IS NOT NULL").groupBy("component").agg(F.min("head").alias("head")).select("head.*"))
     heads = heads.select(F.col("doc_id").alias("head_doc"), F.col("line_no").alias("head_line"), F.col("text_key").alias("head_key"))
     same = F.col("doc_id").eqNullSafe(F.col("head_doc")) & (F.col("line_no") == F.col("head_line")) & (F.col("text_key") == F.col("head_key"))
-    return placed.select("doc_id", "text_key", "line_no").distinct().join(heads, same, "left_anti")
+    return placed.select("doc_id", "text_key", "line_no").join(heads, same, "left_anti")
 
 
 def without_repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text", lost: str | None = None, **options) -> DataFrame:
@@ -257,7 +296,7 @@ def without_repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     repeats = cut(repeats, "lines-gone")
     body = F.col(f"`{text}`")
     own = F.col(f"`{row_id}`").eqNullSafe(F.col(doc)) & (F.xxhash64(body) == F.col(key))
-    found = docs.join(repeats.hint("merge"), own, "left")
+    found = docs.join(repeats.hint("shuffle_hash"), own, "left")  # texts are dealt, but not sorted
     kept = F.filter(F.split(body, "\n", -1), lambda line, k: ~F.array_contains(F.col(gone), k))
     less = F.when(F.col(gone).isNull(), body).otherwise(F.array_join(kept, "\n"))
     kinds = dict(docs.dtypes)
