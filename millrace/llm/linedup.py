@@ -171,19 +171,26 @@ def _near(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: int, t
 
 
 def _split(members: DataFrame, graph: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(bucket, id, component, size, sketch): the members of buckets whose lines are in several components."""
+    """(bucket, band, low, id, component, size, sketch): the members of buckets whose lines are in several components."""
     known = members.join(graph.withColumnRenamed("node", "id"), "id", "left")
-    known = cut(known.select("bucket", "id", F.coalesce("component", "id").alias("component")), "line-known")
+    known = cut(known.select("bucket", "band", "id", F.coalesce("component", "id").alias("component")), "line-known")
     split = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    return cut(known.join(split.select("bucket", "size"), "bucket").join(sketches.hint("merge"), "id"), "line-rest")
+    return cut(known.join(split.select("bucket", "low", "size"), "bucket").join(sketches.hint("merge"), "id"), "line-rest")
 
 
-def _paired(rest: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): the distinct pairs of a bucket that are in different components and whose sketches allow a link."""
+def _paired(rest: DataFrame, bands: int, threshold: float) -> DataFrame:
+    """(a, b): the distinct pairs of a bucket that are in different components and whose sketches allow a link.
+
+    One side holds what is outside of the component ``low`` of a bucket, often a few lines only.  A pair comes
+    out of the bucket of the first band that it shares; rows without a band are of other groups.
+    """
     a, b = (rest.select(*[F.col(c).alias(f"{side}_{c}") for c in rest.columns]) for side in "ab")
-    apart = (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
-    met = a.join(b, (F.col("a_bucket") == F.col("b_bucket")) & apart & _may_link("a_", "b_", threshold))
-    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    a = a.where("a_low IS NULL OR a_component <> a_low")
+    apart = (F.col("a_component") != F.col("b_component")) & (F.coalesce(F.col("b_component") == F.col("b_low"), F.lit(False)) | (F.col("a_id") < F.col("b_id")))
+    first = F.coalesce(*[F.when(F.col(f"a_k{n}") == F.col(f"b_k{n}"), n) for n in range(bands)])
+    once = F.col("a_band").isNull() | (F.col("a_band") == first)
+    met = a.join(b, (F.col("a_bucket") == F.col("b_bucket")) & apart & once & _may_link("a_", "b_", threshold))
+    return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
 
 def _widened(graph: DataFrame, more: DataFrame) -> DataFrame:
@@ -195,30 +202,30 @@ def _widened(graph: DataFrame, more: DataFrame) -> DataFrame:
     return cut(old.unionByName(between.join(graph, "node", "left_anti")), "line-components")
 
 
-def _by_rare_shingles(rest: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(bucket, pivot, id): the lines of large buckets dealt out by the rarest of their shingles.
+def _by_rare_shingles(ids: DataFrame, texts: DataFrame, sketches: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(bucket, id): lines dealt out by the rarest of their shingles.
 
-    With shingles ordered by how many lines of the bucket hold them, two sets of similarity t share one of
-    the first ``n - ceil(t * n) + 1`` of each, so no link is lost.
+    With shingles ordered by how many of these lines hold them, two sets of similarity t share one of the
+    first ``n - ceil(t * n) + 1`` of each, so no link is lost.  Shingles of one line only come first in this
+    order and are counted, not listed.
     """
-    each = rest.select("bucket", "id").join(texts, "id").select("bucket", "id", F.explode(shingle_set(F.col("line"), width)).alias("s"))
+    each = ids.join(texts, "id").select("id", F.explode(shingle_set(F.col("line"), width)).alias("s"))
     each = cut(each, "line-shingles")
-    holders = each.groupBy("bucket", "s").agg(F.count(F.lit(1)).alias("holders"))
-    order = Window.partitionBy("bucket", "id")
-    ranked = each.join(holders, ["bucket", "s"]).withColumn("n", F.count(F.lit(1)).over(order)).withColumn("place", F.row_number().over(order.orderBy("holders", "s")))
-    dealt = ranked.where((F.col("holders") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-6) + 1)).select(F.xxhash64("bucket", "s").alias("bucket"), "id")
-    dealt = cut(dealt, "line-dealt")
-    pivots = dealt.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
-    return cut(dealt.join(pivots, "bucket").select("bucket", "pivot", "id"), "line-members")
+    holders = each.groupBy("s").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    mine = Window.partitionBy("id")
+    ranked = each.join(holders, "s").withColumn("shared", F.count(F.lit(1)).over(mine)).withColumn("place", F.row_number().over(mine.orderBy("holders", "s")))
+    ranked = ranked.join(sketches.select("id", "n"), "id")
+    return ranked.where(F.col("place") <= F.col("shared") - F.ceil(F.col("n") * threshold - 1e-6) + 1).select(F.col("s").alias("bucket"), "id")
 
 
 def grouped(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width: int, threshold: float, crowd: int = CROWD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(node, component) of the linked lines' ids, and (id, key, check) of the lines in shared buckets.
 
-    Two lines are linked if they share a bucket and their Jaccard similarity reaches ``threshold``.
+    Lines are linked if they share a bucket, or a rare shingle where buckets are large, and their Jaccard
+    similarity reaches ``threshold``.
     """
-    keys = F.array(*[F.xxhash64(F.lit(n), *[F.col(f"v{k}") for k in band]) for n, band in enumerate(bands)])
-    banded = distinct.select("id", F.explode(keys).alias("bucket"))
+    keys = [F.xxhash64(F.lit(n), *[F.col(f"v{k}") for k in band]) for n, band in enumerate(bands)]
+    banded = distinct.select("id", F.posexplode(F.array(*keys)).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("all")).where("size > 1")
     shared = cut(shared, "line-buckets")
     middle = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
@@ -227,23 +234,24 @@ def grouped(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width
     three = F.when(F.col("size") == 3, F.array(pair(low, high), pair(low, middle), pair(middle, high))).otherwise(F.array(pair(low, high)))
     direct = shared.where("size <= 3").select(F.explode(three).alias("p")).select("p.a", "p.b")
     crowded = shared.where("size > 3").select("bucket", F.col("low").alias("pivot"))
-    members = cut(_likely(banded, crowded, "bucket").join(crowded.hint("merge"), "bucket").select("bucket", "pivot", "id"), "line-members")
+    members = cut(_likely(banded, crowded, "bucket").join(crowded.hint("merge"), "bucket").select("bucket", "band", "pivot", "id"), "line-members")
     pairs = cut(direct.unionByName(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))).distinct(), "line-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    named = cut(_likely(distinct.select("id", "key", "check"), cut(ids, "line-ids"), "id").join(ids, "id", "left_semi"), "line-names")
+    named = cut(_likely(distinct.select("id", "key", "check", *[k.alias(f"k{n}") for n, k in enumerate(keys)]), cut(ids, "line-ids"), "id").join(ids, "id", "left_semi"), "line-names")
     texts = _likely(lines.select(_key().alias("key"), "line"), named, "key").select("key", _check(seed).alias("check"), "line").distinct()
-    texts = cut(texts.join(named.hint("merge"), ["key", "check"]).select("id", "line"), "line-texts")
+    texts = cut(texts.join(named.select("id", "key", "check").hint("merge"), ["key", "check"]).select("id", "line"), "line-texts")
 
-    sketches = cut(_sketches(texts, width), "line-sketches")
+    sketches = cut(_sketches(texts, width).join(named.drop("key", "check"), "id"), "line-sketches")
     graph = cut(components(_near(pairs, texts, sketches, width, threshold)), "line-components")
     rest = _split(members, graph, sketches)
-    graph = _widened(graph, _near(_paired(rest.where(F.col("size") <= crowd), threshold), texts, sketches, width, threshold))
-    many = rest.where(F.col("size") > crowd).select("bucket", "id")
+    groups = rest.where(F.col("size") <= crowd)
+    lines_of = ["id", "component", *sketches.columns[1:]]
+    groups = groups.select("bucket", "band", "low", *lines_of)
+    many = cut(rest.where(F.col("size") > crowd).select(*lines_of).dropDuplicates(["id"]), "line-crowds")
     if not many.isEmpty():
-        members = _by_rare_shingles(many, texts, width, threshold)
-        pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        graph = _widened(graph, _near(pairs, texts, sketches, width, threshold))
-        graph = _widened(graph, _near(_paired(_split(members, graph, sketches), threshold), texts, sketches, width, threshold))
+        dealt = _by_rare_shingles(many.select("id"), texts, sketches, width, threshold)
+        groups = groups.unionByName(dealt.join(many, "id").select("bucket", F.lit(None).cast("int").alias("band"), F.lit(None).cast("long").alias("low"), *lines_of))
+    graph = _widened(graph, _near(_paired(groups, len(bands), threshold), texts, sketches, width, threshold))
     discard(texts)
     return graph, named
 
@@ -268,7 +276,7 @@ def repeated_lines(
     lines = numbered_lines(docs, row_id, text)
     distinct = distinct_lines(lines, order, width, seed)
     graph, named = grouped(distinct, lines, planes(order, classes), width, threshold, crowd, seed)
-    graph = cut(graph.withColumnRenamed("node", "id").join(named, "id").select("key", "check", "component"), "line-graph")
+    graph = cut(graph.withColumnRenamed("node", "id").join(named.select("id", "key", "check"), "id").select("key", "check", "component"), "line-graph")
     several = cut(distinct.where("n > 1").select("key").unionByName(graph.select("key")).distinct(), "line-several")
     discard(distinct)
     placed = _likely(lines.select("doc_id", "text_key", "line_no", "line", _key().alias("key")), several, "key")
