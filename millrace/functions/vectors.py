@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, not once an element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def vsum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -16,8 +23,7 @@ def vmean(a: Column) -> Column:
 
 def vvar(a: Column) -> Column:
     """Population variance of the elements."""
-    m = vmean(a)
-    return F.aggregate(F.transform(a, lambda x: (x - m) * (x - m)), F.lit(0.0), lambda acc, x: acc + x) / F.size(a)
+    return _with(vmean(a), lambda m: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / F.size(a))
 
 
 def vstd(a: Column, eps: float = 1e-8) -> Column:
@@ -40,13 +46,12 @@ def norm(a: Column, order: float = 2, eps: float = 0.0) -> Column:
 
 
 def l2_normalize(a: Column, eps: float = 1e-8) -> Column:
-    return F.transform(a, lambda x: x / (norm(a) + eps))
+    return _with(norm(a) + eps, lambda n: F.transform(a, lambda x: x / n))
 
 
 def renorm(a: Column, maxnorm: float = 1.0, order: float = 2) -> Column:
     """A vector scaled down to ``maxnorm`` where its norm is larger."""
-    n = norm(a, order)
-    return F.when(n > maxnorm, F.transform(a, lambda x: x * maxnorm / n)).otherwise(a)
+    return _with(norm(a, order), lambda n: F.when(n > maxnorm, F.transform(a, lambda x: x * maxnorm / n)).otherwise(a))
 
 
 def argmax(a: Column) -> Column:
@@ -59,20 +64,18 @@ def argmin(a: Column) -> Column:
 
 
 def logsumexp(a: Column) -> Column:
-    m = F.array_max(a)
-    return m + F.ln(F.aggregate(F.transform(a, lambda x: F.exp(x - m)), F.lit(0.0), lambda acc, x: acc + x))
+    return _with(F.array_max(a), lambda m: m + F.ln(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))))
 
 
 def softmax(a: Column) -> Column:
-    m = F.array_max(a)
-    total = F.aggregate(F.transform(a, lambda x: F.exp(x - m)), F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(a, lambda x: F.exp(x - m) / total)
+    powers = _with(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))
+    return _with(powers, lambda e: _with(vsum(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def log_softmax(a: Column, eps: float = 1e-15) -> Column:
-    m = F.array_max(a)
-    total = F.aggregate(F.transform(a, lambda x: F.exp(x - m) + eps), F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(a, lambda x: x - m - F.ln(total))
+    shifted = _with(F.array_max(a), lambda m: F.transform(a, lambda x: x - m))
+    total = lambda s: F.ln(F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.exp(x) + eps))
+    return _with(shifted, lambda s: _with(total(s), lambda t: F.transform(s, lambda x: x - t)))
 
 
 def cumsum(a: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 EPS = 1e-12
 
 
@@ -47,22 +49,20 @@ def score_table(df: DataFrame, score: str, y: str) -> DataFrame:
 
 def auroc(df: DataFrame, score: str, y: str, eps: float = EPS) -> DataFrame:
     """One row ``auroc`` by the rank sum, equal scores sharing ranks; 0.5 where a class is missing."""
-    t = score_table(df, score, y)
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(F.lit(0)).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = t.withColumn("won", F.col("pos") * (below + F.col("neg") / 2.0))
+    t = running(score_table(df, score, y), F.col("score"), [], {"below": F.col("neg")})
+    won = t.withColumn("won", F.col("pos") * (F.col("below") - F.col("neg") / 2.0))
     out = won.agg(F.sum("won").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return out.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n") + eps)).otherwise(0.5).alias("auroc"))
 
 
 def auprc(df: DataFrame, score: str, y: str, eps: float = EPS) -> DataFrame:
     """One row ``auprc``: trapezoids of precision over recall by descending distinct score, no point at recall 0; 0 without positives."""
-    t = score_table(df, score, y)
-    w = Window.partitionBy(F.lit(0))
-    run = w.orderBy(F.desc("score"))
-    t = t.withColumn("tp", F.sum("pos").over(run)).withColumn("all", F.sum(F.col("pos") + F.col("neg")).over(run)).withColumn("p", F.sum("pos").over(w))
-    t = t.withColumn("precision", F.col("tp") / (F.col("all") + eps)).withColumn("recall", F.col("tp") / (F.col("p") + eps))
-    step = (F.col("recall") - F.lag("recall").over(run)) * (F.col("precision") + F.lag("precision").over(run)) / 2
-    return t.withColumn("step", step).agg(F.coalesce(F.when(F.max("p") > 0, F.sum("step")), F.lit(0.0)).alias("auprc"))
+    t = running(score_table(df, score, y), F.col("score"), [], {"tp": F.col("pos"), "all": F.col("pos") + F.col("neg")}, descending=True)
+    share = lambda tp, n: tp / (n + eps)
+    before, rows_before = F.col("tp") - F.col("pos"), F.col("all") - F.col("pos") - F.col("neg")
+    step = share(F.col("tp"), F.col("tp_all")) - share(before, F.col("tp_all"))
+    step = F.when(rows_before > 0, step * (share(F.col("tp"), F.col("all")) + share(before, rows_before)) / 2)
+    return t.withColumn("step", step).agg(F.coalesce(F.when(F.max("tp_all") > 0, F.sum("step")), F.lit(0.0)).alias("auprc"))
 
 
 def regression(df: DataFrame, y: str, p: str, eps: float = EPS) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
-
 #: Rows of a query block that may be broadcast.
 BLOCK_ROWS = 10_000
 
@@ -19,15 +17,19 @@ def distance(a: Column, b: Column) -> Column:
 def knn(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query, key, distance, rank): the k nearest rows of each query but itself, ties to the smaller key.
 
-    The stated queries meet all rows as broadcast blocks; a query set above ``block_rows`` is refused, so that
-    what is broadcast is bounded.  Tasks keep each query's k best of their own rows before the shuffle.
+    The stated queries meet all rows in broadcast blocks of about ``block_rows``, as many as they need, so what
+    is broadcast is bounded.  Tasks keep each query's k best of their own rows before the shuffle.
     """
     asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    if asked.limit(block_rows + 1).count() > block_rows:
-        raise ValueError(f"more than {block_rows} queries; ask in blocks, or use an index")
-    near = rows.join(F.broadcast(asked), F.col(key) != F.col("query")).select("query", key, distance(F.col(vector), F.col("_q")).alias("distance"))
+    blocks = max(1, -(-asked.count() // block_rows))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    out = None
+    for block in range(blocks):
+        own = F.broadcast(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block))
+        near = rows.join(own, F.col(key) != F.col("query")).select("query", key, distance(F.col(vector), F.col("_q")).alias("distance"))
+        near = near.withColumn("rank", rank).where(F.col("rank") <= k)
+        out = near if out is None else out.unionByName(near)
+    return out
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
@@ -65,12 +67,8 @@ def kmeans(rows: DataFrame, centres: DataFrame, vector: str, steps: int = 20, to
     return centres, history
 
 
-def flagged_distances(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
-    """Pairs of boxes of one image with their overlap, for images of few boxes."""
+def box_pairs(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
+    """(by, box_a, box_b, iou, ...): the pairs of boxes of one image with their overlap; an image has few boxes."""
     from ..functions.expressions import box_iou
 
     return a.join(b, by).withColumn("iou", box_iou("box_a", "box_b"))
-
-
-def vector_mean(rows: DataFrame, vector: str) -> Column:
-    return V.vmean(F.col(vector))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 _M = 4294967296
 
 
@@ -19,25 +21,40 @@ def holdout(df: DataFrame, key: str, test_share: float, seed: int = 0) -> DataFr
     return df.withColumn("is_test", key_hash(key, seed) < int(test_share * _M))
 
 
+def _places(df: DataFrame, order: list[Column], by: str | None) -> DataFrame:
+    """Adds ``rank`` and ``rank_all``, over all rows or over those of the same value of ``by``."""
+    if by is None:
+        return ranked(df, *order)
+    w = Window.partitionBy(by)
+    return df.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("rank_all", F.count(F.lit(1)).over(w))
+
+
 def holdout_exact(df: DataFrame, key: str, test_share: float, by: str | None = None, seed: int = 0) -> DataFrame:
     """Adds ``is_test`` for an exact number of test rows, per value of ``by`` at least one."""
-    w = Window.partitionBy(*([by] if by else [F.lit(0)]))
-    take = F.greatest(F.round(F.count(F.lit(1)).over(w) * test_share), F.lit(1))
-    return df.withColumn("is_test", F.row_number().over(w.orderBy(key_hash(key, seed), key)) <= take)
+    take = F.greatest(F.round(F.col("rank_all") * test_share), F.lit(1))
+    return _places(df, [key_hash(key, seed), F.col(key)], by).withColumn("is_test", F.col("rank") <= take).drop("rank", "rank_all")
 
 
 def kfold(df: DataFrame, key: str, k: int, seed: int | None = None, by: str | None = None) -> DataFrame:
-    """Adds ``fold`` 0..k-1 whose sizes differ by one at most, per value of ``by`` if given."""
-    order = [key] if seed is None else [key_hash(key, seed), key]
-    return df.withColumn("fold", F.ntile(k).over(Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy(*order)) - 1)
+    """Adds ``fold`` 0..k-1 whose sizes differ by one at most, per value of ``by`` if given; the first folds are the larger ones."""
+    order = [F.col(key)] if seed is None else [key_hash(key, seed), F.col(key)]
+    at, size, more = F.col("rank") - 1, F.floor(F.col("rank_all") / k), F.col("rank_all") % k
+    edge = more * (size + 1)
+    fold = F.when(at < edge, F.floor(at / (size + 1))).otherwise(more + F.floor((at - edge) / F.greatest(size, F.lit(1))))
+    return _places(df, order, by).withColumn("fold", fold.cast("int")).drop("rank", "rank_all")
 
 
 def chronological(df: DataFrame, ts: str, key: str, test_share: float) -> DataFrame:
     """Adds ``is_test`` for the latest share of rows, at least one and not all."""
-    w = Window.partitionBy(F.lit(0))
-    n = F.count(F.lit(1)).over(w)
-    take = F.least(F.greatest(F.round(n * test_share), F.lit(1)), n - 1)
-    return df.withColumn("is_test", F.row_number().over(w.orderBy(F.desc(ts), F.desc(key))) <= take)
+    take = F.least(F.greatest(F.round(F.col("rank_all") * test_share), F.lit(1)), F.col("rank_all") - 1)
+    order = F.col(ts).cast("timestamp") if dict(df.dtypes)[ts].startswith(("timestamp", "date")) else F.col(ts)
+    return ranked(df, order, F.col(key)).withColumn("is_test", F.col("rank_all") - F.col("rank") < take).drop("rank", "rank_all")
+
+
+def paired(a: DataFrame, a_key: str, b: DataFrame, b_key: str) -> DataFrame:
+    """Rows of ``a`` beside the rows of ``b`` that have the same place in the order of their numeric keys; the rest of the longer goes."""
+    left, right = (ranked(df, F.col(key)).drop("rank_all") for df, key in ((a, a_key), (b, b_key)))
+    return left.join(right, "rank").drop("rank")
 
 
 def random_parts(df: DataFrame, key: str, shares: list[float], seed: int = 0) -> DataFrame:

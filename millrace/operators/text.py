@@ -25,7 +25,7 @@ def normalized_space(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"[.!?\n]+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -80,13 +80,19 @@ def merge_pair(symbols: Column, a: str, b: str) -> Column:
 def bpe_merges(df: DataFrame, text: str, merges: int) -> list[tuple[str, str]]:
     """The most frequent pairs in turn (ties to the smaller pair); only the best pair reaches the driver."""
     words = word_table(df, text).withColumn("symbols", F.split("word", "")).persist()
+    held = [words]
     found: list[tuple[str, str]] = []
-    for _ in range(merges):
+    for k in range(merges):
         best = pair_counts(words).orderBy(F.desc("n"), "a", "b").first()
         if best is None:
             break
         found.append((best["a"], best["b"]))
         words = words.withColumn("symbols", merge_pair(F.col("symbols"), best["a"], best["b"]))
+        if k % 4 == 3:  # kept, so no round repeats more than three merges
+            words = words.persist()
+            held.append(words)
+    for table in reversed(held):
+        table.unpersist()
     return found
 
 

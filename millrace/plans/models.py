@@ -64,7 +64,7 @@ def kmeans_fit(spark, sf):
     return found
 
 
-_BOX = "(SELECT p_partkey AS k, p_partkey % 50 AS img, p_partkey % 2 AS side, (p_partkey * 7 % 40)::DOUBLE AS x1, (p_partkey * 11 % 40)::DOUBLE AS y1, (p_partkey * 7 % 40 + 10 + p_size)::DOUBLE AS x2, (p_partkey * 11 % 40 + 20)::DOUBLE AS y2 FROM part WHERE p_partkey <= 1000)"
+_BOX = "(SELECT p_partkey AS k, p_partkey // 20 AS img, p_partkey % 2 AS side, (p_partkey * 7 % 40)::DOUBLE AS x1, (p_partkey * 11 % 40)::DOUBLE AS y1, (p_partkey * 7 % 40 + 10 + p_size)::DOUBLE AS x2, (p_partkey * 11 % 40 + 20)::DOUBLE AS y2 FROM part)"
 
 
 @query(f"""WITH b AS {_BOX}, p AS (SELECT a.img, a.k AS ka, b.k AS kb, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
@@ -73,8 +73,8 @@ def box_overlaps(spark, sf):
     k = F.col("p_partkey")
     number = lambda e: e.cast("double")
     box = F.struct(number(k * 7 % 40).alias("x1"), number(k * 11 % 40).alias("y1"), number(k * 7 % 40 + 10 + F.col("p_size")).alias("x2"), number(k * 11 % 40 + 20).alias("y2"))
-    b = table(spark, sf, "part").where("p_partkey <= 1000").select((k % 50).alias("img"), k.alias("k"), box.alias("box"))
-    pairs = neighbours.flagged_distances(b.select("img", F.col("k").alias("ka"), F.col("box").alias("box_a")), b.select("img", F.col("k").alias("kb"), F.col("box").alias("box_b")), "img")
+    b = table(spark, sf, "part").select(F.floor(k / 20).alias("img"), k.alias("k"), box.alias("box"))
+    pairs = neighbours.box_pairs(b.select("img", F.col("k").alias("ka"), F.col("box").alias("box_a")), b.select("img", F.col("k").alias("kb"), F.col("box").alias("box_b")), "img")
     return pairs.where("ka < kb AND iou > 0").select("ka", "kb", F.round("iou", 6).alias("iou"))
 
 
@@ -91,24 +91,24 @@ def ridge(spark, sf):
     return spark.createDataFrame([(round(float(w[1]), 2), float(round(float(w[2]))))], "quantity double, discount double")
 
 
-@query("SELECT label, count(*) AS n, " + ", ".join(f"round(avg(embedding[{k}]::DOUBLE), 6) AS mean_f{k}, round(var_pop(embedding[{k}]::DOUBLE) + 1e-9, 6) AS var_f{k}" for k in (1, 2)) + " FROM embeddings GROUP BY label")
+@query("SELECT label, count(*) AS n, " + ", ".join(f"round(avg(embedding[{k}]::DOUBLE), 6) AS mean_f{k}, round(var_pop(embedding[{k}]::DOUBLE) + 1e-9, 6) AS var_f{k}" for k in range(1, 65)) + " FROM embeddings GROUP BY label")
 def gaussian_nb_fit(spark, sf):
-    d = table(spark, sf, "embeddings").select("label", *[F.element_at("embedding", k).cast("double").alias(f"f{k}") for k in (1, 2)])
-    m = models.gaussian_nb(d, ["f1", "f2"], "label")
+    d = table(spark, sf, "embeddings").select("label", *[F.element_at("embedding", k).cast("double").alias(f"f{k}") for k in range(1, 65)])
+    m = models.gaussian_nb(d, d.columns[1:], "label")
     return m.select(*[F.round(c, 6).alias(c) if "_f" in c else c for c in m.columns])
 
 
-@query("""WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), m AS (SELECT label AS c, count(*) AS n, avg(a) AS ma, var_pop(a) + 1e-9 AS va, avg(b) AS mb, var_pop(b) + 1e-9 AS vb FROM e GROUP BY label),
-l AS (SELECT vec_id, c, ln(n / (SELECT sum(n) FROM m)) - 0.5 * (ln(2 * pi() * va) + (a - ma) * (a - ma) / va) - 0.5 * (ln(2 * pi() * vb) + (b - mb) * (b - mb) / vb) AS l FROM e, m) SELECT vec_id, arg_max(c, l) AS predicted FROM l GROUP BY vec_id""")
+@query("""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS k FROM embeddings), m AS (SELECT label AS c, k, count(*) AS n, avg(x) AS m, var_pop(x) + 1e-9 AS v FROM e GROUP BY ALL), a AS (SELECT count(*) AS n FROM embeddings),
+l AS (SELECT vec_id, c, any_value(ln(m.n / a.n)) - 0.5 * sum(ln(2 * pi() * v) + (x - m) * (x - m) / v) AS l FROM e JOIN m USING (k), a GROUP BY vec_id, c) SELECT vec_id, arg_max(c, l) AS predicted FROM l GROUP BY vec_id""")
 def gaussian_nb_score(spark, sf):
-    d = table(spark, sf, "embeddings").select("vec_id", "label", *[F.element_at("embedding", k).cast("double").alias(f"f{k}") for k in (1, 2)])
-    return models.gaussian_nb_predict(d, models.gaussian_nb(d, ["f1", "f2"], "label"), ["f1", "f2"], "vec_id", "label")
+    d = table(spark, sf, "embeddings").select("vec_id", "label", *[F.element_at("embedding", k).cast("double").alias(f"f{k}") for k in range(1, 65)])
+    return models.gaussian_nb_predict(d, models.gaussian_nb(d, d.columns[2:], "label"), d.columns[2:], "label").select("vec_id", "predicted")
 
 
-@query("SELECT label, 'f' || k AS feature, round((sum((x > 0)::INT) + 1) / (count(*) + 2), 8) AS p FROM (SELECT label, unnest(embedding[1:3]) AS x, unnest(range(1, 4)) AS k FROM embeddings) GROUP BY label, k")
+@query("SELECT label, 'f' || k AS feature, round((sum((x > 0)::INT) + 1) / (count(*) + 2), 8) AS p FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, 65)) AS k FROM embeddings) GROUP BY label, k")
 def bernoulli_nb(spark, sf):
-    d = table(spark, sf, "embeddings").select("label", *[F.element_at("embedding", k).alias(f"f{k}") for k in (1, 2, 3)])
-    return models.bernoulli_nb(d, ["f1", "f2", "f3"], "label").withColumn("p", F.round("p", 8))
+    d = table(spark, sf, "embeddings").select("label", *[F.element_at("embedding", k).alias(f"f{k}") for k in range(1, 65)])
+    return models.bernoulli_nb(d, d.columns[1:], "label").withColumn("p", F.round("p", 8))
 
 
 @query("""WITH t AS (SELECT lang, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents), c AS (SELECT lang, w, count(*) AS n FROM t GROUP BY ALL), v AS (SELECT count(DISTINCT w) AS v FROM c)

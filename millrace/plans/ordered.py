@@ -38,10 +38,10 @@ def next_token(spark, sf):
     return ordered.next_token(d, "token", ["turn"], ["conv_id"], -1)
 
 
-@query("""WITH t AS (SELECT lang, doc_id, unnest(range(1, least(length(text), 30) + 1)) AS k, text FROM documents), p AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, k) - 1 AS pos, ascii(text[k]) AS tok FROM t)
-SELECT lang, pos // 64 AS block_no, sum(tok)::BIGINT AS total, min(tok)::BIGINT AS least FROM p GROUP BY ALL HAVING count(*) = 64""".replace("ascii(text[k])", "unicode(text[k])"))
+@query("""WITH t AS (SELECT lang, doc_id, unnest(range(1, length(text) + 1)) AS k, unnest(string_split(text, '')) AS c FROM documents), p AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, k) - 1 AS pos, unicode(c) AS tok FROM t)
+SELECT lang, pos // 64 AS block_no, sum(tok)::BIGINT AS total, min(tok)::BIGINT AS least FROM p GROUP BY ALL HAVING count(*) = 64""")
 def packed_blocks(spark, sf):
-    d = table(spark, sf, "documents").select("lang", "doc_id", F.transform(F.split(F.substring("text", 1, 30), ""), lambda c: F.ascii(c)).alias("ids"))
+    d = table(spark, sf, "documents").select("lang", "doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("ids"))
     blocks = ordered.packed_blocks(d, "ids", "doc_id", "lang", 64)
     return blocks.select("lang", "block_no", F.aggregate("tokens", F.lit(0), lambda a, x: a + x).cast("long").alias("total"), F.array_min("tokens").cast("long").alias("least"))
 

@@ -72,9 +72,4 @@ def distinct_classes(spark, sf):
 
 @query("SELECT c.c_custkey, c.c_acctbal, s.s_suppkey, s.s_acctbal FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) r FROM customer) c JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) r FROM supplier) s ON c.r = s.r")
 def paired_rows(spark, sf):
-    from pyspark.sql import Window
-
-    place = lambda key: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key))
-    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal").withColumn("r", place("c_custkey"))
-    s = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal").withColumn("r", place("s_suppkey"))
-    return c.join(s, "r").drop("r")
+    return splits.paired(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_custkey", table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey")

@@ -55,23 +55,24 @@ def corpus_bleu(spark, sf):
     return T.corpus_bleu(b.withColumn("text", F.concat("text", F.lit(" end"))), b, "item_id")
 
 
-@query(rf"""WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '{_W}'))) AS word FROM documents WHERE lang = 'en'), c AS (SELECT word, count(*) AS n FROM w GROUP BY 1), p AS (SELECT n, word[k] AS a, word[k + 1] AS b FROM (SELECT word, n, unnest(range(1, length(word))) AS k FROM c))
+@query(rf"""WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '{_W}'))) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY 1), p AS (SELECT n, word[k] AS a, word[k + 1] AS b FROM (SELECT word, n, unnest(range(1, length(word))) AS k FROM c))
 SELECT a, b, sum(n)::BIGINT AS n FROM p GROUP BY a, b""")
 def bpe_pair_counts(spark, sf):
-    words = T.word_table(table(spark, sf, "documents").where("lang = 'en'"), "text").withColumn("symbols", F.split("word", ""))
+    words = T.word_table(table(spark, sf, "documents"), "text").withColumn("symbols", F.split("word", ""))
     return T.pair_counts(words)
 
 
 @query()
 def bpe_training(spark, sf):
-    found = T.bpe_merges(table(spark, sf, "documents").where("lang = 'en'"), "text", 5)
+    """Twenty merges: each is a pass over the word table, so a vocabulary of tens of thousands takes as many passes."""
+    found = T.bpe_merges(table(spark, sf, "documents"), "text", 20)
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(found)], "rank long, a string, b string")
 
 
-@query(rf"""WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '{_W}'))) AS word FROM documents WHERE lang = 'en'), c AS (SELECT word, count(*) AS n FROM w GROUP BY 1), s AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM c), e AS (SELECT word, n, k, unnest(range(1, least(4, length(word) - k + 1) + 1)) AS z FROM s)
+@query(rf"""WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '{_W}'))) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY 1), s AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM c), e AS (SELECT word, n, k, unnest(range(1, least(4, length(word) - k + 1) + 1)) AS z FROM s)
 SELECT word[k:k + z - 1] AS piece, sum(n)::BIGINT AS n FROM e GROUP BY 1""")
 def unigram_substrings(spark, sf):
-    return T.substrings(T.word_table(table(spark, sf, "documents").where("lang = 'en'"), "text"), 4)
+    return T.substrings(T.word_table(table(spark, sf, "documents"), "text"), 4)
 
 
 @query(rf"""WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '{_W}'))) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY 1), v AS (SELECT word FROM c ORDER BY n DESC, word LIMIT 500)

@@ -117,3 +117,60 @@ def test_stream_windows_with_watermark(spark, sf_dir, tmp_path):
     q = out.writeStream.format("memory").queryName("windows_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("windows_out").count() > 0
+
+
+def test_ranks_without_one_window(spark):
+    from millrace.operators import ranks
+
+    rows = spark.createDataFrame([((k * 37) % 101 if k % 9 else None, k) for k in range(500)], "x long, k long")
+    found = ranks.ranked(rows, F.col("x"), F.col("k")).orderBy("rank").collect()
+    want = sorted(((r["x"] is not None, r["x"] or 0, r["k"]) for r in found))
+    assert [(r["x"] is not None, r["x"] or 0, r["k"]) for r in found] == want
+    assert [r["rank"] for r in found] == list(range(1, 501)) and {r["rank_all"] for r in found} == {500}
+    assert ranks.ranked(rows.limit(0), F.col("x"), F.col("k")).count() == 0
+
+
+def test_softmax_is_linear_in_length(spark):
+    import time
+
+    from millrace.functions import vectors
+
+    took = {}
+    for n in (64, 1024):
+        rows = spark.range(400).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: k.cast("double") / n).alias("v")).persist()
+        rows.count()
+        for _ in range(2):
+            began = time.perf_counter()
+            total = rows.select(F.aggregate(vectors.softmax(F.col("v")), F.lit(0.0), lambda a, x: a + x).alias("s")).agg(F.min("s"), F.max("s")).first()
+            took[n] = time.perf_counter() - began
+        assert abs(total[0] - 1) < 1e-9 and abs(total[1] - 1) < 1e-9
+    assert took[1024] < 100 * took[64] + 2
+
+
+def test_greedy_suppression_against_a_loop(spark):
+    import random
+
+    from millrace.operators import boxes
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(120):
+        x, y = rng.uniform(0, 50), rng.uniform(0, 50)
+        rows.append((k, k % 6, (x, y, x + rng.uniform(5, 30), y + rng.uniform(5, 30)), float(rng.randrange(20))))
+    frame = spark.createDataFrame(rows, "k long, img long, box struct<x1:double,y1:double,x2:double,y2:double>, score double")
+    area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    kept = []
+    for k, img, b, _ in sorted(rows, key=lambda r: (-r[3], r[0])):
+        common = lambda c: max(0, min(b[2], c[2]) - max(b[0], c[0])) * max(0, min(b[3], c[3]) - max(b[1], c[1]))  # noqa: B023, E731
+        if all(i != img or common(c) <= 0.4 * (area(b) + area(c) - common(c)) for _, i, c in kept):
+            kept.append((k, img, b))
+    assert {r["k"] for r in boxes.suppressed(frame, "img", "k", "box", "score", 0.4).collect()} == {k for k, _, _ in kept}
+    assert boxes.suppressed(frame.limit(0), "img", "k", "box", "score", 0.4).count() == 0
+
+
+def test_neighbours_in_blocks(spark):
+    from millrace.operators import neighbours
+
+    rows = spark.range(60).select(F.col("id"), F.array((F.col("id") * 7 % 31).cast("double"), (F.col("id") * 5 % 17).cast("double")).alias("v"))
+    one, many = (sorted(map(tuple, neighbours.knn(rows, rows, "id", "v", 3, block_rows=b).collect())) for b in (1000, 7))
+    assert one == many and len(one) == 180
