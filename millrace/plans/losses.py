@@ -78,12 +78,12 @@ def embedding_lookup(spark, sf):
 
 @query("""WITH o AS (SELECT user_id, epoch_ms(ts)::DOUBLE AS t, min(value) AS v FROM events GROUP BY ALL), q AS (SELECT event_id, user_id, epoch_ms(ts)::DOUBLE + 1800000 AS t FROM events WHERE event_type = 'click'),
 a AS (SELECT q.event_id, max(o.t) FILTER (o.t <= q.t) AS t0, min(o.t) FILTER (o.t >= q.t) AS t1, any_value(q.t) AS t, any_value(q.user_id) AS user_id FROM q JOIN o USING (user_id) GROUP BY q.event_id)
-SELECT event_id, round(CASE WHEN t1 IS NULL THEN x.v WHEN t0 = t1 THEN x.v ELSE x.v + (y.v - x.v) * (a.t - t0) / (t1 - t0) END, 3) AS value FROM a JOIN o x ON x.user_id = a.user_id AND x.t = t0 LEFT JOIN o y ON y.user_id = a.user_id AND y.t = t1""")
+SELECT event_id, floor(1000 * CASE WHEN t1 IS NULL THEN x.v WHEN t0 = t1 THEN x.v ELSE x.v + (y.v - x.v) * (a.t - t0) / (t1 - t0) END)::BIGINT AS value FROM a JOIN o x ON x.user_id = a.user_id AND x.t = t0 LEFT JOIN o y ON y.user_id = a.user_id AND y.t = t1""")
 def interpolated(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", F.unix_millis(F.col("ts").cast("timestamp")).cast("double").alias("t"))
     known = e.groupBy("user_id", "t").agg(F.min("value").alias("v"))
     asked = e.where("event_type = 'click'").select("event_id", "user_id", (F.col("t") + 1800000).alias("t"))
-    return algebra.interpolated(asked, known, ["user_id"], "t", "v").select("event_id", F.round("v", 3).alias("value"))
+    return algebra.interpolated(asked, known, ["user_id"], "t", "v").select("event_id", F.floor(F.col("v") * 1000).alias("value"))
 
 
 _BOX = "(SELECT p_partkey AS k, p_partkey // 20 AS img, (p_partkey * 7 % 40 - 5)::DOUBLE AS x1, (p_partkey * 11 % 40 - 5)::DOUBLE AS y1, (p_partkey * 7 % 40 + 5 + p_size)::DOUBLE AS x2, (p_partkey * 11 % 40 + 15)::DOUBLE AS y2, (p_partkey * 37 % 101)::DOUBLE AS score FROM part)"
