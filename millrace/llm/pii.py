@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, fresh
 
 #: Secret of the keyed digests; a parameter of every call.
 KEY = "millrace"
@@ -51,6 +51,8 @@ _ALL_TITLES = "|".join(t for group in _TITLES.values() for t in group)
 _ALL_GIVEN = "|".join(n for group in _GIVEN.values() for n in group)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
+_CARD = r"\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5}"
+
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![\w.%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
@@ -58,18 +60,19 @@ PATTERNS = {
     "secret": r"""(?<=password=|passwd=|secret=|token=|api_key=)[^\s"']+|(?<=token = "|secret = "|password = "|api_key = ")[^"\n]+(?=")""",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[\-.]\d{4}(?!\d)|(?<![\d\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])",
-    "card": r"(?<![\d.])\d(?:[ \-]?\d){12,18}(?!\d)",
+    "card": rf"(?<![\d.])(?:{_CARD})(?!\d)",
     "name": rf"(?<!\p{{L}})(?:(?:{_ALL_TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}|(?:{_ALL_GIVEN})(?: {_NAME}){{1,2}})(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
 def kind_of(surface: Column) -> Column:
-    """The kind of a mention; secrets are what no other form fits."""
+    """The kind of a mention; secrets are what no other form fits, and "number" is no entity: digits that fail the check of cards."""
     out = F.when(surface.rlike("^" + PATTERNS["email"].split(")", 1)[1] + "$"), "email")
-    for kind, form in (("access_key", "AKIA[0-9A-Z]{16}"), ("ip", rf"(?:{_OCTET}\.){{3}}{_OCTET}"), ("phone", r"\+[\d ().\-]+|\(\d{3}\) ?\d{3}[\-.]\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4}"), ("card", r"\d(?:[ \-]?\d){12,18}"), ("name", rf"(?:(?:{_ALL_TITLES})\.? |(?:{_ALL_GIVEN}) ){_NAME}(?: {_NAME})*")):
+    for kind, form in (("access_key", "AKIA[0-9A-Z]{16}"), ("ip", rf"(?:{_OCTET}\.){{3}}{_OCTET}"), ("phone", r"\+[\d ().\-]+|\(\d{3}\) ?\d{3}[\-.]\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4}"), ("card", _CARD), ("name", rf"(?:(?:{_ALL_TITLES})\.? |(?:{_ALL_GIVEN}) ){_NAME}(?: {_NAME})*")):
         out = out.when(surface.rlike(f"^(?:{form})$"), kind)
-    return out.otherwise("secret")
+    out = out.otherwise("secret")
+    return F.when((out == "card") & (_luhn(F.regexp_replace(surface, r"\D", "")) != 0), "number").otherwise(out)
 
 
 def _script(word: Column) -> Column:
@@ -77,7 +80,10 @@ def _script(word: Column) -> Column:
 
 
 def mentions(docs: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(doc_id, text_key, place, part, surface, kind, canon, parts): every entity of every text; a name's words are parts of their own."""
+    """(doc_id, text_key, place, part, surface, kind, canon, real): every mention in every text; a name's words are parts of their own.
+
+    Only card numbers whose check is right are entities; other runs of digits are not ``real`` and stay.
+    """
     body = F.col(f"`{text}`")
     found = docs.select(F.col(f"`{row_id}`").alias("doc_id"), F.xxhash64(body).alias("text_key"), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)).alias("all"))
     found = found.where(F.size("all") > 0).select("doc_id", "text_key", F.posexplode("all").alias("place", "mention")).withColumn("form", kind_of(F.col("mention")))
@@ -87,10 +93,22 @@ def mentions(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     titled = first.isin(*[t for g in _TITLES.values() for t in g])
     gender = F.when(first.isin(*_TITLES["f"], *_GIVEN["f"]), "f").when(first.isin(*_TITLES["m"], *_GIVEN["m"]), "m").otherwise("n")
     role = F.when(titled & (F.col("part") == 0), "title").when(F.col("part") == size - 1, F.concat(F.lit("surname_"), _script(F.col("surface")))).otherwise(F.concat(F.lit("given_"), gender, F.lit("_"), _script(F.col("surface"))))
-    kind = F.when(F.col("form") == "name", role).otherwise(F.col("form"))
+    kind = F.when(F.col("form") == "name", role).when(F.col("form") == "number", "title").otherwise(F.col("form"))
     digits = F.regexp_replace("surface", r"\D", "")
     canon = F.when(F.col("form").isin("phone", "card"), digits).when(F.col("form") == "email", F.lower("surface")).when(F.col("form") == "name", F.lower("surface")).otherwise(F.col("surface"))
-    return found.withColumn("kind", kind).withColumn("canon", canon).select("doc_id", "text_key", "place", "part", "surface", "kind", "canon")
+    return found.withColumn("kind", kind).withColumn("canon", canon).select("doc_id", "text_key", "place", "part", "surface", "kind", "canon", (F.col("form") != "number").alias("real"))
+
+
+def _one_gender(found: DataFrame) -> DataFrame:
+    """Given names that only titles without gender stand before take the gender that the corpus has for them, if it is one."""
+    known = found.where(F.col("kind").rlike("^given_[fm]_")).groupBy("canon").agg(F.min("kind").alias("low"), F.max("kind").alias("known")).where("low = known").drop("low")
+    held = found.join(known, "canon", "left")
+    return held.withColumn("kind", F.when(F.col("kind").startswith("given_n_"), F.coalesce("known", "kind")).otherwise(F.col("kind"))).drop("known")
+
+
+def _space(kind: Column) -> Column:
+    """Where surrogates must differ: all parts of names share one space, each other kind has its own."""
+    return F.when(kind.rlike("^(given|surname)_"), "name").otherwise(kind)
 
 
 def _stream(key: str, kind: Column, value: Column, attempt: Column) -> Column:
@@ -160,17 +178,19 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, canon, surrogate) of distinct entities (kind, canon): all surrogates of a kind differ, from each other and from all entities.
+    """(kind, canon, surrogate) of distinct entities (kind, canon): all surrogates of a kind, and all of names, differ, from each other and from all entities.
 
     Each round draws again for the entities that lost a surrogate to another one or hit an entity; the
     rest stay as they are.
     """
     found = cut(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))), "pii-surrogates")
-    real = found.select(F.col("kind").alias("real_kind"), F.col("canon").alias("real"))
+    real = found.select(_space(F.col("kind")).alias("space"), F.col("canon").alias("surrogate"), F.lit(True).alias("taken")).distinct()
+    mark = F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "canon"), 256)
     for _ in range(rounds):
-        owner = found.groupBy("kind", "surrogate").agg(F.min(F.sha2(F.concat_ws("\x1f", F.lit(key), "canon"), 256)).alias("owner"), F.count(F.lit(1)).alias("owners"))
-        judged = found.join(owner, ["kind", "surrogate"]).join(real, (F.col("kind") == F.col("real_kind")) & (F.col("surrogate") == F.col("real")), "left")
-        again = F.col("real").isNotNull() | ((F.col("owners") > 1) & (F.sha2(F.concat_ws("\x1f", F.lit(key), "canon"), 256) != F.col("owner")))
+        spaced = found.withColumn("space", _space(F.col("kind")))
+        owner = spaced.groupBy("space", "surrogate").agg(F.min(mark).alias("owner"))
+        judged = spaced.join(owner, ["space", "surrogate"]).join(real, ["space", "surrogate"], "left")
+        again = F.col("taken").isNotNull() | (mark != F.col("owner"))
         judged = cut(judged.select("kind", "canon", "attempt", "surrogate", again.alias("again")), "pii-judged")
         if judged.where("again").isEmpty():
             return found.select("kind", "canon", "surrogate")
@@ -188,26 +208,28 @@ def _written(surface: Column, kind: Column, value: Column) -> Column:
     return F.when(kind == "title", surface).when(kind.isin("phone", "card"), numbers).when(kind.rlike("^(given|surname)_"), capital).when((kind == "email") & (surface == F.upper(surface)), F.upper(value)).otherwise(value)
 
 
-def pseudonymised(docs: DataFrame, row_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with every entity of ``text`` replaced, and ``_entities``, how many a text has.
+def pseudonymised(docs: DataFrame, row_id: str = "doc_id", text: str = "text", key: str = KEY, entities: str | None = None) -> DataFrame:
+    """``docs`` with every entity of ``text`` replaced; a column named ``entities``, if given, says how many a text has.
 
-    All columns return.  Null and empty texts and texts without entities return as they are; rows that agree
-    in id and text are treated alike; an empty table gives an empty result.
+    All columns return, whatever their names.  Null and empty texts and texts without entities return as they
+    are; very long texts are searched whole; rows that agree in id and text are treated alike; an empty table
+    gives an empty result.
     """
-    found = cut(mentions(docs, row_id, text), "pii-mentions")
+    held, doc, mark, count = fresh(docs, "new", "doc", "key", "real")
+    found = _one_gender(cut(mentions(docs, row_id, text), "pii-mentions"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # drawing costs far more than its bytes tell, so its tasks are not merged by size
-    entities = found.where("kind <> 'title'").select("kind", "canon").distinct().repartition(tasks, "kind", "canon")
-    named = found.join(surrogates(entities, key), ["kind", "canon"], "left")
+    # drawing costs far more than its bytes tell: dealt by a number of its own, as Spark would drop an exchange by the keys of distinct()
+    distinct = found.where("kind <> 'title'").select("kind", "canon").distinct().repartition(tasks, F.pmod(F.xxhash64("canon", "kind"), F.lit(tasks * 64)))
+    named = found.join(surrogates(distinct, key), ["kind", "canon"], "left")
     named = named.withColumn("new", _written(F.col("surface"), F.col("kind"), F.col("surrogate")))
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), " ")
-    whole = named.distinct().groupBy("doc_id", "text_key", "place").agg(parts.alias("new"))
+    whole = named.distinct().groupBy("doc_id", "text_key", "place").agg(parts.alias("new"), F.bool_or("real").cast("int").alias("real"))
     lists = F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"])
-    whole = cut(whole.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(lists.alias("_new")), "pii-replacements")
+    whole = cut(whole.groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(mark)).agg(lists.alias(held), F.sum("real").alias(count)), "pii-replacements")
     body = F.col(f"`{text}`")
-    own = F.col(f"`{row_id}`").eqNullSafe(F.col("_doc")) & (F.xxhash64(body) == F.col("_key"))
+    own = F.col(f"`{row_id}`").eqNullSafe(F.col(doc)) & (F.xxhash64(body) == F.col(mark))
     joined = docs.join(whole.hint("merge"), own, "left")  # the same plan at every size
     gaps = F.split(body, PATTERN, -1)
-    new = F.array_join(F.zip_with(gaps, F.concat(F.col("_new"), F.array(F.lit(""))), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    columns = [F.when(F.col("_new").isNull(), body).otherwise(new).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new")).cast("long").alias("_entities"))
+    new = F.array_join(F.zip_with(gaps, F.concat(F.col(held), F.array(F.lit(""))), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    columns = [F.when(F.col(held).isNull(), body).otherwise(new).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*columns, *([F.coalesce(F.col(count), F.lit(0)).cast("long").alias(entities)] if entities else []))

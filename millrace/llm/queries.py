@@ -22,8 +22,8 @@ def op1_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` with surrogates for personal data."""
-    found = pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.col("_entities").alias("n_entities"), "text")
+    found = pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), entities="n_entities")
+    return found.select("doc_id", "n_entities", "text")
 
 
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,20 @@ def test_surrogates(spark):
     assert b.startswith(mail.upper())
     assert a.split(" wrote")[0].split()[-1] == b.rstrip(".").split()[-1]  # one surname, one surrogate
     assert found[3]["text"] is None and found[4]["text"] == "" and found[None]["text"] == "nothing here"
-    assert pii.pseudonymised(docs).columns == ["doc_id", "text", "kind", "_entities"]
+    assert pii.pseudonymised(docs).columns == ["doc_id", "text", "kind"]
+
+
+def test_surrogates_of_odd_rows_and_names(spark, odd_docs):
+    rows = ["Mrs Anna Smith met Dr Anna Smith.", "card 4111 1111 1111 1111 27.65.93.188 and order 1234567890123456", "Mr Anton Anna saw Mrs Smith Weber"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumns({"new": F.lit(1), "doc": F.lit(2), "key": F.lit(3), "real": F.lit(4)})
+    out = {r["doc_id"]: r for r in pii.pseudonymised(docs, entities="n").where("new = 1 AND doc = 2 AND key = 3 AND real = 4").collect()}
+    names = out[0]["text"].rstrip(".").split()
+    assert names[1:3] == names[5:7] and names[0] == "Mrs" and names[4] == "Dr"  # one person, one surrogate
+    assert out[1]["n"] == 2 and "1234567890123456" in out[1]["text"] and "4111" not in out[1]["text"] and "27.65" not in out[1]["text"]
+    real = {"Anna", "Smith", "Anton", "Weber"}
+    assert not real & set(" ".join(r["text"] for r in out.values()).replace(".", " ").split())
+    assert pii.pseudonymised(odd_docs).columns == odd_docs.columns and pii.pseudonymised(odd_docs).count() == 7
+    assert pii.pseudonymised(odd_docs.limit(0)).count() == 0
 
 
 def test_surrogates_stay_distinct(spark):
