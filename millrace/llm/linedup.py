@@ -171,9 +171,9 @@ def _near(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: int, t
 
 
 def _split(members: DataFrame, graph: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(bucket, band, low, id, component, size, sketch): the members of buckets whose lines are in several components."""
+    """(bucket, low, id, component, size, sketch): the members of buckets whose lines are in several components."""
     known = members.join(graph.withColumnRenamed("node", "id"), "id", "left")
-    known = cut(known.select("bucket", "band", "id", F.coalesce("component", "id").alias("component")), "line-known")
+    known = cut(known.select("bucket", "id", F.coalesce("component", "id").alias("component")), "line-known")
     split = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     return cut(known.join(split.select("bucket", "low", "size"), "bucket").join(sketches.hint("merge"), "id"), "line-rest")
 
@@ -182,13 +182,13 @@ def _paired(rest: DataFrame, bands: int, threshold: float) -> DataFrame:
     """(a, b): the distinct pairs of a bucket that are in different components and whose sketches allow a link.
 
     One side holds what is outside of the component ``low`` of a bucket, often a few lines only.  A pair comes
-    out of the bucket of the first band that it shares; rows without a band are of other groups.
+    out of the first bucket that it shares; rows without ``low`` are of groups by shingles.
     """
     a, b = (rest.select(*[F.col(c).alias(f"{side}_{c}") for c in rest.columns]) for side in "ab")
     a = a.where("a_low IS NULL OR a_component <> a_low")
     apart = (F.col("a_component") != F.col("b_component")) & (F.coalesce(F.col("b_component") == F.col("b_low"), F.lit(False)) | (F.col("a_id") < F.col("b_id")))
-    first = F.coalesce(*[F.when(F.col(f"a_k{n}") == F.col(f"b_k{n}"), n) for n in range(bands)])
-    once = F.col("a_band").isNull() | (F.col("a_band") == first)
+    first = F.coalesce(*[F.when(F.col(f"a_k{n}") == F.col(f"b_k{n}"), F.col(f"a_k{n}")) for n in range(bands)])
+    once = F.col("a_low").isNull() | (F.col("a_bucket") == first)
     met = a.join(b, (F.col("a_bucket") == F.col("b_bucket")) & apart & once & _may_link("a_", "b_", threshold))
     return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
@@ -225,7 +225,7 @@ def grouped(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width
     similarity reaches ``threshold``.
     """
     keys = [F.xxhash64(F.lit(n), *[F.col(f"v{k}") for k in band]) for n, band in enumerate(bands)]
-    banded = distinct.select("id", F.posexplode(F.array(*keys)).alias("band", "bucket"))
+    banded = distinct.select("id", F.explode(F.array(*keys)).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("all")).where("size > 1")
     shared = cut(shared, "line-buckets")
     middle = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
@@ -234,7 +234,7 @@ def grouped(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width
     three = F.when(F.col("size") == 3, F.array(pair(low, high), pair(low, middle), pair(middle, high))).otherwise(F.array(pair(low, high)))
     direct = shared.where("size <= 3").select(F.explode(three).alias("p")).select("p.a", "p.b")
     crowded = shared.where("size > 3").select("bucket", F.col("low").alias("pivot"))
-    members = cut(_likely(banded, crowded, "bucket").join(crowded.hint("merge"), "bucket").select("bucket", "band", "pivot", "id"), "line-members")
+    members = cut(_likely(banded, crowded, "bucket").join(crowded.hint("merge"), "bucket").select("bucket", "pivot", "id"), "line-members")
     pairs = cut(direct.unionByName(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))).distinct(), "line-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     named = cut(_likely(distinct.select("id", "key", "check", *[k.alias(f"k{n}") for n, k in enumerate(keys)]), cut(ids, "line-ids"), "id").join(ids, "id", "left_semi"), "line-names")
@@ -246,11 +246,11 @@ def grouped(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width
     rest = _split(members, graph, sketches)
     groups = rest.where(F.col("size") <= crowd)
     lines_of = ["id", "component", *sketches.columns[1:]]
-    groups = groups.select("bucket", "band", "low", *lines_of)
+    groups = groups.select("bucket", "low", *lines_of)
     many = cut(rest.where(F.col("size") > crowd).select(*lines_of).dropDuplicates(["id"]), "line-crowds")
     if not many.isEmpty():
         dealt = _by_rare_shingles(many.select("id"), texts, sketches, width, threshold)
-        groups = groups.unionByName(dealt.join(many, "id").select("bucket", F.lit(None).cast("int").alias("band"), F.lit(None).cast("long").alias("low"), *lines_of))
+        groups = groups.unionByName(dealt.join(many, "id").select("bucket", F.lit(None).cast("long").alias("low"), *lines_of))
     graph = _widened(graph, _near(_paired(groups, len(bands), threshold), texts, sketches, width, threshold))
     discard(texts)
     return graph, named
