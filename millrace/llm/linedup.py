@@ -10,8 +10,8 @@ aggregation finds the buckets that several lines share.  Two or three lines are
 buckets all are compared with one pivot, the most common line, and only buckets whose lines are then still in
 different components need more: small ones are paired, larger ones are dealt out again by the rarest fifth of
 each line's shingles, of which two lines of Jaccard 0.8 must share one.  Pairs whose sketches,
-parities of shingles at hashed places, differ too often cannot be links; all others are verified by the exact
-Jaccard similarity of the whole shingle sets.  Links become components by star contraction; of each component the
+the sets of hashed places of their shingles, differ too much cannot be links; all others are verified by the
+exact Jaccard similarity of the whole shingle sets.  Links become components by star contraction; of each component the
 first line stays.
 """
 
@@ -134,18 +134,29 @@ def _likely(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
 
 def _sketches(texts: DataFrame, width: int) -> DataFrame:
-    """(id, n, p0, p1, ...): how many shingles a line has, and the parity of how many fall on each of 64 * WORDS places."""
-    each = texts.select("id", F.explode(shingle_set(F.col("line"), width)).alias("s"))
-    bit, word = F.expr("shiftleft(1L, CAST(s & 63 AS INT))"), F.shiftrightunsigned("s", 6).bitwiseAND(F.lit(WORDS - 1))
-    return each.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(WORDS)])
+    """(id, n, m, p0, p1, ...): the most and the least that a line's distinct shingles can be, and the set of 64 * WORDS places that they fall on.
+
+    ``n`` counts places in the line and ``m`` those of the set; shingles that repeat change neither the set nor what it proves.
+    """
+    code = F.col("code")
+    each = _placed(texts.select("id", F.encode("line", "UTF-32").alias("code")), width)
+    hashes = [F.xxhash64(_shingle(code, F.least(F.col("place") + j, F.col("last")), width)).alias(f"h{j}") for j in range(STEP)]
+    each = each.select("id", "last", *hashes)
+    bits = [F.expr(f"shiftleft(1L, CAST(h{j} & 63 AS INT))").alias(f"b{j}") for j in range(STEP)]
+    words = [F.shiftrightunsigned(f"h{j}", 6).bitwiseAND(F.lit(WORDS - 1)).alias(f"w{j}") for j in range(STEP)]
+    each = each.select("id", "last", *bits, *words)
+    held = [reduce(Column.bitwiseOR, [F.when(F.col(f"w{j}") == k, F.col(f"b{j}")).otherwise(F.lit(0).cast("long")) for j in range(STEP)]) for k in range(WORDS)]
+    found = each.groupBy("id").agg((F.max("last") + 1).alias("n"), *[F.bit_or(h).alias(f"p{k}") for k, h in enumerate(held)])
+    places = [F.col(f"p{k}") for k in range(WORDS)]
+    return found.select("id", "n", reduce(Column.__add__, [F.bit_count(p) for p in places]).alias("m"), *places)
 
 
 def _may_link(left: str, right: str, threshold: float) -> Column:
-    """Whether the sketches allow a link: every place of odd difference needs a shingle that only one line has."""
+    """Whether the sketches allow a link: every place that one of them has alone needs a shingle that only that line has."""
     at = lambda side, c: F.col(f"{side}{c}")
     odd = reduce(Column.__add__, [F.bit_count(at(left, f"p{k}").bitwiseXOR(at(right, f"p{k}"))) for k in range(WORDS)])
-    fewer, more = F.least(at(left, "n"), at(right, "n")), F.greatest(at(left, "n"), at(right, "n"))
-    return (odd <= (1 - threshold) / (1 + threshold) * (fewer + more) + 1e-6) & (fewer >= threshold * more - 1e-6)
+    few = (odd <= (1 - threshold) / (1 + threshold) * (at(left, "n") + at(right, "n")) + 1e-6)
+    return few & (at(left, "n") >= threshold * at(right, "m") - 1e-6) & (at(right, "n") >= threshold * at(left, "m") - 1e-6)
 
 
 def _sided(sketches: DataFrame, side: str) -> DataFrame:
@@ -202,19 +213,18 @@ def _widened(graph: DataFrame, more: DataFrame) -> DataFrame:
     return cut(old.unionByName(between.join(graph, "node", "left_anti")), "line-components")
 
 
-def _by_rare_shingles(ids: DataFrame, texts: DataFrame, sketches: DataFrame, width: int, threshold: float) -> DataFrame:
+def _by_rare_shingles(ids: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """(bucket, id): lines dealt out by the rarest of their shingles.
 
     With shingles ordered by how many of these lines hold them, two sets of similarity t share one of the
     first ``n - ceil(t * n) + 1`` of each, so no link is lost.  Shingles of one line only come first in this
     order and are counted, not listed.
     """
-    each = ids.join(texts, "id").select("id", F.explode(shingle_set(F.col("line"), width)).alias("s"))
-    each = cut(each, "line-shingles")
+    each = ids.join(texts, "id").select("id", shingle_set(F.col("line"), width).alias("set"))
+    each = cut(each.select("id", F.size("set").alias("n"), F.explode("set").alias("s")), "line-shingles")
     holders = each.groupBy("s").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
     mine = Window.partitionBy("id")
     ranked = each.join(holders, "s").withColumn("shared", F.count(F.lit(1)).over(mine)).withColumn("place", F.row_number().over(mine.orderBy("holders", "s")))
-    ranked = ranked.join(sketches.select("id", "n"), "id")
     return ranked.where(F.col("place") <= F.col("shared") - F.ceil(F.col("n") * threshold - 1e-6) + 1).select(F.col("s").alias("bucket"), "id")
 
 
@@ -249,7 +259,7 @@ def grouped(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width
     groups = groups.select("bucket", "low", *lines_of)
     many = cut(rest.where(F.col("size") > crowd).select(*lines_of).dropDuplicates(["id"]), "line-crowds")
     if not many.isEmpty():
-        dealt = _by_rare_shingles(many.select("id"), texts, sketches, width, threshold)
+        dealt = _by_rare_shingles(many.select("id"), texts, width, threshold)
         groups = groups.unionByName(dealt.join(many, "id").select("bucket", F.lit(None).cast("long").alias("low"), *lines_of))
     graph = _widened(graph, _near(_paired(groups, len(bands), threshold), texts, sketches, width, threshold))
     discard(texts)
