@@ -124,9 +124,10 @@ def mix(
     cells = cells.withColumn("words", words).withColumn("first", pick * block_words)
     cells = cut(cells.select("source_rank", "shard", "cell_size", "words", "first"), "mix-cells")
 
-    rows = docs.select(F.col(row_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size, key, (F.lit(None) if keep is None else keep).alias("row"))
+    tie = F.xxhash64(F.col(text)).alias("tie")
+    rows = docs.select(F.col(row_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size, key, tie, (F.lit(None) if keep is None else keep).alias("row"))
     rows = placed(rows).join(cells, ["source_rank", "shard"])
-    by = Window.partitionBy("source_rank", "shard").orderBy("order_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by = Window.partitionBy("source_rank", "shard").orderBy("order_key", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum("size").over(by)).withColumn("begin", F.col("end") - F.col("size"))
     whole = F.when(F.col("cell_size") > 0, F.floor(F.col("words") / F.col("cell_size"))).otherwise(0).cast("long")
     rows = rows.withColumn("whole", whole).withColumn("until", F.col("first") + F.col("words") - F.col("whole") * F.col("cell_size"))

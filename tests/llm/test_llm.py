@@ -399,3 +399,11 @@ def test_pipeline(spark, sf_dir):
     assert final.count() == kept.count()
     rules = {r["doc_id"]: r["kept"] for r in QUERIES["op3_repetition_rules"](spark, sf_dir).collect()}
     assert all(rules[r["doc_id"]] for r in kept.select("doc_id").collect())
+
+
+def test_mixed_texts_do_not_depend_on_partitions(spark):
+    """Rows of one id, null or not, and one size but with different texts keep their order."""
+    rows = [(k % 3 or None, " ".join(f"w{k}x{j}" for j in range(40)), "a" if k % 2 else "b") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [sorted(mixing.mixed_documents(docs.repartition(n), block_words=50, shard_words=1000).collect(), key=str) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2] and found[0]
