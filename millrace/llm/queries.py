@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, labelled, linedup, mixing, oracles, pii, quality, simhash, spm, suffix, tokencount, toxicity
+from . import ann, exact, labelled, linedup, mixing, oracles, pii, quality, simhash, spm, suffix, tokencount, toxicity, tries, yinyang
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,22 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors of ``embeddings``, with their errors and a digest of the codebooks."""
+    return yinyang.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of ``conversations``, each rebuilt with the beginning of another one."""
+    turns = tries.ordered_turns(_table(spark, sf_dir, "conversations"))
+    return tries.trie(tries.sequences(tries.spliced(turns)))
+
+
+def op13_exact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows of ``documents`` stay when copies go, by a digest index that the table is admitted to in two batches."""
+    return exact.decisions(_table(spark, sf_dir, "documents")).drop("mark")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_small_world": op1_small_world,
     "op2_surrogates": op2_surrogates,
@@ -89,8 +105,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_network": op8_quality_network,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mix_sources": op10_mix_sources,
+    "op11_yinyang_codes": op11_yinyang_codes,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_exact_index": op13_exact_index,
 }
 
 ORACLES: dict[str, str] = {
     "op10_mix_sources": oracles.MIX,
+    "op11_yinyang_codes": oracles.codes(),
+    "op12_prefix_trie": oracles.TRIE,
+    "op13_exact_index": oracles.EXACT,
 }
