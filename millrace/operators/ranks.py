@@ -1,7 +1,8 @@
 """Ranks and running sums over whole tables without a window in one task.
 
 Rows are put into ranges of the order's first key by quantiles, one small row of bounds; windows then run inside
-ranges, and what lies in the ranges before is added from a table of at most RANGES rows.
+ranges, and what lies in the ranges before is added from a table of one row a range.  There are as many ranges as
+the session has shuffle partitions, so they grow with the cluster.
 """
 
 from __future__ import annotations
@@ -9,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
 
-
-def in_ranges(df: DataFrame, order: Column, ranges: int = RANGES) -> DataFrame:
+def in_ranges(df: DataFrame, order: Column, ranges: int | None = None) -> DataFrame:
     """Adds ``_range``, which does not fall as a numeric or date ``order`` rises; null comes first."""
     key = order.cast("double")
+    ranges = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(1000)).alias("_bounds"))
     held = df.crossJoin(F.broadcast(bounds))
     return held.withColumn("_range", F.when(key.isNull(), -1).otherwise(F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<double>")), lambda b: b < key)))).drop("_bounds")
