@@ -56,10 +56,10 @@ def mixed_tables(spark, sf):
 
 
 @query(f"""WITH p AS (SELECT vec_id, [exp(x::DOUBLE) FOR x IN embedding] AS e FROM embeddings),
-c AS (SELECT vec_id, at - 1 AS at, coalesce(sum(y) OVER (PARTITION BY vec_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(y) OVER (PARTITION BY vec_id) AS low
-      FROM (SELECT vec_id, unnest(e) AS y, generate_subscripts(e, 1) AS at FROM p)),
+c AS (SELECT vec_id, pos - 1 AS pos, coalesce(sum(y) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(y) OVER (PARTITION BY vec_id) AS low
+      FROM (SELECT vec_id, unnest(e) AS y, generate_subscripts(e, 1) AS pos FROM p)),
 d AS (SELECT vec_id, k, {_U.format(seed=8, salt="' || k || '", key="vec_id")} AS u FROM p, range(1, 4) AS r(k))
-SELECT vec_id, k AS draw, max(at)::INT AS drawn FROM d JOIN c USING (vec_id) WHERE low <= u GROUP BY vec_id, k""")
+SELECT vec_id, k AS draw, max(pos)::INT AS drawn FROM d JOIN c USING (vec_id) WHERE low <= u GROUP BY vec_id, k""")
 def multinomial(spark, sf):
     """Three places of every vector, drawn from its softmax."""
     df = _embeddings(spark, sf)
