@@ -119,19 +119,17 @@ def near(df: DataFrame, key: str, vector: str, k: int, asked: Column | None = No
     held = _cells(points, cell_rows, cuts, seed).join(points.select("point", "v", "asks", F.element_at("ids", 1).alias("id")), "point")
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not pdf["asks"].any():
-            return pd.DataFrame({"point": [], "near": [], "d": []})
         pdf = pdf.sort_values("id", ignore_index=True)  # a stable sort by distance then settles ties
         x, names = np.array(pdf["v"].tolist(), np.float64), pdf["point"].to_numpy()
-        rows_, out = np.flatnonzero(pdf["asks"].to_numpy()), []
+        rows_, out = np.flatnonzero(pdf["asks"].to_numpy()), [(np.zeros(0, object), np.zeros(0, object), np.zeros(0))]
         step = max(1, (1 << 22) // len(x))
         for low in range(0, len(rows_), step):
             own = rows_[low : low + step]
             d = np.sqrt(squared_distances(x[own], x))
             d[np.arange(len(own)), own] = np.inf
             best = np.argsort(d, 1, kind="stable")[:, : min(k, len(x) - 1)]
-            out.append(pd.DataFrame({"point": np.repeat(names[own], best.shape[1]), "near": names[best.ravel()], "d": np.take_along_axis(d, best, 1).ravel()}))
-        return pd.concat(out)
+            out.append((np.repeat(names[own], best.shape[1]), names[best.ravel()], np.take_along_axis(d, best, 1).ravel()))
+        return pd.DataFrame({c: pd.Series(np.concatenate(parts), dtype=kind) for c, kind, parts in zip(("point", "near", "d"), (object, object, float), zip(*out))})
 
     pairs = held.groupBy("cut", "cell").applyInPandas(inside, "point string, near string, d double").groupBy("point", "near").agg(F.min("d").alias("d"))
     firsts = points.select(F.col("point").alias("near"), "ids")

@@ -41,23 +41,28 @@ def indexed_source(name: str, schema: str, length: Callable[[dict], int], load:
     by ``spark.read.format(name)`` or ``spark.readStream.format(name)``; option ``rows`` sets the size of a partition.
     """
 
-    class Reader(DataSourceReader, DataSourceStreamReader):
+    class Records:
         def __init__(self, options: dict):
             self.options = {k.lower(): v for k, v in options.items()}
             self.rows = int(self.options.get("rows", ROWS))
 
-        def partitions(self, start: dict | None = None, end: dict | None = None):
-            return _ranges(start["at"] if start else 0, end["at"] if end else length(self.options), self.rows)
-
         def read(self, partition: Range) -> Iterator[tuple]:
             yield from load(self.options, partition.low, partition.high)
 
+    class Reader(Records, DataSourceReader):
+        def partitions(self) -> list[Range]:
+            return _ranges(0, length(self.options), self.rows)
+
+    class StreamReader(Records, DataSourceStreamReader):
         def initialOffset(self) -> dict:
             return {"at": 0}
 
         def latestOffset(self) -> dict:
             return {"at": length(self.options)}
 
+        def partitions(self, start: dict, end: dict) -> list[Range]:
+            return _ranges(start["at"], end["at"], self.rows)
+
         def commit(self, end: dict) -> None:
             """Nothing is held for records that are done with."""
 
@@ -73,7 +78,7 @@ def indexed_source(name: str, schema: str, length: Callable[[dict], int], load:
             return Reader(dict(self.options))
 
         def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
-            return Reader(dict(self.options))
+            return StreamReader(dict(self.options))
 
     return Source
 
@@ -97,7 +102,7 @@ def _opened(path: str):
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return gzip.open(store.open_input_stream(inner)) if path.endswith(".gz") else store.open_input_file(inner)
+    return gzip.open(store.open_input_stream(inner, compression=None)) if path.endswith(".gz") else store.open_input_file(inner)
 
 
 def _idx_shape(path: str) -> tuple[np.dtype, list[int], int]:
