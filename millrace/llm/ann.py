@@ -39,13 +39,12 @@ class SmallWorld:
     tables: list[np.ndarray]
     entry: int
 
-    def __post_init__(self) -> None:
-        self.norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
+    def _near(self, q: np.ndarray, points) -> np.ndarray:
+        """Squared distances, from differences: an expansion into norms loses all digits far from the origin."""
+        gap = self.vectors[points] - q
+        return np.einsum("ij,ij->i", gap, gap)
 
-    def _near(self, q: np.ndarray, qq: float, points) -> np.ndarray:
-        return self.norms[points] + qq - 2 * (self.vectors[points] @ q)
-
-    def layer(self, q: np.ndarray, qq: float, starts: list[tuple[float, int]], width: int, level: int) -> list[tuple[float, int]]:
+    def layer(self, q: np.ndarray, starts: list[tuple[float, int]], width: int, level: int) -> list[tuple[float, int]]:
         """The ``width`` nearest points found on a level from ``starts``, nearest first."""
         table = self.tables[level]
         seen = np.zeros(len(self.vectors), bool)
@@ -65,9 +64,9 @@ class SmallWorld:
                 continue
             seen[near] = True
             far = -best[0][0] if len(best) >= width else np.inf
-            distances = self._near(q, qq, near)
+            distances = self._near(q, near)
             for k in np.flatnonzero(distances < far) if far < np.inf else range(len(near)):
-                e, x = float(distances[k]), int(near[k])
+                e, x = distances[k], int(near[k])
                 if len(best) < width:
                     heapq.heappush(best, (-e, x))
                 elif e < -best[0][0]:
@@ -79,17 +78,20 @@ class SmallWorld:
 
     def search(self, q: np.ndarray, k: int, width: int) -> list[tuple[float, int]]:
         """The k nearest points found."""
-        qq = float(q @ q)
-        at = [(float(self._near(q, qq, [self.entry])[0]), self.entry)]
+        at = [(self._near(q, [self.entry])[0], self.entry)]
         for level in range(len(self.tables) - 1, 0, -1):
-            at = self.layer(q, qq, at, 1, level)
-        return self.layer(q, qq, at, max(width, k), 0)[:k]
+            at = self.layer(q, at, 1, level)
+        return self.layer(q, at, max(width, k), 0)[:k]
+
+    def _spread(self, base: np.ndarray, found: list[tuple[float, int]], most: int) -> list[int]:
+        """Of points by distance those that are nearer to the base than to any chosen before, filled up with the nearest.
 
-    def _spread(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Of points by distance those that are nearer to the base than to any chosen before, filled up with the nearest."""
+        Distances between them are expanded about the base, which is near.
+        """
         points = [p for _, p in found]
-        own = self.vectors[points]
-        between = self.norms[points][:, None] + self.norms[points][None, :] - 2 * own @ own.T
+        own = self.vectors[points] - base
+        norms = np.einsum("ij,ij->i", own, own)
+        between = norms[:, None] + norms[None, :] - 2 * own @ own.T
         chosen: list[int] = []
         for k, (d, _) in enumerate(found):
             if len(chosen) == most:
@@ -107,14 +109,14 @@ class SmallWorld:
         graph = cls(vectors, levels, tables, 0)
         top = int(levels[0])
         for p in range(1, n):
-            q, qq = vectors[p], float(graph.norms[p])
-            at = [(float(graph._near(q, qq, [graph.entry])[0]), graph.entry)]
+            q = vectors[p]
+            at = [(graph._near(q, [graph.entry])[0], graph.entry)]
             for level in range(top, int(levels[p]), -1):
-                at = graph.layer(q, qq, at, 1, level)
+                at = graph.layer(q, at, 1, level)
             for level in range(min(top, int(levels[p])), -1, -1):
-                at = graph.layer(q, qq, at, width, level)
+                at = graph.layer(q, at, width, level)
                 table = tables[level]
-                near = graph._spread(at, links)
+                near = graph._spread(q, at, links)
                 table[p, : len(near)] = near
                 for x in near:
                     row = table[x]
@@ -123,14 +125,29 @@ class SmallWorld:
                         row[free[0]] = p
                     else:
                         known = np.append(row, p)
-                        distances = graph._near(vectors[x], float(graph.norms[x]), known)
+                        distances = graph._near(vectors[x], known)
                         turn = np.argsort(distances)
-                        row[:] = graph._spread([(float(distances[k]), int(known[k])) for k in turn], len(row))
+                        row[:] = graph._spread(vectors[x], [(distances[k], int(known[k])) for k in turn], len(row))
             if levels[p] > top:
                 top, graph.entry = int(levels[p]), p
         return graph
 
 
+def spacious(vectors: np.ndarray) -> np.ndarray:
+    """Vectors in the type that their squared distances need: doubles, or the longest type where squares leave the range of doubles."""
+    size = np.abs(vectors)
+    small = size[size > 0].min(initial=1.0)
+    return vectors if size.max(initial=0.0) < 1e150 and small > 1e-150 else vectors.astype(np.longdouble)
+
+
+def distances(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances in doubles, each scaled by a power of two so that no square leaves their range."""
+    gap = vectors - q
+    power = np.frexp(np.abs(gap).max(1, initial=0.0))[1]
+    gap = np.ldexp(gap, -power[:, None])
+    return np.ldexp(np.sqrt((gap**2).sum(1)), power)
+
+
 def valid_vectors(table: DataFrame, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, v) of the rows that take part: an id, and a vector that is not null, empty or zero and has finite components only."""
     v = F.col("v")
@@ -142,9 +159,11 @@ def valid_vectors(table: DataFrame, row_id: str = "vec_id", vector: str = "embed
 def build_index(vectors: DataFrame, k: int, shard_points: int = SHARD_POINTS, links: int = LINKS, width: int = BUILD_WIDTH) -> DataFrame:
     """The written index (INDEX), one row per shard, of (vec_id, v).
 
-    Of equal vectors the k + 1 smallest ids stay: with a query's own id among them, no more can be in its
-    k nearest.  Tasks cut a vector's ids before they are shuffled, so a very common vector stays small.
+    Of equal vectors the k + 1 smallest different ids stay: with a query's own id among them, no more can be in its
+    k nearest.  Tasks cut a vector's ids before they are shuffled, so a very common vector stays small.  Rows that
+    repeat an id with its vector count once.
     """
+    vectors = vectors.dropDuplicates(["vec_id", "v"])
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     points = vectors.withColumn("place", place).where(F.col("place") <= k + 1)
     points = cut(points.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("members")).withColumn("dim", F.size("v")), "ann-points")
@@ -154,7 +173,7 @@ def build_index(vectors: DataFrame, k: int, shard_points: int = SHARD_POINTS, li
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("members", key=lambda s: s.str[0])
         own = np.array(pdf["v"].tolist(), np.float64)
-        graph = SmallWorld.build(own, links, width)
+        graph = SmallWorld.build(spacious(own), links, width)
         row = (int(pdf["dim"].iloc[0]), int(pdf["shard"].iloc[0]), len(own), [list(m) for m in pdf["members"]], own.tobytes(), graph.levels.tobytes(), [t.tobytes() for t in graph.tables], graph.entry)
         return pd.DataFrame([row], columns=["dim", "shard", "points", "members", "vectors", "levels", "tables", "entry"])
 
@@ -184,16 +203,19 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 10, width: int = SEAR
         out = []
         for r in pdf.itertuples():
             own = np.frombuffer(r.vectors, np.float64).reshape(r.points, r.dim)
+            asked = np.frombuffer(r.asked, np.float64).reshape(-1, r.dim)
+            wide = spacious(np.concatenate([own, asked]))
             tables = [np.frombuffer(t, np.int32).reshape(r.points, -1) for t in r.tables]
-            graph = SmallWorld(own, np.frombuffer(r.levels, np.int32), tables, r.entry)
-            for query, q in zip(np.frombuffer(r.ids, np.int64), np.frombuffer(r.asked, np.float64).reshape(-1, r.dim)):
-                points = [p for _, p in graph.search(q, k + 1, width)]
-                exact = np.sqrt(((own[points] - q) ** 2).sum(1))
+            graph = SmallWorld(wide[: r.points], np.frombuffer(r.levels, np.int32), tables, r.entry)
+            for query, q, wide_q in zip(np.frombuffer(r.ids, np.int64), asked, wide[r.points :]):
+                points = [p for _, p in graph.search(wide_q, k + 1, width)]
+                exact = distances(own[points], q)
                 found = sorted((float(d), int(m)) for d, p in zip(exact, points) for m in r.members[p] if m != query)
                 out += [(int(query), m, d) for d, m in found[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     found = _spread_out(tasks, "shard", "block", "dim").groupBy("shard", "block", "dim").applyInPandas(look, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -201,8 +223,11 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 10, width: int = SEAR
 def search_all(table: DataFrame, queries: DataFrame, row_id: str = "vec_id", vector: str = "embedding", k: int = 10, **build) -> DataFrame:
     """Index the valid vectors of ``table`` and search them for those of ``queries``.
 
-    Invalid vectors take no part on either side.  Vectors are compared with those of their own length only.
-    Rows of ``queries`` that repeat an id count once; an empty table gives an empty result.
+    Invalid vectors take no part on either side.  Vectors are compared with those of their own length only.  Rows that
+    repeat an id with its vector count once; of an id with several vectors the smallest is the query, its other rows
+    are no candidates of it, and as a candidate it stands with its nearest vector.  Any finite vector is
+    compared to full precision; where squares would leave the range of doubles, searching takes the machine's longest
+    type.  Other columns are not looked at, whatever their names; an empty table gives an empty result.
     """
     index = build_index(valid_vectors(table, row_id, vector), k, **build)
-    return nearest(valid_vectors(queries, row_id, vector).dropDuplicates(["vec_id"]), index, k)
+    return nearest(valid_vectors(queries, row_id, vector).groupBy("vec_id").agg(F.min("v").alias("v")), index, k)
