@@ -19,12 +19,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import cut
+from .frequent import with_group
+from .scratch import cut, fresh
 
 SHINGLE = 3
 SEED = 42
@@ -52,15 +53,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, row_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text as a signed long; 0 for no words."""
-    rows = docs.select(F.col(f"`{row_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    """(doc_id, tie, fp): the fingerprint of every row's whole text as a signed long, 0 for no words; tie: a hash of the text."""
+    rows = docs.select(F.col(f"`{row_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "tie", "fp"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("tie", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
 def _remainder(v: int) -> int:
@@ -144,19 +145,19 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
-    """(doc_id, fp, component_id) per row of ``docs``; component_id: the smallest id reachable by links.
+    """(doc_id, tie, fp, component_id) per row of ``docs``; component_id: the smallest id reachable by links.
 
     Texts without words have fingerprint 0 and link like any other.  Rows without an id have a component but
     do not name one (it is null where no row of the component has an id).  Repeated rows are rows of their
     own; an empty table gives an empty result; other columns are not looked at.
     """
     rows = cut(fingerprints(docs, row_id, text), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
     graph = components(links(distinct.select("fp"), crowd)).withColumnRenamed("node", "fp")
     grouped = distinct.join(graph, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = cut(grouped.join(named, "component").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(grouped.join(named, "component").select("fp", "component_id", "rows"), "fingerprint-components")
+    return with_group(rows, named, "fp", "rows").select("doc_id", "tie", "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp"):
@@ -165,13 +166,20 @@ def hex_digits(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row per group of near duplicates, the one of the smallest id; all columns return.
+    """``docs`` with one row per group of near duplicates; all columns return.
 
-    Rows without an id stay as they are; of rows with the same id one stays.
+    The row with the smallest id stays; where that id names several texts of the group, the one whose text has the
+    smallest hash, and of rows that repeat id and text the one whose columns have the smallest hash.  Rows without an
+    id stay as they are.
     """
-    found = near_duplicates(docs.where(F.col(f"`{row_id}`").isNotNull()), row_id, text)
-    firsts = cut(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).count(), "kept-ids")
-    kept = docs.join(firsts.select("_kept_id"), F.col(f"`{row_id}`") == F.col("_kept_id"), "left_semi")
-    if not firsts.where(F.col("count") > 1).isEmpty():
-        kept = kept.dropDuplicates([row_id])
-    return kept.unionByName(docs.where(F.col(f"`{row_id}`").isNull()))
+    known = docs.where(F.col(f"`{row_id}`").isNotNull())
+    found = near_duplicates(known, row_id, text)
+    kept_id, kept_tie = fresh(docs, "kept_id", "kept_tie")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
+    first = cut(first.select(F.col("first.doc_id").alias(kept_id), F.col("first.tie").alias(kept_tie)), "kept-rows")
+    own, place = fresh(docs, "own_tie", "place")
+    marked = known.withColumn(own, F.xxhash64(F.col(f"`{text}`")))
+    turn = F.row_number().over(Window.partitionBy(f"`{row_id}`", own).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    one = marked.withColumn(place, turn).where(F.col(place) == 1)
+    kept = one.join(first, (F.col(f"`{row_id}`") == F.col(kept_id)) & (F.col(own) == F.col(kept_tie)), "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(f"`{row_id}`").isNull()))
