@@ -6,7 +6,8 @@ surrogate, drawn by a keyed digest: digits for digits and letters for letters of
 the same number of them, card numbers with the same check, names of the same gender and script.  A surrogate
 that another entity has, or that is itself an entity of the corpus, is drawn again until all differ; names,
 secrets, e-mail and phone numbers grow with the attempts, so their room has no end.  Each
-mention is then written in its own format, so coreference and distinctness survive.
+mention is then written in its own format, so coreference and distinctness survive.  Where a text has named a
+person in full, the parts of the name alone are replaced in the rest of that text as well.
 """
 
 from __future__ import annotations
@@ -51,6 +52,10 @@ _ALL_TITLES = "|".join(t for group in _TITLES.values() for t in group)
 _ALL_GIVEN = "|".join(n for group in _GIVEN.values() for n in group)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
+#: Country codes of one and two digits; all others have three.
+_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+_COUNTRY = rf"^\+(?:{_CODES.replace(' ', '|')}|\d{{1,3}})"
+
 _CARD = r"\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5}"
 
 #: Kinds in the order in which they are tried at a place.
@@ -95,7 +100,8 @@ def mentions(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     role = F.when(titled & (F.col("part") == 0), "title").when(F.col("part") == size - 1, F.concat(F.lit("surname_"), _script(F.col("surface")))).otherwise(F.concat(F.lit("given_"), gender, F.lit("_"), _script(F.col("surface"))))
     kind = F.when(F.col("form") == "name", role).when(F.col("form") == "number", "title").otherwise(F.col("form"))
     digits = F.regexp_replace("surface", r"\D", "")
-    canon = F.when(F.col("form").isin("phone", "card"), digits).when(F.col("form") == "email", F.lower("surface")).when(F.col("form") == "name", F.lower("surface")).otherwise(F.col("surface"))
+    plus = F.when((F.col("form") == "phone") & F.col("surface").startswith("+"), "+").otherwise("")
+    canon = F.when(F.col("form").isin("phone", "card"), F.concat(plus, digits)).when(F.col("form") == "email", F.lower("surface")).when(F.col("form") == "name", F.lower("surface")).otherwise(F.col("surface"))
     return found.withColumn("kind", kind).withColumn("canon", canon).select("doc_id", "text_key", "place", "part", "surface", "kind", "canon", (F.col("form") != "number").alias("real"))
 
 
@@ -159,7 +165,8 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     body = F.concat(canon.substr(1, 1), drawn.substr(F.lit(2), F.length(canon) - 2))
     check = (_luhn(canon) - _luhn(F.concat(body, F.lit("0"))) + 10) % 10
     card = F.concat(body, check.cast("string"))
-    phone = F.concat(canon.substr(1, 1), drawn.substr(F.lit(2), F.length(canon)), F.translate(longer, "abcdef", "012345"))
+    code = F.greatest(F.length(F.regexp_extract(canon, _COUNTRY, 0)), F.lit(1))  # a country's code stays, else the first digit
+    phone = F.concat(canon.substr(F.lit(1), code), drawn.substr(code + 1, F.length(canon)), F.translate(longer, "abcdef", "012345"))
     ip = F.concat_ws(".", *[(_byte(stream, k) % 254 + 1).cast("string") for k in range(4)])
     out = F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "access_key", F.concat(F.lit("AKIA"), drawn.substr(F.lit(5), F.lit(16))))
 
@@ -173,7 +180,8 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
             rest = F.array_join(F.transform(F.split(longer, ""), lambda c: F.element_at(middles, F.conv(c, 16, 10).cast("int") % len(_MIDDLES[script]) + 1)), "")
             more = F.when(attempt > 2, F.concat(pick(_MIDDLES[script], 2), rest)).when(attempt > 1, pick(_MIDDLES[script], 2)).otherwise("")
             name = F.lower(F.concat(pick(_STEMS[script], 0), pick(_MIDDLES[script], 1), more, pick(words, 3)))
-            out = out.when(kind == f"{role}_{script}", name)
+            second = F.lower(F.concat(pick(_STEMS[script], 4), pick(_MIDDLES[script], 5), pick(words, 6)))
+            out = out.when(kind == f"{role}_{script}", F.when(canon.contains("-"), F.concat_ws("-", name, second)).otherwise(name))
     return out.otherwise(F.concat(drawn, longer))
 
 
@@ -200,12 +208,31 @@ def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> Dat
     raise ValueError("entities are left without a surrogate of their own; raise rounds")
 
 
+def _cased(surface: Column, value: Column) -> Column:
+    """``value`` with capitals where ``surface`` has them."""
+    held = F.array(F.split(surface, ""))
+    one = lambda c, k: F.when(F.try_element_at(held[0], k + 1).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)
+    return F.array_join(F.transform(F.split(value, ""), one), "")
+
+
 def _written(surface: Column, kind: Column, value: Column) -> Column:
     """A surrogate in the format of the mention: its separators, or its capitals."""
-    gaps, digits = F.split(surface, r"\d", -1), F.concat(F.split(value, ""), F.array(F.lit("")))
+    gaps, digits = F.split(surface, r"\d", -1), F.concat(F.split(F.ltrim(value, F.lit("+")), ""), F.array(F.lit("")))
     numbers = F.array_join(F.zip_with(gaps, digits, lambda g, d: F.concat(F.coalesce(g, F.lit("")), F.coalesce(d, F.lit("")))), "")
-    capital = F.concat(F.upper(value.substr(1, 1)), value.substr(F.lit(2), F.length(value)))
-    return F.when(kind == "title", surface).when(kind.isin("phone", "card"), numbers).when(kind.rlike("^(given|surname)_"), capital).when((kind == "email") & (surface == F.upper(surface)), F.upper(value)).otherwise(value)
+    capital = F.array_join(F.transform(F.split(value, "-"), lambda w: F.concat(F.upper(w.substr(1, 1)), w.substr(F.lit(2), F.length(w)))), "-")
+    part = lambda c, k: F.substring_index(c, "@", k)
+    mail = F.when(surface == F.lower(surface), value).when(surface == F.upper(surface), F.upper(value)).otherwise(F.concat(_cased(part(surface, 1), part(value, 1)), F.lit("@"), _cased(part(surface, -1), part(value, -1))))
+    return F.when(kind == "title", surface).when(kind.isin("phone", "card"), numbers).when(kind.rlike("^(given|surname)_"), capital).when(kind == "email", mail).otherwise(value)
+
+
+def _renamed(gap: Column, names: Column) -> Column:
+    """Text between mentions with the names of ``names`` (surface, new) replaced where they stand as whole words."""
+
+    def step(text: Column, n: Column) -> Column:
+        alone = F.concat(F.lit(r"(?<![\p{L}\p{M}])"), n["surface"], F.lit(r"(?![\p{L}\p{M}])"))
+        return F.when(F.contains(text, n["surface"]), F.regexp_replace(text, alone, n["new"])).otherwise(text)
+
+    return F.aggregate(names, gap, step)
 
 
 def pseudonymised(docs: DataFrame, row_id: str = "doc_id", text: str = "text", key: str = KEY, entities: str | None = None) -> DataFrame:
@@ -213,9 +240,10 @@ def pseudonymised(docs: DataFrame, row_id: str = "doc_id", text: str = "text", k
 
     All columns return, whatever their names.  Null and empty texts and texts without entities return as they
     are; very long texts are searched whole; rows that agree in id and text are treated alike; an empty table
-    gives an empty result.
+    gives an empty result.  Names that stand alone, in the text's capitals or all in capitals, are replaced where the
+    text has them in full elsewhere; they are not counted.
     """
-    held, doc, mark, count = fresh(docs, "new", "doc", "key", "real")
+    held, doc, mark, count, names = fresh(docs, "new", "doc", "key", "real", "names")
     found = _one_gender(cut(mentions(docs, row_id, text), "pii-mentions"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # drawing costs far more than its bytes tell: dealt by a number of its own, as Spark would drop an exchange by the keys of distinct()
@@ -223,13 +251,18 @@ def pseudonymised(docs: DataFrame, row_id: str = "doc_id", text: str = "text", k
     named = found.join(surrogates(distinct, key), ["kind", "canon"], "left")
     named = named.withColumn("new", _written(F.col("surface"), F.col("kind"), F.col("surrogate")))
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), " ")
-    whole = named.distinct().groupBy("doc_id", "text_key", "place").agg(parts.alias("new"), F.bool_or("real").cast("int").alias("real"))
+    called = F.collect_list(F.when(F.col("kind").rlike("^(given|surname)_") & (F.length("surface") > 1), F.struct("surface", "new")))
+    whole = named.distinct().groupBy("doc_id", "text_key", "place").agg(parts.alias("new"), F.bool_or("real").cast("int").alias("real"), called.alias("called"))
     lists = F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"])
-    whole = cut(whole.groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(mark)).agg(lists.alias(held), F.sum("real").alias(count)), "pii-replacements")
+    known = F.array_distinct(F.flatten(F.collect_list("called")))
+    loud = F.transform(known, lambda n: F.struct(F.upper(n["surface"]).alias("surface"), F.upper(n["new"]).alias("new")))
+    # the longest first, so that no part of a double name is taken for a name of its own
+    sized = F.transform(F.array_sort(F.transform(F.concat(known, loud), lambda n: F.struct((-F.length(n["surface"])).alias("size"), n["surface"].alias("surface"), n["new"].alias("new")))), lambda n: F.struct(n["surface"].alias("surface"), n["new"].alias("new")))
+    whole = cut(whole.groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(mark)).agg(lists.alias(held), F.sum("real").alias(count), sized.alias(names)), "pii-replacements")
     body = F.col(f"`{text}`")
     own = F.col(f"`{row_id}`").eqNullSafe(F.col(doc)) & (F.xxhash64(body) == F.col(mark))
     joined = docs.join(whole.hint("merge"), own, "left")  # the same plan at every size
-    gaps = F.split(body, PATTERN, -1)
+    gaps = F.transform(F.split(body, PATTERN, -1), lambda g: F.when(F.size(names) > 0, _renamed(g, F.col(names))).otherwise(g))
     new = F.array_join(F.zip_with(gaps, F.concat(F.col(held), F.array(F.lit(""))), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
     columns = [F.when(F.col(held).isNull(), body).otherwise(new).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, *([F.coalesce(F.col(count), F.lit(0)).cast("long").alias(entities)] if entities else []))
