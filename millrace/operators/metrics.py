@@ -47,22 +47,59 @@ def score_table(df: DataFrame, score: str, y: str) -> DataFrame:
     return df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.sum(1 - F.col(y).cast("bigint")).alias("neg"))
 
 
+def labels_long(df: DataFrame, scores: str, labels: str) -> DataFrame:
+    """(class, score, pos, neg) by distinct score of each class, from arrays of scores and of 0/1 labels."""
+    pairs = df.select(F.posexplode(F.arrays_zip(F.col(scores).alias("score"), F.col(labels).alias("y"))).alias("class", "p")).select("class", F.col("p.score").alias("score"), F.col("p.y").cast("bigint").alias("y"))
+    return pairs.groupBy("class", "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+
+
+def _averaged(per: DataFrame, micro: DataFrame, name: str, eps: float) -> DataFrame:
+    """One row: micro, macro, weighted by positives, and the values of the classes in order."""
+    weighted = F.sum(F.col(name) * F.col("p")) / (F.sum("p") + eps)
+    each = F.transform(F.array_sort(F.collect_list(F.struct("class", name))), lambda s: s[name])  # a value a class
+    out = per.agg(F.avg(name).alias("macro"), weighted.alias("weighted"), each.alias("per_class"))
+    return micro.withColumnRenamed(name, "micro").crossJoin(out)
+
+
+def multilabel_auroc(df: DataFrame, scores: str, labels: str, eps: float = EPS) -> DataFrame:
+    """One row ``micro, macro, weighted, per_class``; 0.5 for a class that has only one kind of label."""
+    table = labels_long(df, scores, labels)
+    per = _auroc_of(running(table, F.col("score"), [], {"below": F.col("neg")}, by="class"), eps, "class")
+    micro = table.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return _averaged(per, _auroc_of(running(micro, F.col("score"), [], {"below": F.col("neg")}), eps).select("auroc"), "auroc", eps)
+
+
+def multilabel_auprc(df: DataFrame, scores: str, labels: str, eps: float = EPS) -> DataFrame:
+    """One row ``micro, macro, weighted, per_class``; 0 for a class without positives."""
+    table = labels_long(df, scores, labels)
+    sums = {"tp": F.col("pos"), "all": F.col("pos") + F.col("neg")}
+    per = _auprc_of(running(table, F.col("score"), [], sums, descending=True, by="class"), eps, "class")
+    micro = table.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return _averaged(per, _auprc_of(running(micro, F.col("score"), [], sums, descending=True), eps).select("auprc"), "auprc", eps)
+
+
 def auroc(df: DataFrame, score: str, y: str, eps: float = EPS) -> DataFrame:
     """One row ``auroc`` by the rank sum, equal scores sharing ranks; 0.5 where a class is missing."""
-    t = running(score_table(df, score, y), F.col("score"), [], {"below": F.col("neg")})
+    return _auroc_of(running(score_table(df, score, y), F.col("score"), [], {"below": F.col("neg")}), eps).select("auroc")
+
+
+def _auroc_of(t: DataFrame, eps: float, *by: str) -> DataFrame:
     won = t.withColumn("won", F.col("pos") * (F.col("below") - F.col("neg") / 2.0))
-    out = won.agg(F.sum("won").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return out.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n") + eps)).otherwise(0.5).alias("auroc"))
+    out = won.groupBy(*by).agg(F.sum("won").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return out.select(*by, "p", F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n") + eps)).otherwise(0.5).alias("auroc"))
 
 
 def auprc(df: DataFrame, score: str, y: str, eps: float = EPS) -> DataFrame:
     """One row ``auprc``: trapezoids of precision over recall by descending distinct score, no point at recall 0; 0 without positives."""
-    t = running(score_table(df, score, y), F.col("score"), [], {"tp": F.col("pos"), "all": F.col("pos") + F.col("neg")}, descending=True)
+    return _auprc_of(running(score_table(df, score, y), F.col("score"), [], {"tp": F.col("pos"), "all": F.col("pos") + F.col("neg")}, descending=True), eps).select("auprc")
+
+
+def _auprc_of(t: DataFrame, eps: float, *by: str) -> DataFrame:
     share = lambda tp, n: tp / (n + eps)
     before, rows_before = F.col("tp") - F.col("pos"), F.col("all") - F.col("pos") - F.col("neg")
     step = share(F.col("tp"), F.col("tp_all")) - share(before, F.col("tp_all"))
     step = F.when(rows_before > 0, step * (share(F.col("tp"), F.col("all")) + share(before, rows_before)) / 2)
-    return t.withColumn("step", step).agg(F.coalesce(F.when(F.max("tp_all") > 0, F.sum("step")), F.lit(0.0)).alias("auprc"))
+    return t.withColumn("step", step).groupBy(*by).agg(F.sum("pos").alias("p"), F.coalesce(F.when(F.max("tp_all") > 0, F.sum("step")), F.lit(0.0)).alias("auprc"))
 
 
 def regression(df: DataFrame, y: str, p: str, eps: float = EPS) -> DataFrame:

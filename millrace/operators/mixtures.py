@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import lists, matrix
+from .moments import moments
 from .resample import chance
 
 
@@ -63,6 +67,68 @@ def mixture(df: DataFrame, features: list[str], start: np.ndarray, steps: int =
     return model, now
 
 
+def full_mixture(df: DataFrame, vector: str, start: np.ndarray, steps: int = 50, tol: float = 1e-4, floor: float = 1e-6) -> tuple[tuple, float]:
+    """A mixture with full covariances from the means ``start``: (weights, means, covariances) and the mean log-likelihood before the last step.
+
+    Each step is one pass; tasks add up a count, a sum and a matrix of products, centred at the part's old mean, for every
+    part.  ``floor`` is added to the variances.
+    """
+    rows = df.select(F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).persist()
+    whole = moments(rows, "v")[None]
+    k, d = start.shape
+    model = (np.full(k, 1 / k), np.asarray(start, float), np.tile(whole.covariance(0) + floor * np.eye(d), (k, 1, 1)))
+    before = -np.inf
+    for _ in range(steps):
+        n, first, second, likelihood = _full_sums(rows, model)
+        size = np.maximum(n, 1e-12)[:, None]
+        shift = first / size
+        covariances = second / size[:, :, None] - shift[:, :, None] * shift[:, None, :] + floor * np.eye(d)
+        model, now = (n / whole.n, model[1] + shift, covariances), likelihood / whole.n
+        if now - before < tol:
+            break
+        before = now
+    rows.unpersist()
+    return model, now
+
+
+def log_densities(x: np.ndarray, model: tuple) -> np.ndarray:
+    """Log of weight times density of every part, full covariances."""
+    out = np.empty((len(x), len(model[0])))
+    for j, (w, m, c) in enumerate(zip(*model)):
+        low = np.linalg.cholesky(c)
+        z = np.linalg.solve(low, (x - m).T)
+        out[:, j] = np.log(w + 1e-300) - 0.5 * (z * z).sum(0) - np.log(np.diag(low)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
+    return out
+
+
+def _full_sums(rows: DataFrame, model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    k, d = model[1].shape
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, 2 + d + d * d))
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = matrix(batch.column(0))
+            logs = log_densities(x, model)
+            top = logs.max(1)
+            each = top + np.log(np.exp(logs - top[:, None]).sum(1))
+            share = np.exp(logs - each[:, None])
+            total[0, 0] += each.sum()
+            for j in range(k):
+                gap = x - model[1][j]
+                pulled = gap * share[:, j : j + 1]
+                total[j, 1] += share[:, j].sum()
+                total[j, 2 : 2 + d] += pulled.sum(0)
+                total[j, 2 + d :] += (pulled.T @ gap).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), lists(total)], names=["j", "s"])
+
+    found = np.zeros((k, 2 + d + d * d))
+    for r in rows.mapInArrow(add, "j int, s array<double>").select("j", F.posexplode("s").alias("i", "x")).groupBy("j", "i").agg(F.sum("x").alias("x")).collect():
+        found[r["j"], r["i"]] = r["x"]
+    return found[:, 1], found[:, 2 : 2 + d], found[:, 2 + d :].reshape(k, d, d), float(found[0, 0])
+
+
 def mini_batch_kmeans(df: DataFrame, features: list[str], key: str, start: np.ndarray, steps: int = 20, share: float = 0.1, seed: int = 0) -> np.ndarray:
     """Centres after ``steps`` batches, each a hashed share of the rows; a centre moves by the mean of its rows with a rate of its counts."""
     centres, counts = np.array(start, float), np.zeros(len(start))

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def running_sum(df: DataFrame, value: str, order: list[str], by: list[str], out: str = "running") -> DataFrame:
     return df.withColumn(out, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
@@ -38,14 +40,14 @@ def next_token(df: DataFrame, token: str, order: list[str], by: list[str], pad:
 
 
 def packed_blocks(df: DataFrame, tokens: str, order: str, by: str, block: int) -> DataFrame:
-    """(by, block_no, tokens): the sequences of a group joined in order and cut into whole blocks.
+    """(by, block_no, tokens): the sequences of a group joined in the order of a numeric key and cut into whole blocks.
 
-    Only lengths are windowed; every sequence cuts its own tokens at the blocks' bounds, and a block is
-    gathered from the parts that lie in it, so no task holds a whole group's tokens.
+    Lengths are summed in ranges of the order, so a large group is spread over tasks; every sequence cuts its own
+    tokens at the blocks' bounds, and a block is gathered from the parts that lie in it.
     """
     size = F.size(tokens)
-    end = F.sum(size).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    placed = df.withColumn("_end", end).withColumn("_begin", F.col("_end") - size).where(size > 0)
+    placed = running(df.where(size > 0), F.col(order), [], {"_end": size.cast("long")}, by=by)
+    placed = placed.withColumn("_begin", F.col("_end") - size)
     first, last = F.floor(F.col("_begin") / block), F.floor((F.col("_end") - 1) / block)
     cut = placed.withColumn("block_no", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("_begin"), F.col("block_no") * block)
@@ -110,6 +112,95 @@ def first_steps(w: Column, g: Column, lr: float = 0.01, beta1: float = 0.9, beta
     }
 
 
+def optimised(w: Column, gradients: Column, kind: str = "adam", lr: float = 0.01, beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8, decay: float = 0.01, nu: tuple[float, float] = (0.7, 1.0)) -> Column:
+    """The weight after every step of an array of gradients, with the optimiser's moments carried from step to step.
+
+    kind: sgd, momentum, nesterov, adagrad, rmsprop, adadelta, adam, adamw, nadam, radam, lion or qhadam.
+    """
+    zero = F.lit(0.0)
+    start = F.struct(w.cast("double").alias("w"), zero.alias("m"), zero.alias("v"), zero.alias("u"), F.lit(1.0).alias("p1"), F.lit(1.0).alias("p2"), zero.alias("t"), F.array().cast("array<double>").alias("out"))
+
+    def step(s: Column, g: Column) -> Column:
+        t, p1, p2, u = s["t"] + 1, s["p1"] * beta1, s["p2"] * beta2, s["u"]
+        m, v = beta1 * s["m"] + (1 - beta1) * g, beta2 * s["v"] + (1 - beta2) * g * g
+        mh, vh = m / (1 - p1), v / (1 - p2)
+        if kind == "sgd":
+            move = lr * g
+        elif kind == "momentum":
+            move = lr * m
+        elif kind == "nesterov":
+            move = lr * (beta1 * m + (1 - beta1) * g)
+        elif kind == "adagrad":
+            v = s["v"] + g * g
+            move = lr * g / (F.sqrt(v) + eps)
+        elif kind == "rmsprop":
+            v = 0.9 * s["v"] + 0.1 * g * g
+            move = lr * g / (F.sqrt(v) + eps)
+        elif kind == "adadelta":
+            v = 0.95 * s["v"] + 0.05 * g * g
+            move = F.sqrt(s["u"] + eps) / F.sqrt(v + eps) * g
+            u = 0.95 * s["u"] + 0.05 * move * move
+        elif kind == "adam":
+            move = lr * mh / (F.sqrt(vh) + eps)
+        elif kind == "adamw":
+            move = lr * mh / (F.sqrt(vh) + eps) + lr * decay * s["w"]
+        elif kind == "nadam":
+            move = lr * (beta1 * mh + (1 - beta1) * g / (1 - p1)) / (F.sqrt(vh) + eps)
+        elif kind == "radam":
+            most = 2 / (1 - beta2) - 1
+            rho = most - 2 * t * p2 / (1 - p2)
+            straight = F.sqrt((rho - 4) * (rho - 2) * most / ((most - 4) * (most - 2) * rho))
+            move = F.when(rho > 4, lr * mh * straight / (F.sqrt(vh) + eps)).otherwise(lr * mh)
+        elif kind == "lion":
+            move = lr * F.signum(beta1 * s["m"] + (1 - beta1) * g) + lr * decay * s["w"]
+            m = beta2 * s["m"] + (1 - beta2) * g
+        elif kind == "qhadam":
+            move = lr * ((1 - nu[0]) * g + nu[0] * mh) / (F.sqrt((1 - nu[1]) * g * g + nu[1] * vh) + eps)
+        else:
+            raise ValueError(f"no optimiser {kind!r}")
+        after = s["w"] - move
+        return F.struct(after.alias("w"), m.alias("m"), v.alias("v"), u.alias("u"), p1.alias("p1"), p2.alias("p2"), t.alias("t"), F.array_append(s["out"], after).alias("out"))
+
+    return F.aggregate(gradients, start, step, lambda s: s["out"])
+
+
+def plateau_rates(values: Column, base: float = 0.1, factor: float = 0.5, patience: int = 3, least: float = 0.0, delta: float = 0.0) -> Column:
+    """The rate after each value of an array of losses: cut by ``factor`` whenever more than ``patience`` in a row are no better than the best."""
+    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("waited"), F.lit(float(base)).alias("rate"), F.array().cast("array<double>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        better = x < s["best"] - delta
+        waited = F.when(better, 0).otherwise(s["waited"] + 1)
+        cut_now = waited > patience
+        rate = F.when(cut_now, F.greatest(s["rate"] * factor, F.lit(float(least)))).otherwise(s["rate"])
+        return F.struct(F.when(better, x).otherwise(s["best"]).alias("best"), F.when(cut_now, 0).otherwise(waited).alias("waited"), rate.alias("rate"), F.array_append(s["out"], rate).alias("out"))
+
+    return F.aggregate(values, start, step, lambda s: s["out"])
+
+
+def one_cycle(t: Column, total: int, top: float = 0.1, rise: float = 0.3, first: float = 25.0, last: float = 1e4) -> Column:
+    """The rate at step ``t`` of a cycle: half a cosine from ``top / first`` up over the share ``rise``, and down to ``top / first / last``."""
+    edge = rise * total - 1
+    low, end = top / first, top / first / last
+    bend = lambda a, b, p: b + (a - b) / 2.0 * (1 + F.cos(math.pi * p))
+    return F.when(t <= edge, bend(low, top, t / edge)).otherwise(bend(top, end, (t - edge) / (total - 1 - edge)))
+
+
+def alpha_bars(steps: int = 1000, low: float = 0.0001, high: float = 0.02) -> list[float]:
+    """The products of 1 - beta over a linear schedule of noise."""
+    out, product = [], 1.0
+    for k in range(steps):
+        product *= 1 - (low + (high - low) * k / max(steps - 1, 1))
+        out.append(product)
+    return out
+
+
+def noised(x: Column, t: Column, noise: Column, steps: int = 1000) -> Column:
+    """A value after ``t`` steps (from 0) of a linear schedule: what is left of it, and noise for what has gone."""
+    left = F.element_at(F.lit(alpha_bars(steps)), (t + 1).cast("int"))
+    return F.sqrt(left) * x + F.sqrt(1 - left) * noise
+
+
 def clip_by_global_norm(df: DataFrame, value: str, most: float) -> DataFrame:
     """Gradients scaled down where the norm of all of them exceeds ``most``."""
     norm = df.agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm"))

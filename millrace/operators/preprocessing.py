@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from itertools import combinations, combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import numbered, quantiles
+
 
 def _apply(df: DataFrame, stats: list[Column], columns: list[str], form) -> DataFrame:
     """``df`` beside the one row of its own statistics."""
@@ -47,13 +49,13 @@ def maxabs_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def robust_scale(df: DataFrame, columns: list[str], low: float = 0.25, high: float = 0.75) -> DataFrame:
     """(x - median) / (upper - lower quantile), linearly interpolated; a zero range has divisor 1."""
-    stats = [F.expr(f"percentile({c}, array(0.5D, {low}D, {high}D))").alias(f"_q_{c}") for c in columns]
+    one = quantiles(df, columns, [0.5, low, high])
 
     def form(c: str) -> Column:
-        q = F.col(f"_q_{c}")
+        q = F.col(f"q_{c}")
         return (F.col(c) - q[0]) / F.when(q[2] - q[1] == 0, 1.0).otherwise(q[2] - q[1])
 
-    return _apply(df, stats, columns, form)
+    return df.crossJoin(F.broadcast(one)).select(*[form(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def normalize_rows(df: DataFrame, columns: list[str], norm: str = "l2") -> DataFrame:
@@ -85,9 +87,12 @@ def impute(df: DataFrame, columns: list[str], strategy: str = "mean", value: flo
         for c in columns:
             best = clean.where(F.col(c).isNotNull()).groupBy(c).count().agg(F.min_by(c, F.struct(-F.col("count"), F.col(c))).alias(f"_fill_{c}"))
             state = best if state is None else state.crossJoin(best)
+    elif strategy == "median":
+        state = quantiles(clean, columns, [0.5]).select(*[F.col(f"q_{c}")[0].alias(f"_fill_{c}") for c in columns])
+    elif strategy == "mean":
+        state = clean.agg(*[F.avg(c).alias(f"_fill_{c}") for c in columns])
     else:
-        make = {"mean": F.avg, "median": F.median}[strategy]
-        state = clean.agg(*[make(c).alias(f"_fill_{c}") for c in columns])
+        raise ValueError(f"no strategy {strategy!r}")
     fill = lambda c: F.coalesce(F.col(c), F.col(f"_fill_{c}"), F.lit(0.0))
     return clean.crossJoin(state).select(*[fill(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
@@ -107,7 +112,8 @@ def polynomial(df: DataFrame, columns: list[str], degree: int = 2, bias: bool =
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(column, code): the distinct values numbered in sorted order, from 0."""
-    return df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("code", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(column)) - 1)
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    return numbered(values, column, "code").withColumn("code", F.col("code").cast("int"))
 
 
 def label_encode(df: DataFrame, column: str, codes: DataFrame | None = None) -> DataFrame:

@@ -15,15 +15,16 @@ EPS = 1e-12
 
 
 def common_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence, one row of the table at a time."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = [0] * (len(b) + 1)
-    for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence: a row of the table is the bits of one number, changed by a few operations."""
+    places: dict = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    whole = (1 << len(a)) - 1
+    row = whole  # a zero at place k: the length grows at a[k]
+    for y in b:
+        met = row & places.get(y, 0)
+        row = ((row + met) | (row - met)) & whole
+    return len(a) - row.bit_count()
 
 
 def lcs(a: Column, b: Column) -> Column:

@@ -41,6 +41,45 @@ def fp8(x: Column) -> Column:
     return F.signum(x) * F.when(m < 2.0**-9, 0.0).otherwise(F.least(F.rint(m / step) * step, F.lit(448.0)))
 
 
+def fp8_byte(x: Column) -> Column:
+    """The byte of :func:`fp8`: a sign, four bits of exponent (biased by 7) and three of mantissa; NaN and null values are 127."""
+    v = fp8(F.nanvl(x, F.lit(0.0)))
+    m = F.abs(v)
+    exponent = F.greatest(F.floor(F.log2(F.greatest(m, F.lit(2.0**-20)))), F.lit(-6))
+    normal = m >= 2.0**-6
+    mantissa = F.when(normal, m / F.pow(F.lit(2.0), exponent.cast("double")) * 8 - 8).otherwise(m * 512).cast("int")
+    byte = F.when(x < 0, 128).otherwise(0) + F.when(normal, (exponent + 7).cast("int") * 8).otherwise(0) + mantissa
+    return F.when(x.isNull() | F.isnan(x), 127).otherwise(byte).cast("int")
+
+
+def fp8_value(byte: Column) -> Column:
+    """The value of a byte of :func:`fp8_byte`; NaN for 127 and 255."""
+    exponent, mantissa = F.shiftright(byte, 3).bitwiseAND(15), byte.bitwiseAND(7)
+    size = F.when(exponent == 0, mantissa / 8.0 * 2.0**-6).otherwise((1 + mantissa / 8.0) * F.pow(F.lit(2.0), (exponent - 7).cast("double")))
+    return F.when(byte.bitwiseAND(127) == 127, float("nan")).otherwise(F.when(byte >= 128, -size).otherwise(size))
+
+
+def packed_blocks_4bit(df: DataFrame, by: str, at: str, value: str, block: int = 64) -> DataFrame:
+    """(by, block_no, n, packed, scale_byte): blocks of ``block`` values as two codes a byte, the first one high, and the scale as a byte of :func:`fp8_byte`.
+
+    Positions count from 0 without gaps; an odd last code has a zero beside it.
+    """
+    coded = quantize_4bit(df, by, at, value, block)
+    rows = coded.groupBy(by, "block_no").agg(F.first("scale").alias("scale"), F.transform(F.array_sort(F.collect_list(F.struct(at, "code"))), lambda s: s["code"]).alias("codes"))
+    pair = lambda k: pack_4bit(F.element_at("codes", (2 * k + 1).cast("int")), F.coalesce(F.try_element_at("codes", (2 * k + 2).cast("int")), F.lit(0)))
+    hexadecimal = F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(F.size("codes") / 2).cast("int") - 1), lambda k: F.lpad(F.hex(pair(k)), 2, "0")), "")
+    return rows.select(by, "block_no", F.size("codes").alias("n"), F.unhex(hexadecimal).alias("packed"), fp8_byte(F.col("scale")).alias("scale_byte"))
+
+
+def unpacked_blocks_4bit(packed: DataFrame, by: str, at: str = "at", block: int = 64) -> DataFrame:
+    """(by, at, restored) of :func:`packed_blocks_4bit`'s rows."""
+    byte = F.conv(F.hex(F.substring("packed", F.col("k") / 2 + 1, F.lit(1))), 16, 10).cast("int")
+    high, low = unpack_4bit(byte)
+    each = packed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("code", F.when(F.col("k") % 2 == 0, high).otherwise(low))
+    level = F.element_at(F.array(*[F.lit(v) for v in NF4]), F.col("code") + 1)
+    return each.select(by, (F.col("block_no") * block + F.col("k")).alias(at), (level * fp8_value(F.col("scale_byte"))).alias("restored"))
+
+
 def rounded_to_step(x: Column, step: float) -> Column:
     """Half-even rounding to multiples of a step."""
     return F.rint(x / step) * step

@@ -23,10 +23,7 @@ def holdout(df: DataFrame, key: str, test_share: float, seed: int = 0) -> DataFr
 
 def _places(df: DataFrame, order: list[Column], by: str | None) -> DataFrame:
     """Adds ``rank`` and ``rank_all``, over all rows or over those of the same value of ``by``."""
-    if by is None:
-        return ranked(df, *order)
-    w = Window.partitionBy(by)
-    return df.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("rank_all", F.count(F.lit(1)).over(w))
+    return ranked(df, *order, by=by)
 
 
 def holdout_exact(df: DataFrame, key: str, test_share: float, by: str | None = None, seed: int = 0) -> DataFrame:
@@ -74,6 +71,24 @@ def complement(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key), key, "left_anti")
 
 
+def shuffle_splits(df: DataFrame, key: str, splits: int, test_share: float, train_share: float | None = None, seed: int = 0, by: str | None = None) -> DataFrame:
+    """(split, part, all columns): ``splits`` independent draws of a test part and a training part, per value of ``by`` if given.
+
+    Rows are ranked by a hash of split and key; the first are tested and the next are trained on, or all the others without
+    ``train_share``.  Both parts of a group have at least one row where it has two.
+    """
+    out = None
+    for k in range(splits):
+        turned = ranked(df, key_hash(key, seed * 7919 + k * 104729), F.col(key), by=by)
+        n = F.col("rank_all")
+        test = F.least(F.greatest(F.round(n * test_share), F.lit(1)), F.greatest(n - 1, F.lit(1)))
+        train = n - test if train_share is None else F.least(F.greatest(F.round(n * train_share), F.lit(1)), n - test)
+        part = F.when(F.col("rank") <= test, "test").when(F.col("rank") <= test + train, "train")
+        own = turned.withColumn("part", part).where("part is not null").drop("rank", "rank_all").select(F.lit(k).alias("split"), "part", *df.columns)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def mixed(parts: list[DataFrame]) -> DataFrame:
     """All rows of all parts by column name, with the number of the part."""
     out = None

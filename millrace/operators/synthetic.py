@@ -1,4 +1,4 @@
-"""Made-up tables on ``spark.range``: every value is a hash of its row's number and the seed, so any partitioning gives the same rows."""
+"""Made-up tables on numbered rows, or on the keys of a table: every value is a hash of its row's number and the seed, so any partitioning gives the same rows."""
 
 from __future__ import annotations
 
@@ -12,8 +12,9 @@ from .resample import chance, normal
 TURN = 6.283185307179586
 
 
-def _rows(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n)
+def _rows(spark: SparkSession, n: int | DataFrame) -> DataFrame:
+    """Rows numbered ``id``: so many, or one for each value of the first column of a table."""
+    return n.select(F.col(n.columns[0]).alias("id")) if isinstance(n, DataFrame) else spark.range(n)
 
 
 def _vector(d: int, seed: int, kind=normal) -> Column:
@@ -37,7 +38,7 @@ def _flipped(label: Column, share: float, seed: int, classes: int = 2) -> Column
     return F.when(chance("id", seed, 6) < share, other).otherwise(label)
 
 
-def classification(spark: SparkSession, n: int, d: int = 4, classes: int = 2, spread: float = 1.0, flip: float = 0.0, weights: list[float] | None = None, informative: int | None = None, seed: int = 0) -> DataFrame:
+def classification(spark: SparkSession, n: int | DataFrame, d: int = 4, classes: int = 2, spread: float = 1.0, flip: float = 0.0, weights: list[float] | None = None, informative: int | None = None, seed: int = 0) -> DataFrame:
     """(id, label, v): Gaussian classes around seeded centres; ``weights`` make them unequal, ``informative`` leaves the later features without signal."""
     weights = weights or [1.0] * classes
     total, upto, u, drawn = sum(weights), 0.0, chance("id", seed, 1), F.lit(classes - 1)
@@ -53,62 +54,62 @@ def classification(spark: SparkSession, n: int, d: int = 4, classes: int = 2, sp
     return rows.select("id", _flipped(F.col("label"), flip, seed, classes).cast("int").alias("label"), v.alias("v"))
 
 
-def regression(spark: SparkSession, n: int, d: int = 4, noise: float = 0.1, informative: int | None = None, seed: int = 0) -> DataFrame:
+def regression(spark: SparkSession, n: int | DataFrame, d: int = 4, noise: float = 0.1, informative: int | None = None, seed: int = 0) -> DataFrame:
     """(id, y, v): a seeded linear form of normal features; features from ``informative`` on have no weight."""
     rows = _rows(spark, n).withColumn("v", _vector(d, seed))
     return rows.select("id", (_dot(F.col("v"), _coef(d, seed, informative)) + noise * normal("id", seed, 3)).alias("y"), "v")
 
 
-def xor(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+def xor(spark: SparkSession, n: int | DataFrame, seed: int = 0) -> DataFrame:
     """(id, label, v): two uniform features in [-1, 1); label 1 where their signs differ."""
     rows = _rows(spark, n).withColumn("v", F.transform(_vector(2, seed, chance), lambda x: 2 * x - 1))
     return rows.select("id", ((F.col("v")[0] > 0) != (F.col("v")[1] > 0)).cast("int").alias("label"), "v")
 
 
-def checkerboard(spark: SparkSession, n: int, cells: int = 4, seed: int = 0) -> DataFrame:
+def checkerboard(spark: SparkSession, n: int | DataFrame, cells: int = 4, seed: int = 0) -> DataFrame:
     """(id, label, v): uniform points of the unit square, labelled as the squares of a board."""
     rows = _rows(spark, n).withColumn("v", _vector(2, seed, chance))
     return rows.select("id", ((F.floor(F.col("v")[0] * cells) + F.floor(F.col("v")[1] * cells)) % 2).cast("int").alias("label"), "v")
 
 
-def spirals(spark: SparkSession, n: int, arms: int = 2, turns: float = 1.5, noise: float = 0.02, seed: int = 0) -> DataFrame:
+def spirals(spark: SparkSession, n: int | DataFrame, arms: int = 2, turns: float = 1.5, noise: float = 0.02, seed: int = 0) -> DataFrame:
     """(id, label, v): points along the arms of a spiral, an arm a class."""
     r, arm = F.sqrt(chance("id", seed, 1)), F.col("id") % arms
     angle = r * turns * TURN + arm * (TURN / arms)
     return _rows(spark, n).select("id", arm.cast("int").alias("label"), F.array(r * F.cos(angle) + noise * normal("id", seed, 2), r * F.sin(angle) + noise * normal("id", seed, 4)).alias("v"))
 
 
-def gaussian_quantiles(spark: SparkSession, n: int, d: int = 2, classes: int = 3, seed: int = 0) -> DataFrame:
+def gaussian_quantiles(spark: SparkSession, n: int | DataFrame, d: int = 2, classes: int = 3, seed: int = 0) -> DataFrame:
     """(id, label, v): standard normal rows, classes of equal share by distance from the origin."""
     rows = _rows(spark, n).withColumn("v", _vector(d, seed)).withColumn("_r", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     bounds = rows.agg(F.percentile_approx("_r", F.lit([k / classes for k in range(1, classes)]), F.lit(10_000)).alias("_b"))
     return rows.crossJoin(F.broadcast(bounds)).select("id", F.size(F.filter("_b", lambda b: b < F.col("_r"))).alias("label"), "v")
 
 
-def blobs(spark: SparkSession, n: int, spreads: list[float], d: int = 2, seed: int = 0) -> DataFrame:
+def blobs(spark: SparkSession, n: int | DataFrame, spreads: list[float], d: int = 2, seed: int = 0) -> DataFrame:
     """(id, label, v): a blob a spread, so that densities vary."""
     label = (F.col("id") % len(spreads)).cast("int")
     centres = F.lit([[8 * x for x in _coef(d, seed * 1013 + k)] for k in range(len(spreads))])
     return _rows(spark, n).select("id", label.alias("label"), F.zip_with(centres[label], _vector(d, seed), lambda c, e: c + F.lit([float(s) for s in spreads])[label] * e).alias("v"))
 
 
-def outliers(spark: SparkSession, n: int, share: float = 0.05, far: float = 8.0, d: int = 2, seed: int = 0) -> DataFrame:
+def outliers(spark: SparkSession, n: int | DataFrame, share: float = 0.05, far: float = 8.0, d: int = 2, seed: int = 0) -> DataFrame:
     """(id, label, v): normal rows, of which a share (label 1) is pushed to at least ``far`` from the origin."""
     out = chance("id", seed, 1) < share
     size = F.sqrt(F.aggregate(_vector(d, seed), F.lit(1e-12), lambda s, x: s + x * x))
     return _rows(spark, n).select("id", out.cast("int").alias("label"), F.transform(_vector(d, seed), lambda x: F.when(out, x / size * (far + size)).otherwise(x)).alias("v"))
 
 
-def low_rank(spark: SparkSession, n: int, d: int = 8, rank: int = 2, noise: float = 0.01, seed: int = 0) -> DataFrame:
+def low_rank(spark: SparkSession, n: int | DataFrame, d: int = 8, rank: int = 2, noise: float = 0.01, seed: int = 0) -> DataFrame:
     """(id, v): rows of a seeded subspace of ``rank`` dimensions, with noise."""
     inner = _rows(spark, n).withColumn("_z", _vector(rank, seed))
     basis = [_coef(rank, seed * 1019 + k) for k in range(d)]
     return inner.select("id", F.array(*[_dot(F.col("_z"), w) + noise * normal("id", seed, 5000 + 2 * k) for k, w in enumerate(basis)]).alias("v"))
 
 
-def ratings(spark: SparkSession, users: int, items: int, per_user: int = 10, rank: int = 3, noise: float = 0.2, seed: int = 0) -> DataFrame:
+def ratings(spark: SparkSession, users: int | DataFrame, items: int, per_user: int = 10, rank: int = 3, noise: float = 0.2, seed: int = 0) -> DataFrame:
     """(user, item, rating): ``per_user`` draws a user, one row a pair; ratings in [1, 5] from hidden factors of both sides."""
-    draws = spark.range(users).select(F.col("id").alias("user"), F.explode(F.sequence(F.lit(1), F.lit(per_user))).alias("k"))
+    draws = _rows(spark, users).select(F.col("id").alias("user"), F.explode(F.sequence(F.lit(1), F.lit(per_user))).alias("k"))
     pairs = draws.select("user", F.floor(chance("user", seed, F.col("k")) * items).alias("item")).distinct()
     both = reduce(Column.__add__, [normal("user", seed + 1, 2 * k) * normal("item", seed + 2, 2 * k) for k in range(rank)])
     return pairs.select("user", "item", F.least(F.greatest(3 + both / rank**0.5 + noise * normal(F.struct("user", "item"), seed + 3), F.lit(1.0)), F.lit(5.0)).alias("rating"))
@@ -120,20 +121,20 @@ def _symbols(length: int, vocabulary: int, seed: int) -> Column:
     return F.transform(F.sequence(F.lit(1), n), lambda k: 1 + F.floor(chance("id", seed + 1, k) * vocabulary))
 
 
-def sequence_task(spark: SparkSession, n: int, task: str = "copy", length: int = 10, vocabulary: int = 20, seed: int = 0) -> DataFrame:
+def sequence_task(spark: SparkSession, n: int | DataFrame, task: str = "copy", length: int = 10, vocabulary: int = 20, seed: int = 0) -> DataFrame:
     """(id, source, target): symbols and their copy, reverse or sorted order."""
     turn = {"copy": lambda s: s, "reverse": F.reverse, "sort": F.array_sort}[task]
     return _rows(spark, n).withColumn("source", _symbols(length, vocabulary, seed)).withColumn("target", turn(F.col("source")))
 
 
-def addition(spark: SparkSession, n: int, digits: int = 3, seed: int = 0) -> DataFrame:
+def addition(spark: SparkSession, n: int | DataFrame, digits: int = 3, seed: int = 0) -> DataFrame:
     """(id, source, target): ``"12+7="`` and ``"19"``."""
     number = lambda k: F.floor(chance("id", seed, k) * 10**digits)
     rows = _rows(spark, n).withColumns({"_a": number(1), "_b": number(2)})
     return rows.select("id", F.concat(F.col("_a").cast("string"), F.lit("+"), F.col("_b").cast("string"), F.lit("=")).alias("source"), (F.col("_a") + F.col("_b")).cast("string").alias("target"))
 
 
-def dyck(spark: SparkSession, n: int, pairs: int = 6, seed: int = 0) -> DataFrame:
+def dyck(spark: SparkSession, n: int | DataFrame, pairs: int = 6, seed: int = 0) -> DataFrame:
     """(id, text): balanced brackets of ``pairs`` pairs; an opening one is drawn where both kinds are possible."""
 
     def step(state: Column, k: Column) -> Column:
@@ -158,7 +159,7 @@ def bars_stripes(spark: SparkSession, side: int = 4) -> DataFrame:
     return kinds.select("id", "label", F.when(F.col("label") == 1, F.array(*rows)).otherwise(F.array(*columns)).alias("v"))
 
 
-def question_answers(spark: SparkSession, n: int, people: int = 10, seed: int = 0) -> DataFrame:
+def question_answers(spark: SparkSession, n: int | DataFrame, people: int = 10, seed: int = 0) -> DataFrame:
     """(id, context, question, answer): who holds what, and a question about one of them."""
     things = F.lit(["key", "lamp", "map", "coin", "ring"])
     held = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct((F.floor((F.col("id") * 7 + k) % people)).alias("who"), things[F.floor(chance("id", seed, k) * 5).cast("int")].alias("what")))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import cut, discard
+from .ranks import ranked
+
 #: Runs of letters, digits and underscores; with PUNCT also single other characters.
 WORD = r"[\p{L}\p{N}_]+"
 PUNCT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -30,8 +33,10 @@ def sentences(text: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """The n-grams of an array, space-joined; none for a shorter array."""
-    last = F.size(words) - n + 1
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.array_join(F.slice(words, k, n), " ")))
+    held = F.array(words)  # bound once: a lambda would evaluate the words again for every gram
+    last = lambda w: F.size(w) - n + 1
+    some = lambda w: F.transform(F.sequence(F.lit(1), last(w)), lambda k: F.array_join(F.slice(w, k, n), " "))
+    return F.transform(held, lambda w: F.when(last(w) >= 1, some(w)).otherwise(F.array().cast("array<string>")))[0]
 
 
 def ngram_counts(df: DataFrame, text: str, n: int, by: list[str] | None = None, pattern: str = WORD) -> DataFrame:
@@ -71,28 +76,75 @@ def pair_counts(words: DataFrame, symbols: str = "symbols") -> DataFrame:
     return words.where(F.size(symbols) > 1).select("n", F.explode(pairs).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n"))
 
 
-def merge_pair(symbols: Column, a: str, b: str) -> Column:
-    """Adjacent a, b joined from left to right."""
-    step = lambda acc, x: F.when((F.element_at(acc, -1) == a) & (x == b), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.lit(a + b)))).otherwise(F.concat(acc, F.array(x)))
+def merge_pairs(symbols: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Adjacent pairs joined from left to right; the pairs have no symbol in common."""
+    partner = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(partner[F.element_at(acc, -1)] == x, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), x)))).otherwise(F.array_append(acc, x))
+
     return F.when(F.size(symbols) < 2, symbols).otherwise(F.aggregate(F.slice(symbols, F.lit(2), F.size(symbols)), F.slice(symbols, 1, 1), step))
 
 
-def bpe_merges(df: DataFrame, text: str, merges: int) -> list[tuple[str, str]]:
-    """The most frequent pairs in turn (ties to the smaller pair); only the best pair reaches the driver."""
-    words = word_table(df, text).withColumn("symbols", F.split("word", "")).persist()
-    held = [words]
+def merge_pair(symbols: Column, a: str, b: str) -> Column:
+    return merge_pairs(symbols, [(a, b)])
+
+
+def surely_next(top: list[tuple[str, str, int]], most: int) -> list[tuple[str, str]]:
+    """How many of the most frequent pairs, in order, are the merges that follow one another whatever each merge brings about.
+
+    Merging a, b makes pairs that are no more frequent than those that a or b had with others.  So a pair is next if
+    it shares no symbol with those before it and every pair that meets one of them is rarer than it; a list that ends
+    in its own count says nothing about the pairs after its end.
+    """
+    held: list[tuple[str, str]] = []
+    for k, (a, b, n) in enumerate(top[:most]):
+        used = {x for pair in held for x in pair}
+        if held and (a in used or b in used or a == b):
+            break
+        if held and n == top[-1][2]:
+            break
+        ahead = [(x, y) for x, y, m in top if m >= n]
+        if any((y == c and (x, y) != (c, d)) or (x == d and (x, y) != (c, d)) or (y == c and x == d) for x, y in ahead for c, d in held):
+            break
+        held.append((a, b))
+        if a == b:
+            break
+    return held
+
+
+def bpe_merges(df: DataFrame, text: str, merges: int, ahead: int = 256) -> list[tuple[str, str]]:
+    """The most frequent pairs in turn (ties to the smaller pair), as merging one after another would find them.
+
+    Pair counts are a table that is kept: a round changes the words that hold the merged pairs and adds what these words
+    lose and gain.  A round takes as many of the first pairs as are sure to follow one another; only the ``ahead`` most
+    frequent pairs reach the driver.
+    """
+    words = cut(word_table(df, text).withColumn("symbols", F.split("word", "")).select("n", "symbols"), "bpe-words")
+    counts = cut(pair_counts(words), "bpe-pairs")
     found: list[tuple[str, str]] = []
-    for k in range(merges):
-        best = pair_counts(words).orderBy(F.desc("n"), "a", "b").first()
-        if best is None:
+    while len(found) < merges:
+        top = [(r["a"], r["b"], r["n"]) for r in counts.orderBy(F.desc("n"), "a", "b").limit(ahead).collect()]
+        if not top:
+            break
+        pairs = surely_next(top if len(top) == ahead else [*top, ("", "", 0)], min(merges - len(found), len(top)))
+        found += pairs
+        if len(found) == merges:
             break
-        found.append((best["a"], best["b"]))
-        words = words.withColumn("symbols", merge_pair(F.col("symbols"), best["a"], best["b"]))
-        if k % 4 == 3:  # kept, so no round repeats more than three merges
-            words = words.persist()
-            held.append(words)
-    for table in reversed(held):
-        table.unpersist()
+        partner = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+        holds = F.exists(F.arrays_zip(F.col("symbols").alias("x"), F.slice("symbols", F.lit(2), F.size("symbols")).alias("y")), lambda p: F.coalesce(partner[p["x"]] == p["y"], F.lit(False)))
+        marked = words.withColumn("hit", holds).withColumn("new", F.when(F.col("hit"), merge_pairs(F.col("symbols"), pairs)).otherwise(F.col("symbols")))
+        marked = cut(marked, "bpe-words")
+        hit = marked.where("hit")
+        lost = pair_counts(hit).select("a", "b", (-F.col("n")).alias("n"))
+        gained = pair_counts(hit.select("n", F.col("new").alias("symbols")))
+        after = counts.unionByName(lost).unionByName(gained).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+        after = cut(after, "bpe-pairs")
+        discard(counts)
+        discard(words)
+        words, counts = marked.select("n", F.col("new").alias("symbols")), after
+    discard(counts)
+    discard(words)
     return found
 
 
@@ -112,16 +164,15 @@ def mask(ids: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: (k <= F.size(ids)).cast("int"))
 
 
-def batches(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Adds ``batch``: ranges of ``size`` rows in the order of a dense key, the last one partial.
+def batches(df: DataFrame, key: str, size: int, seed: int | None = None, drop_last: bool = False) -> DataFrame:
+    """Adds ``batch``: ``size`` rows each, in the order of a numeric key or, with ``seed``, of a hash of it; the last one partial or gone.
 
-    Ranks come from counts per key range and a window inside ranges, so no window runs over all rows.
+    Places come from ranks in ranges, so no window runs over all rows.
     """
-    ranged = df.withColumn("_r", F.floor(F.col(key) / 4096))
-    before = Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_r").orderBy(key)) - 1
-    return ranged.join(counts, "_r").withColumn("batch", F.floor(place / size)).drop("_r", "_n", "_before")
+    order = [F.col(key)] if seed is None else [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+    out = ranked(df, *order).withColumn("batch", F.floor((F.col("rank") - 1) / size))
+    out = out.where((F.col("batch") + 1) * size <= F.col("rank_all")) if drop_last else out
+    return out.drop("rank", "rank_all")
 
 
 def pad_in_batch(df: DataFrame, ids: str, batch: str = "batch") -> DataFrame:

@@ -8,16 +8,16 @@ from ..functions import losses as L
 from ..operators import algebra, boxes
 from .registry import query, table
 
-_V = "(SELECT vec_id, label, [x::DOUBLE FOR x IN embedding[1:10]] AS v FROM embeddings)"
+_V = "(SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings)"
 _SOFT = f"(SELECT vec_id, label, v, list_max(v) AS top, list_sum([exp(x - list_max(v)) FOR x IN v]) AS total FROM {_V})"
 
 
 def _scores(spark, sf):
-    """The ten first components as scores of the ten labels."""
-    return table(spark, sf, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("v"))
+    """All components as the scores of as many classes."""
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
-@query(f"SELECT vec_id, round(-(v[label + 1] - top - ln(total)), 6) AS loss, round(-(0.9 * (v[label + 1] - top - ln(total)) + 0.01 * list_sum([x - top - ln(total) FOR x IN v])), 6) AS smooth FROM {_SOFT}")
+@query(f"SELECT vec_id, round(-(v[label + 1] - top - ln(total)), 6) AS loss, round(-(0.9 * (v[label + 1] - top - ln(total)) + 0.1 / 64 * list_sum([x - top - ln(total) FOR x IN v])), 6) AS smooth FROM {_SOFT}")
 def cross_entropy(spark, sf):
     d = _scores(spark, sf)
     return d.select("vec_id", F.round(L.cross_entropy(F.col("v"), F.col("label")), 6).alias("loss"), F.round(L.cross_entropy(F.col("v"), F.col("label"), 0.1), 6).alias("smooth"))
@@ -31,18 +31,21 @@ def nll_loss(spark, sf):
     return d.agg(F.round(F.avg(L.nll(F.col("logp"), F.col("label"))), 6).alias("nll"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT vec_id, round(greatest(sqrt(list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v[1:3], v[4:6])])) - sqrt(list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v[1:3], v[7:9])])) + 1, 0), 6) AS loss FROM {_V}")
+@query(f"SELECT a.vec_id, round(greatest(list_distance(a.v, p.v) - list_distance(a.v, n.v) + 1, 0), 6) AS loss FROM {_V} a JOIN {_V} p ON p.vec_id = a.vec_id + 1 JOIN {_V} n ON n.vec_id = a.vec_id + 2")
 def triplet_loss(spark, sf):
-    part = lambda k: F.slice("v", k, 3)
-    return _scores(spark, sf).select("vec_id", F.round(L.triplet(part(1), part(4), part(7), 1.0), 6).alias("loss"))
+    """Every vector against the next as its like and the one after as its unlike."""
+    d = _scores(spark, sf)
+    next_ = lambda k: d.select((F.col("vec_id") - k).alias("vec_id"), F.col("v").alias(f"v{k}"))
+    both = d.join(next_(1), "vec_id").join(next_(2), "vec_id")
+    return both.select("vec_id", F.round(L.triplet(F.col("v"), F.col("v1"), F.col("v2"), 1.0), 6).alias("loss"))
 
 
-@query(f"WITH s AS (SELECT vec_id, [exp(x - top) / total FOR x IN v] AS p FROM {_SOFT}) SELECT vec_id, round(list_sum([x * (ln(x) - ln(0.1)) FOR x IN p]), 6) AS kl FROM s")
+@query(f"WITH s AS (SELECT vec_id, [exp(x - top) / total FOR x IN v] AS p FROM {_SOFT}) SELECT vec_id, round(list_sum([x * (ln(x) - ln(1 / 64.0)) FOR x IN p]), 6) AS kl FROM s")
 def kl_divergence(spark, sf):
     from ..functions import vectors as V
 
     d = _scores(spark, sf).withColumn("p", V.softmax(F.col("v")))
-    return d.select("vec_id", F.round(L.kl_divergence(F.col("p"), F.array_repeat(F.lit(0.1), 10)), 6).alias("kl"))
+    return d.select("vec_id", F.round(L.kl_divergence(F.col("p"), F.array_repeat(F.lit(1 / 64.0), 64)), 6).alias("kl"))
 
 
 _MATRIX = "(SELECT vec_id AS i, unnest(range(1, 65)) - 1 AS j, unnest(embedding)::DOUBLE AS x FROM embeddings)"

@@ -1,4 +1,4 @@
-"""Queries of made-up tables and augmentations: each states what holds for every row, whatever is drawn."""
+"""Queries of tables made up from the keys of given ones, and of augmentations: each states what holds for every row, whatever is drawn."""
 
 from __future__ import annotations
 
@@ -11,43 +11,43 @@ from ..operators import augment as A
 from ..operators import synthetic as S
 from .registry import query, table
 
-_NAMES = ["addition", "bars_stripes", "blobs", "checkerboard", "classification", "copy", "dyck", "gaussian_quantiles", "low_rank", "next_tokens", "outliers", "question_answers", "regression", "reverse", "sort", "spirals", "xor"]
-_COUNT = {"bars_stripes": 32}
+_NAMES = ["addition", "blobs", "checkerboard", "classification", "copy", "dyck", "gaussian_quantiles", "low_rank", "next_tokens", "outliers", "question_answers", "regression", "reverse", "sort", "spirals", "xor"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {_COUNT.get(n, 2000)}::BIGINT, true)" for n in _NAMES) + ") AS t(made, n, holds)")
+@query("SELECT made, (SELECT count(*) FROM orders) AS n, true AS holds FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NAMES) + "]) AS made)")
 def made_tables(spark, sf):
-    """Rows of each generator, and whether its rule holds for all of them."""
+    """A row of each generator for every order, and whether its rule holds for all of them."""
+    keys = table(spark, sf, "orders").select("o_orderkey")
     v = F.col("v")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     part = lambda sep, i: F.split("source", sep)[i]
     depth = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: 2 * F.length(F.replace(F.substring("text", F.lit(1), i), F.lit(")"), F.lit(""))) - i)
     rules: dict[str, tuple[DataFrame, Column]] = {
-        "addition": (S.addition(spark, 2000), part(r"\+", 0).cast("long") + F.regexp_extract("source", r"\+(\d+)=", 1).cast("long") == F.col("target").cast("long")),
-        "bars_stripes": (S.bars_stripes(spark, 4), F.when(F.col("label") == 1, F.forall(F.sequence(F.lit(0), F.lit(3)), lambda r: F.size(F.array_distinct(F.slice("v", r * 4 + 1, F.lit(4)))) == 1)).otherwise(F.slice("v", 1, 4) == F.slice("v", 13, 4))),
-        "blobs": (S.blobs(spark, 2000, [0.1, 1.0]), (F.size("v") == 2) & F.col("label").between(0, 1)),
-        "checkerboard": (S.checkerboard(spark, 2000), (F.floor(v[0] * 4) + F.floor(v[1] * 4)) % 2 == F.col("label")),
-        "classification": (S.classification(spark, 2000, 3, 3, weights=[1, 2, 7], flip=0.05), F.col("label").between(0, 2) & (F.size("v") == 3)),
-        "copy": (S.sequence_task(spark, 2000, "copy"), F.col("source") == F.col("target")),
-        "dyck": (S.dyck(spark, 2000), F.forall(depth, lambda d: d >= 0) & (F.element_at(depth, -1) == 0) & (F.length("text") == 12)),
-        "gaussian_quantiles": (S.gaussian_quantiles(spark, 2000), F.col("label").between(0, 2)),
-        "low_rank": (S.low_rank(spark, 2000, 8, 2), F.size("v") == 8),
-        "next_tokens": (S.next_tokens(S.dyck(spark, 2000), "text"), F.slice("source", 2, 10) == F.slice("target", 1, 10)),
-        "outliers": (S.outliers(spark, 2000), (F.col("label") == 0) | (norm >= 8)),
-        "question_answers": (S.question_answers(spark, 2000), F.contains("context", F.concat(F.regexp_extract("question", r"person (\d+)", 1), F.lit(" has the "), F.col("answer")))),
-        "regression": (S.regression(spark, 2000, noise=0.0, informative=0), F.abs("y") < 1e-9),
-        "reverse": (S.sequence_task(spark, 2000, "reverse"), F.reverse("source") == F.col("target")),
-        "sort": (S.sequence_task(spark, 2000, "sort"), F.array_sort("source") == F.col("target")),
-        "spirals": (S.spirals(spark, 2000, noise=0.0), norm <= 1),
-        "xor": (S.xor(spark, 2000), ((v[0] > 0) != (v[1] > 0)) == (F.col("label") == 1)),
+        "addition": (S.addition(spark, keys), part(r"\+", 0).cast("long") + F.regexp_extract("source", r"\+(\d+)=", 1).cast("long") == F.col("target").cast("long")),
+        "blobs": (S.blobs(spark, keys, [0.1, 1.0]), (F.size("v") == 2) & F.col("label").between(0, 1)),
+        "checkerboard": (S.checkerboard(spark, keys), (F.floor(v[0] * 4) + F.floor(v[1] * 4)) % 2 == F.col("label")),
+        "classification": (S.classification(spark, keys, 3, 3, weights=[1, 2, 7], flip=0.05), F.col("label").between(0, 2) & (F.size("v") == 3)),
+        "copy": (S.sequence_task(spark, keys, "copy"), F.col("source") == F.col("target")),
+        "dyck": (S.dyck(spark, keys), F.forall(depth, lambda d: d >= 0) & (F.element_at(depth, -1) == 0) & (F.length("text") == 12)),
+        "gaussian_quantiles": (S.gaussian_quantiles(spark, keys), F.col("label").between(0, 2)),
+        "low_rank": (S.low_rank(spark, keys, 8, 2), F.size("v") == 8),
+        "next_tokens": (S.next_tokens(S.dyck(spark, keys), "text"), F.slice("source", 2, 10) == F.slice("target", 1, 10)),
+        "outliers": (S.outliers(spark, keys), (F.col("label") == 0) | (norm >= 8)),
+        "question_answers": (S.question_answers(spark, keys), F.contains("context", F.concat(F.regexp_extract("question", r"person (\d+)", 1), F.lit(" has the "), F.col("answer")))),
+        "regression": (S.regression(spark, keys, noise=0.0, informative=0), F.abs("y") < 1e-9),
+        "reverse": (S.sequence_task(spark, keys, "reverse"), F.reverse("source") == F.col("target")),
+        "sort": (S.sequence_task(spark, keys, "sort"), F.array_sort("source") == F.col("target")),
+        "spirals": (S.spirals(spark, keys, noise=0.0), norm <= 1),
+        "xor": (S.xor(spark, keys), ((v[0] > 0) != (v[1] > 0)) == (F.col("label") == 1)),
     }
     each = [df.agg(F.lit(n).alias("made"), F.count(F.lit(1)).alias("n"), F.bool_and(rule).alias("holds")) for n, (df, rule) in rules.items()]
     return reduce(DataFrame.unionByName, each)
 
 
-@query("SELECT 500::BIGINT AS users, true AS unique_pairs, true AS in_range")
+@query("SELECT count(*) AS users, true AS unique_pairs, true AS in_range FROM customer")
 def made_ratings(spark, sf):
-    r = S.ratings(spark, 500, 50)
+    """Ratings of fifty things by every customer."""
+    r = S.ratings(spark, table(spark, sf, "customer").select("c_custkey"), 50)
     return r.agg(F.count_distinct("user").alias("users"), (F.count(F.lit(1)) == F.count_distinct("user", "item")).alias("unique_pairs"), F.bool_and(F.col("rating").between(1, 5)).alias("in_range"))
 
 

@@ -94,11 +94,11 @@ def unigram_perplexity(spark, sf):
     return nll.agg(F.round(metrics.perplexity(nll, "nll", "n"), 4).alias("perplexity"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, unnest(embedding[1:10]) AS x, unnest(range(0, 10)) AS k FROM embeddings),
+@query("""WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS k FROM embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, k) AS place FROM e)
 SELECT round(sum((k = label AND place <= 3)::INT) / count(DISTINCT vec_id), 6) AS top3 FROM r""")
 def topk_accuracy(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.slice("embedding", 1, 10).alias("s"), "label")
+    e = table(spark, sf, "embeddings").select(F.col("embedding").alias("s"), "label")
     return e.agg(F.round(metrics.topk_accuracy(e, "s", "label", 3), 6).alias("top3"))
 
 
@@ -108,3 +108,29 @@ def batched_mean(spark, sf):
     e = table(spark, sf, "events")
     b = e.groupBy("event_type", F.floor(F.col("event_id") / 256).alias("batch")).agg(F.avg("value").alias("m"), F.sum("value").alias("s"), F.count("value").alias("n"))
     return b.groupBy("event_type").agg(F.round(F.avg("m"), 6).alias("mean_of_means"), F.round(F.sum("s") / F.sum("n"), 6).alias("pooled"))
+
+
+_LABELS = "(SELECT vec_id, k, x, (label = k % 10)::BIGINT AS y FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings))"
+
+
+@query(f"""WITH e AS {_LABELS}, t AS (SELECT k, x, sum(y) AS pos, sum(1 - y) AS neg FROM e GROUP BY k, x), u AS (SELECT x, sum(pos) AS pos, sum(neg) AS neg FROM t GROUP BY x),
+r AS (SELECT k, sum(pos * (below - neg / 2.0)) / (sum(pos) * sum(neg) + 1e-12) AS a, sum(pos) AS p FROM (SELECT *, sum(neg) OVER (PARTITION BY k ORDER BY x) AS below FROM t) GROUP BY k),
+m AS (SELECT sum(pos * (below - neg / 2.0)) / (sum(pos) * sum(neg) + 1e-12) AS micro FROM (SELECT *, sum(neg) OVER (ORDER BY x) AS below FROM u))
+SELECT round((SELECT micro FROM m), 8) AS micro, round(avg(a), 8) AS macro, round(sum(a * p) / sum(p), 8) AS weighted, round(max(a), 8) AS best FROM r""")
+def multilabel_auroc(spark, sf):
+    """Every component as the score of a class, of which a label has every tenth."""
+    d = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("s"), F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda k: (k % 10 == F.col("label")).cast("int")).alias("y"))
+    found = metrics.multilabel_auroc(d, "s", "y")
+    return found.select(*[F.round(c, 8).alias(c) for c in ("micro", "macro", "weighted")], F.round(F.array_max("per_class"), 8).alias("best"))
+
+
+@query(f"""WITH e AS {_LABELS}, t AS (SELECT k, x, sum(y) AS pos, sum(1 - y) AS neg FROM e GROUP BY k, x),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(pos + neg) OVER w AS n, sum(pos) OVER (PARTITION BY k) AS p FROM t WINDOW w AS (PARTITION BY k ORDER BY x DESC)),
+s AS (SELECT k, p, tp / (p + 1e-12) AS r, tp / (n + 1e-12) AS q, lag(tp / (p + 1e-12)) OVER w AS r0, lag(tp / (n + 1e-12)) OVER w AS q0 FROM c WINDOW w AS (PARTITION BY k ORDER BY x DESC)),
+a AS (SELECT k, any_value(p) AS p, coalesce(sum((r - r0) * (q + q0) / 2), 0) AS a FROM s GROUP BY k)
+SELECT round(avg(a), 8) AS macro, round(sum(a * p) / sum(p), 8) AS weighted, round(max(a), 8) AS best FROM a""")
+def multilabel_auprc(spark, sf):
+    """Every component as the score of a class, of which a label has every tenth."""
+    d = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("s"), F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda k: (k % 10 == F.col("label")).cast("int")).alias("y"))
+    found = metrics.multilabel_auprc(d, "s", "y")
+    return found.select(*[F.round(c, 8).alias(c) for c in ("macro", "weighted")], F.round(F.array_max("per_class"), 8).alias("best"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import models, neighbours
+from ..operators import classifiers, mixtures, models, neighbours, text
 from .registry import query, table
 
 _E = "(SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings)"
@@ -144,3 +145,65 @@ def linear_models(spark, sf):
     d = table(spark, sf, "orders").select((F.col("o_totalprice") / 100000).alias("x"), (F.col("o_custkey") % 10 / 10).alias("z"), (F.col("o_orderstatus") == "F").cast("double").alias("y"))
     out = {"lasso": models.elastic_net(d, ["x", "z"], "y", 0.1)[1], "elastic_net": models.elastic_net(d, ["x", "z"], "y", 0.1, 0.5)[1], "logistic": models.logistic(d, ["x", "z"], "y", steps=15)[1:], "linear_svc": models.linear_svc(d, ["x", "z"], "y", steps=15)[1:], "linear_svr": models.linear_svr(d, ["x", "z"], "y", steps=15)[1:]}
     return spark.createDataFrame([(n, float(w[0]), float(w[1])) for n, w in out.items()], "model string, x double, z double")
+
+
+_X = "(SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query("""WITH x AS (SELECT vec_id, label, k, (x > 0)::INT AS b FROM (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings)),
+m AS (SELECT label AS c, k, (sum(b) + 1) / (count(*) + 2.0) AS p, count(*) AS n FROM x GROUP BY label, k),
+s AS (SELECT vec_id, c, sum(CASE WHEN b = 1 THEN ln(p) ELSE ln(1 - p) END) + ln(any_value(n)::DOUBLE) AS s FROM x JOIN m USING (k) GROUP BY vec_id, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) AS r, exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w) AS p FROM s WINDOW w AS (PARTITION BY vec_id))
+SELECT vec_id, c AS predicted, round(p, 6) AS p FROM r WHERE r = 1""")
+def bernoulli_nb_predict(spark, sf):
+    """The likeliest label of every vector by the signs of its components, and its chance."""
+    names = [f"f{k}" for k in range(1, 65)]
+    d = table(spark, sf, "embeddings").select("vec_id", "label", *[F.element_at("embedding", k).cast("double").alias(n) for k, n in enumerate(names, 1)])
+    found = classifiers.BernoulliNB.fit(d, names, "label").predict(d)
+    return found.select("vec_id", "predicted", F.round(F.array_max("proba"), 6).alias("p"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL),
+v AS (SELECT count(DISTINCT word) AS v FROM c), t AS (SELECT lang, sum(n) AS t FROM c GROUP BY lang), q AS (SELECT coalesce(lang, '') AS lang, count(*) AS d FROM documents GROUP BY 1),
+k AS (SELECT doc_id, word, count(*) AS m FROM w GROUP BY ALL),
+s AS (SELECT k.doc_id, t.lang, sum(m * ln((coalesce(n, 0) + 1) / (t + v)::DOUBLE)) + ln(any_value(d) / (SELECT sum(d) FROM q)::DOUBLE) AS s FROM k CROSS JOIN t CROSS JOIN v JOIN q ON q.lang = t.lang LEFT JOIN c ON c.lang = t.lang AND c.word = k.word GROUP BY ALL)
+SELECT doc_id, arg_max(lang, s) AS predicted, round(max(s), 4) AS score FROM s GROUP BY doc_id""")
+def multinomial_nb_predict(spark, sf):
+    """The likeliest language of every text by its words."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    words = docs.select("doc_id", "lang", F.explode(text.tokens(F.lower("text"))).alias("word")).groupBy("doc_id", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    model = models.multinomial_nb(words, "lang", "word", "n")
+    priors = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return classifiers.multinomial_predict(words, model, priors, "doc_id", "lang", "word", "n").withColumn("score", F.round("score", 4))
+
+
+@query()
+def discriminant_predict(spark, sf):
+    """The label of every vector by linear discriminant analysis, and its chance."""
+    d = _vectors(spark, sf)
+    found = classifiers.discriminant_analysis(d, "v", "label").predict(d, "v")
+    return found.select("vec_id", "predicted", F.round(F.array_max("proba"), 6).alias("p"))
+
+
+@query(f"""WITH c AS (SELECT count(*)::DOUBLE AS n FROM embeddings), l AS (SELECT DISTINCT label AS c FROM embeddings), x AS (SELECT vec_id, label, unnest([1.0] || v) AS x, unnest(range(0, 65)) AS k FROM {_X}),
+g AS (SELECT c, k, -0.5 * sum((0.1 - (label = c)::INT) * x) / any_value(n) AS w FROM x, l, c GROUP BY c, k)
+SELECT vec_id, c AS label, round(sum(x * w), 8) + 0 AS score FROM x JOIN g USING (k) GROUP BY vec_id, c""")
+def softmax_step(spark, sf):
+    """The scores of all labels after one step of softmax regression from zero."""
+    d = _vectors(spark, sf)
+    m = classifiers.softmax_regression(d, "v", "label", 1, 0.5)
+    v = F.array("v")
+    scores = F.array(*[F.struct(F.lit(c).alias("label"), (F.aggregate(F.zip_with(v[0], F.lit(w.tolist()), lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y) + float(b)).alias("score")) for c, w, b in zip(m.classes, m.weights, m.bias)])
+    return d.select("vec_id", F.explode(scores).alias("s")).select("vec_id", "s.label", (F.round("s.score", 8) + 0.0).alias("score"))
+
+
+@query()
+def mixture_full(spark, sf):
+    """The shares of three parts with full covariances in all lines, and the trace of each covariance."""
+    d = table(spark, sf, "lineitem").select(F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_extendedprice") / 100_000).alias("v"))
+    (w, _, c), _ = mixtures.full_mixture(d, "v", np.array([[0.2, 0.2, 0.2], [0.5, 0.5, 0.4], [0.8, 0.8, 0.8]]), 5)
+    return spark.createDataFrame([(k, round(float(x), 6), round(float(np.trace(m)), 6)) for k, (x, m) in enumerate(zip(w, c))], "part long, share double, spread double")

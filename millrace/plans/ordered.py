@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ordered
+from ..operators.resample import drawn
 from .registry import query, table
 
 
@@ -63,9 +64,11 @@ _S = {
 }
 
 
-@query("SELECT t::BIGINT AS t, " + ", ".join(f"round(({e})::DOUBLE, 8) AS {n}" for n, e in _S.items()) + " FROM (SELECT unnest(range(0, 100))::DOUBLE AS t)")
+@query("SELECT event_id, t::BIGINT AS t, " + ", ".join(f"round(({e})::DOUBLE, 8) AS {n}" for n, e in _S.items()) + " FROM (SELECT event_id, (event_id % 100)::DOUBLE AS t FROM events)")
 def learning_rates(spark, sf):
-    return spark.range(100).select(F.col("id").alias("t")).select("t", *[F.round(e, 8).alias(n) for n, e in ordered.schedules().items()])
+    """The rates of every event as a step of a hundred."""
+    d = table(spark, sf, "events").select("event_id", (F.col("event_id") % 100).alias("t"))
+    return d.select("event_id", "t", *[F.round(e, 8).alias(n) for n, e in ordered.schedules().items()])
 
 
 _O = {
@@ -91,9 +94,29 @@ def penalties(spark, sf):
     return table(spark, sf, "part").groupBy("p_brand").agg(*[F.round(f(F.col("p_retailprice")), digits[n]).alias(n) for n, f in ordered.PENALTIES.items()])
 
 
-@query("""SELECT t, round(beta, 8) AS beta, round(exp(sum(ln(1 - beta)) OVER o), 8) AS alpha_bar FROM (SELECT unnest(range(0, 1000)) AS t, 0.0001::DOUBLE + unnest(range(0, 1000)) * (0.0199::DOUBLE / 999) AS beta) WINDOW o AS (ORDER BY t)""")
+_N = "('0x' || substr(md5('3:{}:' || event_id), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+@query(f"""WITH s AS (SELECT t, exp(sum(ln(1 - (0.0001::DOUBLE + t * (0.0199::DOUBLE / 999)))) OVER (ORDER BY t)) AS left_over FROM range(0, 1000) AS r(t)),
+e AS (SELECT event_id, value, event_id % 1000 AS t, sqrt(-2 * ln(1 - {_N.format('a')})) * cos(2 * pi() * {_N.format('b')}) AS noise FROM events)
+SELECT event_id, t, round(sqrt(left_over) * value + sqrt(1 - left_over) * noise, 6) AS x FROM e JOIN s USING (t)""")
 def diffusion_schedule(spark, sf):
-    from pyspark.sql import Window
+    """Every event's value after as many steps of a noise schedule as its number says."""
+    noise = F.sqrt(-2 * F.ln(1 - drawn("event_id", 3, "a"))) * F.cos(2 * F.pi() * drawn("event_id", 3, "b"))
+    d = table(spark, sf, "events").select("event_id", (F.col("event_id") % 1000).alias("t"), "value")
+    return d.select("event_id", "t", F.round(ordered.noised(F.col("value"), F.col("t"), noise), 6).alias("x"))
+
+
+_G = "(SELECT vec_id, unnest(embedding)::DOUBLE AS g, generate_subscripts(embedding, 1) AS t FROM embeddings)"
+
 
-    d = spark.range(1000).select(F.col("id").alias("t"), (0.0001 + F.col("id") * (0.0199 / 999)).alias("beta"))
-    return d.select("t", F.round("beta", 8).alias("beta"), F.round(F.exp(F.sum(F.ln(1 - F.col("beta"))).over(Window.orderBy("t"))), 8).alias("alpha_bar"))
+@query(f"""WITH g AS {_G}, m AS (SELECT a.vec_id, a.t, sum(0.1 * 0.9 ** (a.t - b.t) * b.g) AS m, sum(0.001 * 0.999 ** (a.t - b.t) * b.g * b.g) AS v, any_value(a.g) AS g FROM g a JOIN g b ON a.vec_id = b.vec_id AND b.t <= a.t GROUP BY ALL),
+s AS (SELECT *, sum(0.01 * m / (1 - 0.9 ** t) / (sqrt(v / (1 - 0.999 ** t)) + 1e-8)) OVER o AS adam, sum(0.01 * m) OVER o AS momentum, sum(g * g) OVER o AS squares FROM m WINDOW o AS (PARTITION BY vec_id ORDER BY t)),
+a AS (SELECT *, sum(0.01 * g / (sqrt(squares) + 1e-8)) OVER (PARTITION BY vec_id ORDER BY t) AS adagrad FROM s)
+SELECT vec_id, t, round(1 - adam, 6) AS adam, round(1 - momentum, 6) AS momentum, round(1 - adagrad, 6) AS adagrad FROM a""")
+def optimiser_runs(spark, sf):
+    """A weight after every step along a vector's components as gradients, by three optimisers."""
+    g = F.col("embedding").cast("array<double>")
+    d = table(spark, sf, "embeddings").select("vec_id", *[ordered.optimised(F.lit(1.0), g, k).alias(k) for k in ("adam", "momentum", "adagrad")])
+    each = d.select("vec_id", F.posexplode(F.arrays_zip("adam", "momentum", "adagrad")).alias("t", "s"))
+    return each.select("vec_id", (F.col("t") + 1).cast("long").alias("t"), *[F.round(f"s.{k}", 6).alias(k) for k in ("adam", "momentum", "adagrad")])

@@ -45,3 +45,23 @@ def rare_category_weights(spark, sf):
     joined = p.join(freq("p_brand"), "p_brand").join(freq("p_type"), "p_type").crossJoin(total)
     inverse = lambda c: 1 / (F.col(f"_{c}") / F.col("n") + 1e-6)
     return joined.select("p_partkey", F.round((inverse("p_brand") + inverse("p_type")) / 2, 5).alias("weight"))
+
+
+@query("""WITH l AS (SELECT s, CASE WHEN e = 0 THEN m / 8.0 * 2.0 ** -6 ELSE (1 + m / 8.0) * 2.0 ** (e - 7) END * CASE WHEN s = 1 THEN -1 ELSE 1 END AS v, s * 128 + e * 8 + m AS byte FROM range(2) AS a(s), range(16) AS b(e), range(8) AS c(m) WHERE e * 8 + m < 127),
+x AS (SELECT vec_id, k, x, CASE WHEN abs(x) < 2.0 ** -9 THEN 0.0 ELSE x END AS y FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)),
+r AS (SELECT vec_id, k, v, row_number() OVER (PARTITION BY vec_id, k ORDER BY abs(y - v), byte % 2) AS r FROM x JOIN l ON l.s = (x.x < 0)::INT)
+SELECT vec_id, k, round(v, 9) + 0 AS restored FROM r WHERE r = 1""")
+def fp8_bytes(spark, sf):
+    """Every component as a byte of eight bits and back."""
+    d = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "x"))
+    return d.select("vec_id", F.col("k").cast("long").alias("k"), (F.round(Z.fp8_value(Z.fp8_byte(F.col("x"))), 9) + 0.0).alias("restored"))
+
+
+@query()
+def packed_4bit(spark, sf):
+    """The components of every vector as packed codes with scales of a byte, and the largest error after unpacking."""
+    d = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "x"))
+    packed = Z.packed_blocks_4bit(d, "vec_id", "k", "x", 16)
+    back = Z.unpacked_blocks_4bit(packed, "vec_id", "k", 16).join(d, ["vec_id", "k"])
+    sizes = packed.groupBy("vec_id").agg(F.sum(F.length("packed") + 1).alias("bytes"))
+    return back.groupBy("vec_id").agg(F.round(F.max(F.abs(F.col("restored") - F.col("x"))), 9).alias("error")).join(sizes, "vec_id")

@@ -17,11 +17,11 @@ def word_tokens(spark, sf):
 
 
 def _grams(n: int):
-    sql = rf"WITH t AS (SELECT lang, regexp_extract_all(text, '{_W}') AS w FROM documents), g AS (SELECT lang, unnest([array_to_string(w[k:k+{n - 1}], ' ') FOR k IN range(1, len(w) - {n - 2})]) AS gram FROM t) SELECT lang, gram, count(*) AS n FROM g GROUP BY ALL HAVING count(*) > 1"
+    sql = rf"WITH t AS (SELECT lang, regexp_extract_all(text, '{_W}') AS w FROM documents), g AS (SELECT lang, unnest([array_to_string(w[k:k+{n - 1}], ' ') FOR k IN range(1, len(w) - {n - 2})]) AS gram FROM t) SELECT lang, gram, count(*) AS n FROM g GROUP BY ALL"
 
     @query(sql, f"ngram_counts_{n}")
     def run(spark, sf):
-        return T.ngram_counts(table(spark, sf, "documents"), "text", n, ["lang"]).where("n > 1")
+        return T.ngram_counts(table(spark, sf, "documents"), "text", n, ["lang"])
 
 
 for _n in (1, 2, 3):
@@ -64,8 +64,8 @@ def bpe_pair_counts(spark, sf):
 
 @query()
 def bpe_training(spark, sf):
-    """Twenty merges: each is a pass over the word table, so a vocabulary of tens of thousands takes as many passes."""
-    found = T.bpe_merges(table(spark, sf, "documents"), "text", 20)
+    """Sixty merges; a round takes all that are sure to follow one another and changes the words that hold them."""
+    found = T.bpe_merges(table(spark, sf, "documents"), "text", 60)
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(found)], "rank long, a string, b string")
 
 
@@ -89,10 +89,11 @@ def batch_assign(spark, sf):
     return T.batches(table(spark, sf, "events"), "event_id", 32).select("event_id", "batch")
 
 
-@query("""WITH d AS (SELECT doc_id, doc_id // 16 AS batch, list_transform(range(1, doc_id % 7 + 2), lambda k: k * doc_id) AS ids FROM documents), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS most FROM d)
-SELECT doc_id, most AS padded, len(ids) AS length, list_sum(ids)::BIGINT AS total, most - len(ids) AS masked FROM m""")
+@query(rf"""WITH d AS (SELECT doc_id, doc_id // 16 AS batch, [len(w) FOR w IN regexp_extract_all(text, '{_W}')] AS ids FROM documents), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS most FROM d)
+SELECT doc_id, most AS padded, len(ids) AS length, coalesce(list_sum(ids), 0)::BIGINT AS total, most - len(ids) AS masked FROM m""")
 def pad_in_batch(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), F.transform(F.sequence(F.lit(1).cast("long"), F.col("doc_id") % 7 + 1), lambda k: k * F.col("doc_id")).alias("ids"))
+    """The lengths of the words of every text, padded to the longest text of sixteen."""
+    d = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), F.transform(T.tokens(F.col("text")), lambda w: F.length(w).cast("long")).alias("ids"))
     p = T.pad_in_batch(d, "ids")
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return p.select("doc_id", F.size("ids").cast("long").alias("padded"), F.col("length").cast("long").alias("length"), add("ids").alias("total"), (F.size("mask") - add(F.transform("mask", lambda m: m.cast("long")))).alias("masked"))
