@@ -145,7 +145,9 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
-    """(doc_id, tie, fp, component_id) per row of ``docs``; component_id: the smallest id reachable by links.
+    """(doc_id, tie, fp, component, component_id) per row of ``docs``; component_id: the smallest id reachable by links.
+
+    ``component`` tells components apart, which ids do not where one id has several texts.
 
     Texts without words have fingerprint 0 and link like any other.  Rows without an id have a component but
     do not name one (it is null where no row of the component has an id).  Repeated rows are rows of their
@@ -156,8 +158,8 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     graph = components(links(distinct.select("fp"), crowd)).withColumnRenamed("node", "fp")
     grouped = distinct.join(graph, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = cut(grouped.join(named, "component").select("fp", "component_id", "rows"), "fingerprint-components")
-    return with_group(rows, named, "fp", "rows").select("doc_id", "tie", "fp", "component_id")
+    named = cut(grouped.join(named, "component").select("fp", "component", "component_id", "rows"), "fingerprint-components")
+    return with_group(rows, named, "fp", "rows").select("doc_id", "tie", "fp", "component", "component_id")
 
 
 def hex_digits(fp: str = "fp"):
@@ -175,7 +177,7 @@ def keep_one(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Dat
     known = docs.where(F.col(f"`{row_id}`").isNotNull())
     found = near_duplicates(known, row_id, text)
     kept_id, kept_tie = fresh(docs, "kept_id", "kept_tie")
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
     first = cut(first.select(F.col("first.doc_id").alias(kept_id), F.col("first.tie").alias(kept_tie)), "kept-rows")
     own, place = fresh(docs, "own_tie", "place")
     marked = known.withColumn(own, F.xxhash64(F.col(f"`{text}`")))
