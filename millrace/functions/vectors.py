@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     """``f`` of a value that is computed once a row, not once an element."""
     return F.transform(F.array(value), f)[0]
 
@@ -23,7 +23,7 @@ def vmean(a: Column) -> Column:
 
 def vvar(a: Column) -> Column:
     """Population variance of the elements."""
-    return _with(vmean(a), lambda m: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / F.size(a))
+    return bound(vmean(a), lambda m: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / F.size(a))
 
 
 def vstd(a: Column, eps: float = 1e-8) -> Column:
@@ -31,7 +31,7 @@ def vstd(a: Column, eps: float = 1e-8) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return F.aggregate(F.zipbound(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def norm(a: Column, order: float = 2, eps: float = 0.0) -> Column:
@@ -46,12 +46,12 @@ def norm(a: Column, order: float = 2, eps: float = 0.0) -> Column:
 
 
 def l2_normalize(a: Column, eps: float = 1e-8) -> Column:
-    return _with(norm(a) + eps, lambda n: F.transform(a, lambda x: x / n))
+    return bound(norm(a) + eps, lambda n: F.transform(a, lambda x: x / n))
 
 
 def renorm(a: Column, maxnorm: float = 1.0, order: float = 2) -> Column:
     """A vector scaled down to ``maxnorm`` where its norm is larger."""
-    return _with(norm(a, order), lambda n: F.when(n > maxnorm, F.transform(a, lambda x: x * maxnorm / n)).otherwise(a))
+    return bound(norm(a, order), lambda n: F.when(n > maxnorm, F.transform(a, lambda x: x * maxnorm / n)).otherwise(a))
 
 
 def argmax(a: Column) -> Column:
@@ -64,18 +64,18 @@ def argmin(a: Column) -> Column:
 
 
 def logsumexp(a: Column) -> Column:
-    return _with(F.array_max(a), lambda m: m + F.ln(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))))
+    return bound(F.array_max(a), lambda m: m + F.ln(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))))
 
 
 def softmax(a: Column) -> Column:
-    powers = _with(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))
-    return _with(powers, lambda e: _with(vsum(e), lambda total: F.transform(e, lambda x: x / total)))
+    powers = bound(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))
+    return bound(powers, lambda e: bound(vsum(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def log_softmax(a: Column, eps: float = 1e-15) -> Column:
-    shifted = _with(F.array_max(a), lambda m: F.transform(a, lambda x: x - m))
+    shifted = bound(F.array_max(a), lambda m: F.transform(a, lambda x: x - m))
     total = lambda s: F.ln(F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.exp(x) + eps))
-    return _with(shifted, lambda s: _with(total(s), lambda t: F.transform(s, lambda x: x - t)))
+    return bound(shifted, lambda s: bound(total(s), lambda t: F.transform(s, lambda x: x - t)))
 
 
 def cumsum(a: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import bound
+
 #: The sixteen levels of the 4-bit normal-float code (fixed values).
 NF4 = (-1.0, -0.6961928009986877, -0.5250730514526367, -0.39491748809814453, -0.28444138169288635, -0.18477343022823334, -0.09105003625154495, 0.0, 0.07958029955625534, 0.16093020141124725, 0.24611230194568634, 0.33791524171829224, 0.44070982933044434, 0.5626170039176941, 0.7229568362236023, 1.0)
 
@@ -35,28 +37,34 @@ def unpack_4bit(byte: Column) -> tuple[Column, Column]:
 
 def fp8(x: Column) -> Column:
     """The nearest value with a 4-bit exponent and a 3-bit mantissa: at most 448, zero below 2 ** -9, ties to even."""
-    m = F.abs(x)
-    exponent = F.greatest(F.floor(F.log2(F.greatest(m, F.lit(2.0**-20)))), F.lit(-6)).cast("double")
-    step = F.pow(F.lit(2.0), exponent - 3)
-    return F.signum(x) * F.when(m < 2.0**-9, 0.0).otherwise(F.least(F.rint(m / step) * step, F.lit(448.0)))
+
+    def nearest(m: Column) -> Column:
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(m, F.lit(2.0**-20)))), F.lit(-6)).cast("double") - 3)
+        return F.when(m < 2.0**-9, 0.0).otherwise(bound(step, lambda s: F.least(F.rint(m / s) * s, F.lit(448.0))))
+
+    return F.signum(x) * bound(F.abs(x), nearest)
 
 
 def fp8_byte(x: Column) -> Column:
     """The byte of :func:`fp8`: a sign, four bits of exponent (biased by 7) and three of mantissa; NaN and null values are 127."""
-    v = fp8(F.nanvl(x, F.lit(0.0)))
-    m = F.abs(v)
-    exponent = F.greatest(F.floor(F.log2(F.greatest(m, F.lit(2.0**-20)))), F.lit(-6))
-    normal = m >= 2.0**-6
-    mantissa = F.when(normal, m / F.pow(F.lit(2.0), exponent.cast("double")) * 8 - 8).otherwise(m * 512).cast("int")
-    byte = F.when(x < 0, 128).otherwise(0) + F.when(normal, (exponent + 7).cast("int") * 8).otherwise(0) + mantissa
-    return F.when(x.isNull() | F.isnan(x), 127).otherwise(byte).cast("int")
+
+    def byte(m: Column) -> Column:
+        exponent = F.greatest(F.floor(F.log2(F.greatest(m, F.lit(2.0**-20)))), F.lit(-6)).cast("int")
+        return F.when(m >= 2.0**-6, (exponent + 7) * 8 + (m / F.pow(F.lit(2.0), exponent.cast("double")) * 8 - 8).cast("int")).otherwise((m * 512).cast("int"))
+
+    size = bound(F.abs(fp8(F.nanvl(x, F.lit(0.0)))), byte)
+    return F.when(x.isNull() | F.isnan(x), 127).otherwise(F.when(x < 0, 128).otherwise(0) + size).cast("int")
 
 
 def fp8_value(byte: Column) -> Column:
     """The value of a byte of :func:`fp8_byte`; NaN for 127 and 255."""
-    exponent, mantissa = F.shiftright(byte, 3).bitwiseAND(15), byte.bitwiseAND(7)
-    size = F.when(exponent == 0, mantissa / 8.0 * 2.0**-6).otherwise((1 + mantissa / 8.0) * F.pow(F.lit(2.0), (exponent - 7).cast("double")))
-    return F.when(byte.bitwiseAND(127) == 127, float("nan")).otherwise(F.when(byte >= 128, -size).otherwise(size))
+
+    def value(b: Column) -> Column:
+        exponent, mantissa = F.shiftright(b, 3).bitwiseAND(15), b.bitwiseAND(7)
+        size = F.when(exponent == 0, mantissa / 8.0 * 2.0**-6).otherwise((1 + mantissa / 8.0) * F.pow(F.lit(2.0), (exponent - 7).cast("double")))
+        return F.when(b.bitwiseAND(127) == 127, float("nan")).otherwise(F.when(b >= 128, -size).otherwise(size))
+
+    return bound(byte, value)
 
 
 def packed_blocks_4bit(df: DataFrame, by: str, at: str, value: str, block: int = 64) -> DataFrame:
