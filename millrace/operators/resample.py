@@ -123,6 +123,38 @@ def borderline(df: DataFrame, key: str, vector: str, label: str, value, n: int |
     return _between(own.join(edge, "place").select("query", "copy"), minority, key, vector, k, seed, **cells)
 
 
+def category_swapped(df: DataFrame, columns: list[str], label: str, key: str, rows: float = 0.3, share: float = 0.5, seed: int = 0) -> DataFrame:
+    """``df`` with categories of drawn rows taken from another drawn row of the same label, column by column with a chance of ``share``.
+
+    Donors are found by their place among the rows of their label, so a frequent label is no key of its own.
+    """
+    placed = ranked(df, F.xxhash64(F.lit(seed), F.col(key)), F.col(key), by=label)
+    hit = (drawn(key, seed, "row") < rows) & (F.col("rank_all") > 1)
+    asks = F.when(hit, F.least(F.floor(drawn(key, seed, "donor") * F.col("rank_all")) + 1, F.col("rank_all"))).otherwise(F.col("rank"))
+    donors = placed.select(F.col(label).alias("_label"), F.col("rank").alias("_rank"), *[F.col(c).alias(f"_from_{c}") for c in columns])
+    both = placed.withColumn("_asks", asks).withColumn("_hit", hit).join(donors, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_asks") == F.col("_rank")))
+    return both.select(*[F.when(F.col("_hit") & (drawn(key, seed, f"column {c}") < share), F.col(f"_from_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def rare_weights(df: DataFrame, columns: list[str], power: float = 1.0, eps: float = 1e-6, out: str = "weight") -> DataFrame:
+    """``df`` with the mean over ``columns`` of 1 / (how often the row's category occurs) ** power."""
+    held, total = df, F.lit(0.0)
+    for c in columns:
+        counts = df.groupBy(F.col(c).alias(f"_{c}")).agg(F.count(F.lit(1)).alias(f"_n_{c}"))
+        held = held.join(counts, F.col(c).eqNullSafe(F.col(f"_{c}")))
+        total = total + 1 / F.pow(F.col(f"_n_{c}") + eps, F.lit(float(power)))
+    return held.select(*df.columns, (total / len(columns) if columns else F.lit(1.0)).alias(out))
+
+
+def rare_resampled(df: DataFrame, columns: list[str], key: str, n: int | None = None, power: float = 1.0, seed: int = 0) -> DataFrame:
+    """(draw, all columns): n rows (default: as many as there are) drawn with replacement, rare categories more often."""
+    from .sampling import weighted_sample
+
+    weighed = cut(rare_weights(df, columns, power, out="_weight"), "weights")
+    taken = weighted_sample(weighed, key, F.col("_weight"), weighed.count() if n is None else n, seed)
+    return taken.join(df, key).select("draw", *df.columns)
+
+
 def mask_tokens(ids: Column, key: str, share: float, mask: int = 0, seed: int = 0) -> Column:
     """Ids replaced by ``mask`` with a chance of their row and position."""
     return F.transform(ids, lambda x, i: F.when(chance(key, seed, i) < share, F.lit(mask).cast("long")).otherwise(x))

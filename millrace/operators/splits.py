@@ -79,7 +79,7 @@ def shuffle_splits(df: DataFrame, key: str, splits: int, test_share: float, trai
     """
     out = None
     for k in range(splits):
-        turned = ranked(df, key_hash(key, seed * 7919 + k * 104729), F.col(key), by=by)
+        turned = ranked(df, F.xxhash64(F.lit(seed), F.lit(k), F.col(key)), F.col(key), by=by)
         n = F.col("rank_all")
         test = F.least(F.greatest(F.round(n * test_share), F.lit(1)), F.greatest(n - 1, F.lit(1)))
         train = n - test if train_share is None else F.least(F.greatest(F.round(n * train_share), F.lit(1)), n - test)

@@ -8,9 +8,10 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import substrings, word_table
@@ -201,3 +202,76 @@ def unigram_encode(text: Column, logs: dict[str, float], mark: str = "▁") -> C
 
 def unigram_decode(pieces: Column, mark: str = "▁") -> Column:
     return F.trim(F.replace(F.array_join(pieces, ""), F.lit(mark), F.lit(" ")))
+
+
+# vocabularies: ids, special tokens, and a table that holds all of it
+
+#: Special tokens in the order of their ids.
+SPECIAL = ("<pad>", "<unk>", "<bos>", "<eos>")
+
+
+@dataclass
+class Vocabulary:
+    """Tokens by id, special ones first; of a byte-pair vocabulary the merges, of a unigram one the logs."""
+
+    tokens: list[str]
+    special: tuple[str, ...] = SPECIAL
+    merges: list[tuple[str, str]] = field(default_factory=list)
+    logs: dict[str, float] = field(default_factory=dict)
+
+    @classmethod
+    def bpe(cls, merges: list[tuple[str, str]], alphabet: list[str], mark: str = "</w>", special: tuple[str, ...] = SPECIAL) -> Vocabulary:
+        """The mark of a word's end, the characters in order, then what each merge makes."""
+        return cls(list(dict.fromkeys([*special, mark, *sorted(alphabet), *(a + b for a, b in merges)])), special, merges)
+
+    @classmethod
+    def unigram(cls, logs: dict[str, float], mark: str = "▁", special: tuple[str, ...] = SPECIAL) -> Vocabulary:
+        """The mark of a word's beginning, then pieces by falling log (ties to the smaller)."""
+        return cls(list(dict.fromkeys([*special, mark, *sorted(logs, key=lambda p: (-logs[p], p))])), special, [], logs)
+
+    @property
+    def ids(self) -> dict[str, int]:
+        return {t: k for k, t in enumerate(self.tokens)}
+
+    def encode(self, text: Column, bos: bool = False, eos: bool = False) -> Column:
+        """The ids of every whole text, unknown symbols as that of ``<unk>``; null stays null."""
+        symbols = bpe_encode(text, self.merges) if self.merges else unigram_encode(text, self.logs)
+        return self.to_ids(symbols, bos, eos)
+
+    def to_ids(self, symbols: Column, bos: bool = False, eos: bool = False) -> Column:
+        ids = self.ids
+        unknown, first, last = ids["<unk>"], [ids["<bos>"]] if bos else [], [ids["<eos>"]] if eos else []
+
+        def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield pd.Series([None if row is None else first + [ids.get(s, unknown) for s in row] + last for row in batch])
+
+        return F.pandas_udf(look_up, "array<int>")(symbols)
+
+    def decode(self, ids: Column) -> Column:
+        """The text of ids without its special tokens; ids that are no tokens have none."""
+        tokens, special = self.tokens, set(self.special)
+
+        def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield pd.Series([None if row is None else [tokens[k] for k in row if 0 <= k < len(tokens) and tokens[k] not in special] for row in batch])
+
+        symbols = F.pandas_udf(look_up, "array<string>")(ids)
+        return bpe_decode(symbols) if self.merges else unigram_decode(symbols)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One table of (kind, place, a, b, log): what was there before goes."""
+        rows = [("special", k, t, None, None) for k, t in enumerate(self.special)] + [("token", k, t, None, self.logs.get(t)) for k, t in enumerate(self.tokens)]
+        rows += [("merge", k, a, b, None) for k, (a, b) in enumerate(self.merges)]
+        spark.createDataFrame(rows, "kind string, place int, a string, b string, log double").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Vocabulary:
+        rows = sorted(spark.read.parquet(path).collect(), key=lambda r: (r["kind"], r["place"]))  # as many as the vocabulary has tokens
+        of = lambda kind: [r for r in rows if r["kind"] == kind]
+        return cls([r["a"] for r in of("token")], tuple(r["a"] for r in of("special")), [(r["a"], r["b"]) for r in of("merge")], {r["a"]: r["log"] for r in of("token") if r["log"] is not None})
+
+
+def alphabet(words: DataFrame) -> list[str]:
+    """All characters of (word, n), in order."""
+    return sorted(r[0] for r in words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect())

@@ -1,8 +1,8 @@
 """Decision trees, forests and boosting by histograms: one aggregation over the rows a level, for all trees of a forest at once.
 
 Features are cut at quantiles, at most ``bins`` a feature; a feature with fewer values is cut at each.  A level sums weights
-and targets by (tree, node, feature, bin), combined in tasks before anything is shuffled, and picks each node's best cut from
-those sums.  Only cuts and leaves, whose number the depth bounds, come to the driver; a model is an expression
+and targets by (tree, node, feature, bin): every task adds its rows, batch by batch, to one histogram, and only histograms are
+shuffled, however many rows, features and trees there are.  Each node's best cut comes from those sums.  Only cuts and leaves, whose number the depth bounds, come to the driver; a model is an expression
 over the features, so predicting is a projection.
 """
 
@@ -10,12 +10,16 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import matrix
 from .resample import chance
 
 
@@ -62,9 +66,60 @@ def cuts(df: DataFrame, features: list[str], bins: int = 64) -> dict[str, list[f
     return {c: sorted(set(row[c] or [])) for c in features}
 
 
-def _bin(feature: str, edges: list[float]) -> Column:
-    """How many edges lie below a value; 0 for null."""
-    return F.size(F.filter(F.lit(edges), lambda e: e < F.col(feature))) if edges else F.lit(0)
+#: Numbers of a histogram that a task holds at once; more trees are summed in turns of their own.
+CELLS = 1 << 23
+
+
+def _histograms(rows: DataFrame, trees: list[Tree], numbers: list[int], features: list[str], edges: dict[str, list[float]], level: int, targets: int) -> DataFrame:
+    """(tree, node, feature, bin, n, from, to, s0, s1, ...) of the nodes of a level, from (x, y, w): arrays of features, targets and weights.
+
+    In ``x`` null is minus infinity and NaN is infinity, as they order; they are in the first and last bin and bound no cut.
+    """
+    low = 1 << level
+    bounds = [np.array(edges[c], float) for c in features]
+    size = max(len(b) for b in bounds) + 1
+    ways = []
+    for k in numbers:
+        feature, at = np.full(2 * low, -1), np.zeros(2 * low)
+        for n, (name, cut, _) in trees[k].splits.items():
+            if n < low:
+                feature[n], at[n] = features.index(name), cut
+        ways.append((feature, at))
+    shape = (len(numbers), low, len(features), size)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, total = np.zeros(shape), np.zeros((targets, *shape))
+        least, most = np.full(shape, np.inf), np.full(shape, -np.inf)
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y, w = (matrix(batch.column(i)) for i in range(3))
+            bins = np.stack([np.searchsorted(b, x[:, j], "left") for j, b in enumerate(bounds)], 1)
+            known = np.isfinite(x)
+            every = np.arange(len(x))
+            for i, (feature, at) in enumerate(ways):
+                node = np.ones(len(x), np.int64)
+                for _ in range(level):
+                    f = feature[node]
+                    node = np.where(f >= 0, 2 * node + (x[every, np.maximum(f, 0)] > at[node]), node)
+                here = np.flatnonzero((node >= low) & (w[:, i] > 0))
+                for j in range(len(features)):
+                    place = (node[here] - low) * size + bins[here, j]
+                    own = w[here, i]
+                    weight[i, :, j] += np.bincount(place, own, low * size).reshape(low, size)
+                    for t in range(targets):
+                        total[t, i, :, j] += np.bincount(place, own * y[here, t], low * size).reshape(low, size)
+                    real = known[here, j]
+                    ends = least[i, :, j].reshape(-1), most[i, :, j].reshape(-1)
+                    np.minimum.at(ends[0], place[real], x[here[real], j])
+                    np.maximum.at(ends[1], place[real], x[here[real], j])
+                    least[i, :, j], most[i, :, j] = ends[0].reshape(low, size), ends[1].reshape(low, size)
+        t, n, f, b = np.nonzero(weight)
+        finite = lambda v: pa.array(v, mask=~np.isfinite(v))
+        sums = [pa.array(total[k][t, n, f, b]) for k in range(targets)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(numbers, np.int32)[t]), pa.array((n + low).astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(weight[t, n, f, b]), finite(least[t, n, f, b]), finite(most[t, n, f, b]), *sums], names=["tree", "node", "feature", "bin", "n", "from", "to", *[f"s{k}" for k in range(targets)]])
+
+    return rows.mapInArrow(add, "tree int, node int, feature int, bin int, n double, `from` double, `to` double" + "".join(f", s{k} double" for k in range(targets)))
 
 
 def _chosen(tree: int, node: int, features: list[str], share: float, seed: int) -> list[str]:
@@ -84,12 +139,17 @@ def grow(df: DataFrame, features: list[str], targets: list[Column], depth: int =
     trees = [Tree() for _ in weights or [None]]
     rows = df.where(reduce(Column.__and__, [t.isNotNull() for t in targets]))
     sums = [f"s{k}" for k in range(len(targets))]
+    x = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(float("inf"))), F.lit(float("-inf"))) for c in features])
+    y = F.array(*[t.cast("double") for t in targets])
     for level in range(depth + 1):
-        own = F.array(*[F.struct(F.lit(k).alias("tree"), t.node().alias("node"), (weights[k] if weights else F.lit(1.0)).cast("double").alias("w")) for k, t in enumerate(trees)])
-        place = [F.named_struct(F.lit("feature"), F.lit(i), F.lit("bin"), _bin(c, edges[c]), F.lit("x"), F.col(c).cast("double")) for i, c in enumerate(features)]
-        held = rows.select(F.explode(own).alias("own"), F.array(*place).alias("at"), *[t.cast("double").alias(s) for t, s in zip(targets, sums)])
-        held = held.where(f"own.w > 0 AND own.node >= {1 << level}").select("own.*", F.explode("at").alias("at"), *sums).select("tree", "node", "w", "at.*", *sums)
-        cells = held.groupBy("tree", "node", "feature", "bin").agg(F.sum("w").alias("n"), F.min("x").alias("from"), F.max("x").alias("to"), *[F.sum(F.col(s) * F.col("w")).alias(s) for s in sums])
+        cells = None
+        most = max(1, CELLS // ((1 << level) * (max(len(edges[c]) for c in features) + 1) * len(features) * (3 + len(targets))))
+        for first in range(0, len(trees), most):
+            numbers = list(range(first, min(len(trees), first + most)))
+            own = F.array(*[(weights[k] if weights else F.lit(1.0)).cast("double") for k in numbers])
+            part = _histograms(rows.select(x.alias("x"), y.alias("y"), own.alias("w")), trees, numbers, features, edges, level, len(targets))
+            cells = part if cells is None else cells.unionByName(part)
+        cells = cells.groupBy("tree", "node", "feature", "bin").agg(F.sum("n").alias("n"), F.min("from").alias("from"), F.max("to").alias("to"), *[F.sum(s).alias(s) for s in sums])
         group = Window.partitionBy("tree", "node", "feature")
         upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         cells = cells.select("tree", "node", "feature", "bin", F.sum("n").over(upto).alias("nl"), F.sum("n").over(group).alias("na"), ((F.col("to") + F.lead("from").over(group.orderBy("bin"))) / 2).alias("cut"), *[e for s in sums for e in (F.sum(s).over(upto).alias(f"l{s}"), F.sum(s).over(group).alias(f"a{s}"))])
