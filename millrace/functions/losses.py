@@ -29,3 +29,11 @@ def kl_divergence(p: Column, q: Column, eps: float = 1e-15) -> Column:
     """Sum of ``p * ln(p / q)``, both kept at least ``eps``."""
     least = lambda x: F.greatest(x, F.lit(eps))
     return vsum(F.zip_with(p, q, lambda x, y: least(x) * (F.ln(least(x)) - F.ln(least(y)))))
+
+
+def cross_entropy_and_dice(p: Column, y: Column, weight: float = 0.5, eps: float = 1e-7) -> Column:
+    """Of two arrays, chances and 0/1 targets: ``weight`` times their mean binary cross entropy and the rest times one minus their Dice overlap."""
+    inside = F.transform(p, lambda x: F.least(F.greatest(x, F.lit(eps)), F.lit(1 - eps)))
+    each = F.zip_with(inside, y, lambda x, t: -(t * F.ln(x) + (1 - t) * F.ln(1 - x)))
+    common = vsum(F.zip_with(p, y, lambda x, t: x * t))
+    return weight * vsum(each) / F.size(p) + (1 - weight) * (1 - (2 * common + eps) / (vsum(p) + vsum(y) + eps))

@@ -90,3 +90,24 @@ def matched(proposals: DataFrame, truths: DataFrame, img: str, key: str, positiv
     hit = iou >= positive
     state = F.when(hit, "positive").when(iou < negative, "negative").otherwise("ignored")
     return out.select(*[F.col(c) for c in proposals.columns], F.col("_t").alias("truth"), iou.alias("iou"), state.alias("state"), F.when(hit, F.col("_label")).otherwise(0).alias("label"), F.when(hit, encoded(F.col("box"), F.col("box_b"))).alias("delta"))
+
+
+def decoded_cells(df: DataFrame, anchors: list[tuple[float, float]], stride: int, height: int, width: int, values: str = "values") -> DataFrame:
+    """``df`` (anchor, row, column, values) with ``box``, ``score`` and ``classes`` from a head's numbers: two for the centre, two for the size, one for an object, one a class."""
+    v = lambda k: F.element_at(values, k + 1).cast("double")
+    one = lambda x: 1 / (1 + F.exp(-x))
+    side = lambda k, at: F.exp(v(k)) * F.element_at(F.lit([float(a[at]) for a in anchors]), F.col("anchor") + 1)
+    cx, cy = (one(v(0)) + F.col("column")) * stride, (one(v(1)) + F.col("row")) * stride
+    inside = lambda x, most: F.greatest(F.least(x, F.lit(float(most))), F.lit(0.0))
+    whole = box(inside(cx - side(2, 0) / 2, width), inside(cy - side(3, 1) / 2, height), inside(cx + side(2, 0) / 2, width), inside(cy + side(3, 1) / 2, height))
+    classes = F.transform(F.slice(values, F.lit(6), F.greatest(F.size(values) - 5, F.lit(0))), lambda x: one(x.cast("double")))
+    return df.withColumn("box", whole).withColumn("score", one(v(4))).withColumn("classes", classes)
+
+
+def anchor_boxes(images: DataFrame, sizes: list[float], ratios: list[float], stride: int, rows: int, columns: int) -> DataFrame:
+    """``images`` with a row for every anchor: ``row``, ``column``, ``anchor`` and ``box`` of the given sizes and ratios (height to width) about the cells' centres."""
+    shapes = [((s * s / r) ** 0.5, (s * s * r) ** 0.5) for s in sizes for r in ratios]
+    each = images.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).withColumn("anchor", F.explode(F.sequence(F.lit(0), F.lit(len(shapes) - 1))))
+    w, h = (F.element_at(F.lit([s[k] for s in shapes]), F.col("anchor") + 1) for k in (0, 1))
+    x, y = (F.col("column") + 0.5) * stride, (F.col("row") + 0.5) * stride
+    return each.withColumn("box", box(x - w / 2, y - h / 2, x + w / 2, y + h / 2))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.vectors import softmax
 from ..tables import cut
 from .arrow import lists, matrix
+from .ranks import ranked
 
 #: Parts that are merged at once.
 FAN = 32
@@ -125,3 +126,15 @@ def inception_score(df: DataFrame, logits: str, eps: float = 1e-12) -> DataFrame
     own = F.zip_with("p", "logs", lambda x, q: F.when(x > 0, x * (F.ln(x) - q)).otherwise(0.0))
     each = p.crossJoin(F.broadcast(logs)).select(F.aggregate(own, F.lit(0.0), lambda s, x: s + x).alias("d"))
     return each.agg(F.exp(F.avg("d")).alias("score"))
+
+
+def inception_score_splits(df: DataFrame, logits: str, key: str, splits: int = 10, eps: float = 1e-12) -> DataFrame:
+    """One row ``mean``, ``std`` and ``scores``: the score of each of ``splits`` even parts in the order of a numeric key; what is left over does not count."""
+    placed = ranked(df.where(F.col(logits).isNotNull()), F.col(key))
+    part = F.floor((F.col("rank") - 1) / F.floor(F.col("rank_all") / splits)).cast("int")
+    p = placed.withColumn("part", part).where(F.col("part") < splits).select("part", softmax(F.col(logits).cast("array<double>")).alias("p"))
+    mean = p.select("part", F.posexplode("p").alias("k", "x")).groupBy("part", "k").agg(F.avg("x").alias("m"))
+    logs = mean.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: F.ln(s["m"] + eps)).alias("logs"))  # a row a part
+    own = F.zip_with("p", "logs", lambda x, q: F.when(x > 0, x * (F.ln(x) - q)).otherwise(0.0))
+    each = p.join(F.broadcast(logs), "part").select("part", F.aggregate(own, F.lit(0.0), lambda s, x: s + x).alias("d")).groupBy("part").agg(F.exp(F.avg("d")).alias("score"))
+    return each.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.transform(F.array_sort(F.collect_list(F.struct("part", "score"))), lambda s: s["score"]).alias("scores"))

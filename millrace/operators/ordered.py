@@ -88,6 +88,9 @@ def schedules(total: int = 100, base: float = 0.1, low: float = 0.001) -> dict[s
         "tanh_decay": low + (base - low) * 0.5 * (1 - F.tanh(5.0 * (p - 1))),
         "flat": F.when(p < 0.3, F.lit(base)).otherwise(low + (base - low) * 0.5 * (1 + F.cos(pi * (p - 0.3) / 0.7))),
         "slanted": base * (1 + F.when(t < 10, t / 10).otherwise(1 - (t - 10) / (n - 10)) * 31) / 32,
+        "exponential_warmup": F.when(t < 10, base * (F.exp(t / 10) - 1) / (math.e - 1)).otherwise(low + (base - low) * (1 - (t - 10) / (n - 10))),
+        "gradual_warmup": base * F.when(t < 10, 1 + t / 10).otherwise(2.0),
+        "one_cycle": one_cycle(t, total, base),
         "warm_restarts": low + (base - low) * 0.5 * (1 + F.cos(pi * F.pmod(t, F.lit(25.0)) / 25)),
     }
 
@@ -115,10 +118,10 @@ def first_steps(w: Column, g: Column, lr: float = 0.01, beta1: float = 0.9, beta
 def optimised(w: Column, gradients: Column, kind: str = "adam", lr: float = 0.01, beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8, decay: float = 0.01, nu: tuple[float, float] = (0.7, 1.0)) -> Column:
     """The weight after every step of an array of gradients, with the optimiser's moments carried from step to step.
 
-    kind: sgd, momentum, nesterov, adagrad, rmsprop, adadelta, adam, adamw, nadam, radam, lion or qhadam.
+    kind: sgd, momentum, nesterov, adagrad, rmsprop, adadelta, adam, adamw, nadam, radam, lion, qhadam, adabound or adan.
     """
     zero = F.lit(0.0)
-    start = F.struct(w.cast("double").alias("w"), zero.alias("m"), zero.alias("v"), zero.alias("u"), F.lit(1.0).alias("p1"), F.lit(1.0).alias("p2"), zero.alias("t"), F.array().cast("array<double>").alias("out"))
+    start = F.struct(w.cast("double").alias("w"), zero.alias("m"), zero.alias("v"), zero.alias("u"), zero.alias("d"), F.lit(1.0).alias("p1"), F.lit(1.0).alias("p2"), zero.alias("t"), F.array().cast("array<double>").alias("out"))
 
     def step(s: Column, g: Column) -> Column:
         t, p1, p2, u = s["t"] + 1, s["p1"] * beta1, s["p2"] * beta2, s["u"]
@@ -156,10 +159,21 @@ def optimised(w: Column, gradients: Column, kind: str = "adam", lr: float = 0.01
             m = beta2 * s["m"] + (1 - beta2) * g
         elif kind == "qhadam":
             move = lr * ((1 - nu[0]) * g + nu[0] * mh) / (F.sqrt((1 - nu[1]) * g * g + nu[1] * vh) + eps)
+        elif kind == "adabound":
+            low, high = 0.1 * (1 - 1 / (1e-3 * t + 1)), 0.1 * (1 + 1 / (1e-3 * t))
+            move = F.least(F.greatest(lr / (F.sqrt(vh) + eps), low), high) * mh
+        elif kind == "adan":  # u: the last gradient, d: the mean of its changes
+            v = 0.99 * s["v"] + 0.01 * g * g
+            d = 0.92 * s["d"] + 0.08 * (g - s["u"])
+            m = 0.98 * s["m"] + 0.02 * g
+            power = lambda b: 1 - F.pow(F.lit(b), t)
+            move = lr * ((m / power(0.98) + 0.92 * d / power(0.92)) / (F.sqrt(v / power(0.99)) + eps) + decay * s["w"])
+            u = g
         else:
             raise ValueError(f"no optimiser {kind!r}")
+        d = d if kind == "adan" else zero
         after = s["w"] - move
-        return F.struct(after.alias("w"), m.alias("m"), v.alias("v"), u.alias("u"), p1.alias("p1"), p2.alias("p2"), t.alias("t"), F.array_append(s["out"], after).alias("out"))
+        return F.struct(after.alias("w"), m.alias("m"), v.alias("v"), u.alias("u"), d.alias("d"), p1.alias("p1"), p2.alias("p2"), t.alias("t"), F.array_append(s["out"], after).alias("out"))
 
     return F.aggregate(gradients, start, step, lambda s: s["out"])
 

@@ -64,6 +64,13 @@ _S = {
 }
 
 
+_S |= {
+    "exponential_warmup": "CASE WHEN t < 10 THEN 0.1 * (exp(t / 10) - 1) / (exp(1) - 1) ELSE 0.001 + 0.099 * (1 - (t - 10) / 90) END",
+    "gradual_warmup": "0.1 * CASE WHEN t < 10 THEN 1 + t / 10 ELSE 2 END",
+    "one_cycle": "CASE WHEN t <= 29 THEN 0.1 + (0.004 - 0.1) / 2 * (1 + cos(pi() * t / 29)) ELSE 0.0000004 + (0.1 - 0.0000004) / 2 * (1 + cos(pi() * (t - 29) / 70)) END",
+}
+
+
 @query("SELECT event_id, t::BIGINT AS t, " + ", ".join(f"round(({e})::DOUBLE, 8) AS {n}" for n, e in _S.items()) + " FROM (SELECT event_id, (event_id % 100)::DOUBLE AS t FROM events)")
 def learning_rates(spark, sf):
     """The rates of every event as a step of a hundred."""
