@@ -31,7 +31,7 @@ def vstd(a: Column, eps: float = 1e-8) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zipbound(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def norm(a: Column, order: float = 2, eps: float = 0.0) -> Column:
@@ -79,7 +79,9 @@ def log_softmax(a: Column, eps: float = 1e-15) -> Column:
 
 
 def cumsum(a: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(a)), lambda k: vsum(F.slice(a, F.lit(1), k)))
+    """Sums up to each place, carried from place to place."""
+    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(a, start, lambda acc, x: bound(acc["s"] + x, lambda s: F.struct(s.alias("s"), F.array_append(acc["out"], s).alias("out"))), lambda acc: acc["out"])
 
 
 def roll(a: Column, shift: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import bound
 from .resample import chance, normal
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -35,11 +36,17 @@ def swap_words(text: Column, key: str, swaps: int = 1, seed: int = 0) -> Column:
     def step(words: Column, k: Column) -> Column:
         n = F.size(words)
         i, j = F.floor(_at(key, seed, 2, k) * n).cast("int"), F.floor(_at(key, seed, 3, k) * n).cast("int")
-        return F.transform(words, lambda w, p: F.when(p == i, words[j]).when(p == j, words[i]).otherwise(w))
+        return bound(F.struct(F.least(i, j).alias("low"), F.greatest(i, j).alias("high")), lambda at: _exchanged(words, at["low"], at["high"]))
 
     return F.array_join(F.aggregate(F.sequence(F.lit(1), F.lit(swaps)), _words(text), step), " ")
 
 
+def _exchanged(words: Column, low: Column, high: Column) -> Column:
+    """An array with the elements at two places, from 0, exchanged."""
+    parts = F.slice(words, F.lit(1), low), F.array(words[high]), F.slice(words, low + 2, high - low - 1), F.array(words[low]), F.slice(words, high + 2, F.size(words))
+    return F.when(low == high, words).otherwise(F.concat(*parts))
+
+
 def replace_words(text: Column, key: str, synonyms: dict[str, list[str]], share: float = 0.1, seed: int = 0) -> Column:
     """Words that ``synonyms`` lists become one of theirs with a chance of ``share``; the word is looked up in lower case."""
     if not synonyms:
@@ -62,11 +69,13 @@ def insert_words(text: Column, key: str, words: list[str], share: float = 0.1, s
 
 def typos(text: Column, key: str, share: float = 0.02, seed: int = 0) -> Column:
     """Letters become others, doubled or nothing, each third of a chance of ``share``; other characters stay."""
-    letters = F.split(F.lit(LETTERS), "")
+    if share <= 0:
+        return text
+    letters = F.lit(list(LETTERS))
 
     def turned(c: Column, i: Column) -> Column:
         u, other = _at(key, seed, 8, i), letters[F.floor(_at(key, seed, 9, i) * 26).cast("int")]
-        return F.when(~c.rlike(r"\p{L}") | (u >= share), c).when(u < share / 3, other).when(u < 2 * share / 3, F.concat(c, c)).otherwise(F.lit(""))
+        return F.when((u >= share) | ~c.rlike(r"\p{L}"), c).when(u < share / 3, other).when(u < 2 * share / 3, F.concat(c, c)).otherwise(F.lit(""))
 
     return F.array_join(F.transform(F.split(text, ""), turned), "")
 
@@ -98,13 +107,14 @@ def mask_spans(ids: Column, key: str, share: float = 0.15, length: int = 3, mask
 
 def scaled(series: Column, key: str, sigma: float = 0.1, seed: int = 0) -> Column:
     """All values times one draw around 1."""
-    return F.transform(series, lambda x: x * (1 + sigma * normal(key, seed)))
+    return bound(1 + sigma * normal(key, seed), lambda by: F.transform(series, lambda x: x * by))
 
 
 def shifted(series: Column, key: str, most: int, fill: float = 0.0, seed: int = 0) -> Column:
     """The series moved by at most ``most`` steps either way; ``fill`` takes the place of what is not known."""
     by = F.floor(chance(key, seed) * (2 * most + 1)).cast("int") - most
-    return F.transform(F.sequence(F.lit(0), F.size(series) - 1), lambda i: F.coalesce(F.when(i - by >= 0, F.get(series, i - by)), F.lit(fill)))
+    moved = lambda d: F.transform(F.sequence(F.lit(0), F.size(series) - 1), lambda i: F.coalesce(F.when(i - d >= 0, F.get(series, i - d)), F.lit(fill)))
+    return F.when(F.size(series) > 0, bound(by, moved)).otherwise(series)
 
 
 def window(series: Column, key: str, length: int, seed: int = 0) -> Column:
@@ -123,20 +133,19 @@ def permuted(series: Column, key: str, parts: int = 4, seed: int = 0) -> Column:
 def time_masked(series: Column, key: str, length: int, fill: float = 0.0, seed: int = 0) -> Column:
     """``length`` neighbouring values become ``fill``."""
     start = F.floor(chance(key, seed) * (F.greatest(F.size(series) - length, F.lit(0)) + 1))
-    return F.transform(series, lambda x, i: F.when((i >= start) & (i < start + length), F.lit(fill)).otherwise(x))
+    return bound(start, lambda s: F.transform(series, lambda x, i: F.when((i >= s) & (i < s + length), F.lit(fill)).otherwise(x)))
 
 
-def _curve(key: str, seed: int, knots: int, sigma: float, place: Column) -> Column:
-    """A piecewise linear curve around 1 through ``knots`` drawn values, at a place in [0, 1]."""
+def magnitude_warped(series: Column, key: str, sigma: float = 0.2, knots: int = 4, seed: int = 0) -> Column:
+    """Values times a piecewise linear curve around 1 through ``knots`` drawn values, which are drawn once a series."""
     values = F.array(*[1 + sigma * normal(key, seed, 2 * k) for k in range(knots)])
-    low = F.least(F.floor(place * (knots - 1)).cast("int"), F.lit(knots - 2))
-    part = place * (knots - 1) - low
-    return values[low] * (1 - part) + values[low + 1] * part
 
+    def curve(v: Column, place: Column) -> Column:
+        low = F.least(F.floor(place * (knots - 1)).cast("int"), F.lit(knots - 2))
+        part = place * (knots - 1) - low
+        return v[low] * (1 - part) + v[low + 1] * part
 
-def magnitude_warped(series: Column, key: str, sigma: float = 0.2, knots: int = 4, seed: int = 0) -> Column:
-    """Values times a drawn curve."""
-    return F.transform(series, lambda x, i: x * _curve(key, seed, knots, sigma, i / F.greatest(F.size(series) - 1, F.lit(1))))
+    return bound(values, lambda v: F.transform(series, lambda x, i: x * curve(v, i / F.greatest(F.size(series) - 1, F.lit(1)))))
 
 
 def time_warped(series: Column, key: str, strength: float = 0.1, seed: int = 0) -> Column:

@@ -54,7 +54,7 @@ def made_ratings(spark, sf):
 _SPLIT = "string_split(text, ' ')"
 
 
-@query(f"SELECT doc_id, len({_SPLIT})::BIGINT AS n_words, md5(array_to_string(list_sort({_SPLIT}), ' ')) AS sorted_words, true AS dropped_stays, true AS cased_stays, true AS inserted_grows, true AS deleted_shrinks, true AS untouched FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, len({_SPLIT})::BIGINT AS n_words, md5(array_to_string(list_sort({_SPLIT}), ' ')) AS sorted_words, true AS dropped_stays, true AS cased_stays, true AS inserted_grows, true AS deleted_shrinks, true AS typos_stay, true AS marks_stay, true AS synonyms_stay FROM documents WHERE text IS NOT NULL")
 def augmented_texts(spark, sf):
     """What the augmentations of whole texts leave as it was."""
     d = table(spark, sf, "documents").where("text IS NOT NULL")
@@ -67,7 +67,9 @@ def augmented_texts(spark, sf):
         (F.upper(A.random_case(text, "doc_id")) == F.upper(text)).alias("cased_stays"),
         (n(A.insert_words(text, "doc_id", ["so", "then"])) >= n(text)).alias("inserted_grows"),
         (n(A.delete_words(text, "doc_id")) <= n(text)).alias("deleted_shrinks"),
-        ((A.typos(text, "doc_id", 0.0) == text) & (A.punctuation_noise(text, "doc_id", 0.0) == text) & (A.replace_words(text, "doc_id", {"the": ["a"]}, 0.0) == text)).alias("untouched"),
+        (F.regexp_replace(A.typos(text, "doc_id"), r"\p{L}+", "") == F.regexp_replace(text, r"\p{L}+", "")).alias("typos_stay"),
+        (F.translate(A.punctuation_noise(text, "doc_id"), ",.!?; ", "") == F.translate(text, ",.!?; ", "")).alias("marks_stay"),
+        (n(A.replace_words(text, "doc_id", {"the": ["a", "one"], "and": ["or"]}, 0.5)) == n(text)).alias("synonyms_stay"),
     )
 
 
