@@ -96,10 +96,10 @@ def picture_pools(spark, sf):
     return a.join(b, ["vec_id", "y", "x"])
 
 
-@query(f"SELECT vec_id, y * 4 + x AS patch, [v[(y * 2 + k // 2) * 8 + x * 2 + k % 2 + 1] FOR k IN range(4)] AS pixels FROM {_P}, range(4) AS a(y), range(4) AS b(x)")
+@query("SELECT vec_id, y * 4 + x AS patch, " + ", ".join(f"v[(y * 2 + {k // 2}) * 8 + x * 2 + {k % 2 + 1}] AS p{k}" for k in range(4)) + f" FROM {_P}, range(4) AS a(y), range(4) AS b(x)")
 def picture_patches(spark, sf):
     """The sixteen patches of 2 by 2 of every image."""
-    return pixels.patches(_pictures(spark, sf), 2, 2).select("vec_id", F.col("patch").cast("long").alias("patch"), "pixels")
+    return pixels.patches(_pictures(spark, sf), 2, 2).select("vec_id", F.col("patch").cast("long").alias("patch"), *[F.col("pixels")[k].alias(f"p{k}") for k in range(4)])
 
 
 _LINE = "k AS (SELECT d, exp(-d * d / 2.0) / (SELECT sum(exp(-e * e / 2.0)) FROM range(-2, 3) AS s(e)) AS w FROM range(-2, 3) AS r(d))"
