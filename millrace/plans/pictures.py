@@ -156,7 +156,7 @@ q AS (SELECT k, img, x1, y1, x1 + w AS x2, y1 + h AS y2 FROM (SELECT t.k, t.img,
 o AS (SELECT q.img, q.k, t.k AS truth, t.label, greatest(least(q.x2, t.x2) - greatest(q.x1, t.x1), 0) * greatest(least(q.y2, t.y2) - greatest(q.y1, t.y1), 0) AS i, (q.x2 - q.x1) * (q.y2 - q.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) AS s,
       (t.x1 + t.x2 - q.x1 - q.x2) / 2 / (q.x2 - q.x1) AS dx, ln((t.y2 - t.y1) / (q.y2 - q.y1)) AS dh FROM q JOIN t ON t.img = q.img),
 r AS (SELECT *, i / (s - i) AS iou, row_number() OVER (PARTITION BY img, k ORDER BY i / (s - i) DESC, truth) AS r FROM o)
-SELECT img, k, CASE WHEN iou > 0 THEN truth END AS truth, round(iou, 9) AS iou, CASE WHEN iou >= 0.5 THEN 'positive' WHEN iou < 0.3 THEN 'negative' ELSE 'ignored' END AS state, CASE WHEN iou >= 0.5 THEN label ELSE 0 END AS label,
+SELECT img, k, CASE WHEN iou > 0 THEN truth ELSE -1 END AS truth, round(iou, 9) AS iou, CASE WHEN iou >= 0.5 THEN 'positive' WHEN iou < 0.3 THEN 'negative' ELSE 'ignored' END AS state, CASE WHEN iou >= 0.5 THEN label ELSE 0 END AS label,
   CASE WHEN iou >= 0.5 THEN round(dx, 9) + 0 END AS dx, CASE WHEN iou >= 0.5 THEN round(dh, 9) + 0 END AS dh FROM r WHERE r = 1""")
 def proposals_matched(spark, sf):
     """A shifted copy of every object as a proposal, with the object that it overlaps most."""
@@ -167,7 +167,7 @@ def proposals_matched(spark, sf):
     proposals = t.select("img", "k", detection.box(px, py, px + F.col("w") + k % 13, py + F.col("h") + k % 3).alias("box"))
     found = detection.matched(proposals, truths, "img", "k")
     delta = lambda c: (F.round(f"delta.{c}", 9) + 0.0).alias(c)
-    return found.select("img", "k", "truth", F.round("iou", 9).alias("iou"), "state", "label", delta("dx"), delta("dh"))
+    return found.select("img", "k", F.coalesce("truth", F.lit(-1)).alias("truth"), F.round("iou", 9).alias("iou"), "state", "label", delta("dx"), delta("dh"))
 
 
 # record files
