@@ -31,8 +31,8 @@ ROUNDS = 4
 SCALE = 1024
 #: Groups of entries: as many bounds are kept for every part of a vector.
 GROUPS = 16
-#: Integers from here on are refused: squares of differences over 8,192 components just fit 64 bits.
-LARGEST = 1 << 24
+#: Integers from here on are refused; besides, the squared spread of all components of a vector must fit 64 bits.
+LARGEST = 1 << 62
 _STATE = "code binary, bounds binary, error long"
 
 
@@ -189,6 +189,9 @@ def _moved(rows: DataFrame, books: list[np.ndarray], width: int) -> list[np.ndar
 def _compressed(rows: DataFrame, width: int, parts: int, entries: int, rounds: int, groups: int) -> tuple[DataFrame, list[np.ndarray]]:
     """Rows (vec_id, label_key, v) of one width with their codes and errors, and the final codebooks."""
     padded = -(-width // parts) * parts
+    ends = rows.agg(F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high")).first()
+    if width and padded * (ends["high"] - ends["low"]) ** 2 >= 1 << 63:
+        raise ValueError(f"components from {ends['low']} to {ends['high']} are too far apart: sums of their squares leave 64 bits")
     filled = F.concat("v", F.array_repeat(F.lit(0).cast("long"), padded - width))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +235,8 @@ def compress(table: DataFrame, *, row_id: str = "vec_id", vector: str = "embeddi
     Null vectors and those with null or non-finite components go.  Vectors of each length have codebooks of their
     own; a length that does not divide by ``parts`` is filled up with zeros, which no distance sees.  Codebooks
     start from the smallest ids (null last), rows of one id in the order of their bytes; with fewer rows than
-    ``entries`` they have as many entries.  Repeated rows count as often as they occur.  A component so large that
-    sums of squares would not fit 64 bits is an error.  ``label_error`` adds up ``error`` over rows of equal label,
+    ``entries`` they have as many entries.  Repeated rows count as often as they occur.  Vectors may lie anywhere; if
+    components are so far apart that sums of squares would not fit 64 bits, that is an error.  ``label_error`` adds up ``error`` over rows of equal label,
     nulls together.  An empty table gives an empty result; other columns are not looked at.  At most 256 entries.
     """
     if not 1 <= entries <= 256:

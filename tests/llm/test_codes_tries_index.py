@@ -59,6 +59,16 @@ def test_codes_of_empty_tables_and_of_lengths(spark):
     assert found[1]["codebooks_sha256"] != found[3]["codebooks_sha256"]
     with pytest.raises(Exception, match="too large"):
         yinyang.compress(spark.createDataFrame([(1, [1e30] * 4, 1)], empty.schema)).collect()
+    with pytest.raises(ValueError, match="far apart"):
+        yinyang.compress(spark.createDataFrame([(1, [1e7] * 4, 1), (2, [-1e7] * 4, 1)], empty.schema))
+
+
+def test_codes_far_from_the_origin(spark):
+    rng = random.Random(6)
+    rows = [(i, [1e9 + rng.randrange(5) + rng.random() / 8 for _ in range(8)], 1) for i in range(80)]
+    want, _ = plain_codes([(i, v) for i, v, _ in rows], entries=9)
+    found = yinyang.compress(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), entries=9, groups=3).collect()
+    assert sorted((r["vec_id"], r["code"], r["error"]) for r in found) == sorted(want)
 
 
 @pytest.mark.parametrize("spread", [3, 1000, 1 << 23])
