@@ -1,12 +1,13 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 A line (trimmed, lower case) is the set of its character shingles: SHINGLE characters from every position; a
-shorter line is its only shingle.  Its signature is, for each of q * q masks, the least ``hash XOR mask``.
+shorter line is its only shingle.  Its signature is, for each of q * q masks, the least ``hash XOR mask`` of the
+shingles in UTF-16, where a character beyond the first plane counts twice; all else takes whole characters.
 Bands are lines of the affine plane of order q: q values a band, any two bands share at most one value, and so
 many bands come from few values.
 
 Lines are told apart by two hashes of 64 bits, and each distinct line gets a number of its own.  One
-aggregation finds the buckets that several lines share.  Two or three lines are paired at once; in larger
+aggregation finds the buckets that several lines share, and only their members go further.  Two or three lines are paired at once; in larger
 buckets all are compared with one pivot, the most common line, and only buckets whose lines are then still in
 different components need more: small ones are paired, larger ones are dealt out again by the rarest fifth of
 each line's shingles, of which two lines of Jaccard 0.8 must share one.  Pairs whose sketches,
@@ -56,26 +57,28 @@ def planes(order: int = ORDER, classes: int = CLASSES) -> list[list[int]]:
     return [band for group in slopes[:classes] for band in group]
 
 
-def _shingle(code: Column, place: Column, width: int) -> Column:
-    """The shingle at a place of a line in UTF-32, four bytes a character."""
-    return F.substring(code, place * 4 + 1, F.lit(width * 4))
-
-
-def _last(code: Column, width: int) -> Column:
-    """The place of the last shingle of a line in UTF-32."""
-    return F.greatest((F.octet_length(code) / 4).cast("int") - width, F.lit(0))
+def _last(code: Column, width: int, size: int) -> Column:
+    """The place of the last shingle of an encoded line, ``size`` bytes a place."""
+    return F.greatest((F.octet_length(code) / size).cast("int") - width, F.lit(0))
 
 
 def _placed(rows: DataFrame, width: int) -> DataFrame:
-    """``rows`` with ``last`` and, for every STEP places of a shingle in ``code``, a row with the first ``place``."""
-    rows = rows.withColumn("last", _last(F.col("code"), width))
+    """``rows`` with ``last`` and, for every STEP places of a shingle in ``code`` (UTF-16), a row with the first ``place``."""
+    rows = rows.withColumn("last", _last(F.col("code"), width, 2))
     return rows.select("*", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("place"))
 
 
 def shingle_set(line: Column, width: int = SHINGLE) -> Column:
     """The distinct shingles of a line as hashes of 64 bits."""
     held = F.array(F.encode(line, "UTF-32"))  # encoded once, not at every place
-    return F.transform(held, lambda code: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(code, width)), lambda p: F.xxhash64(_shingle(code, p, width)))))[0]
+    begins = lambda code: F.sequence(F.lit(1), _last(code, width, 4) * 4 + 1, F.lit(4))
+    return F.transform(held, lambda code: F.array_distinct(F.transform(begins(code), lambda p: F.xxhash64(F.substring(code, p, F.lit(width * 4))))))[0]
+
+
+def _shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(id, s): the distinct shingles of lines.  Sets are a column before they are exploded, so that the rows come out of
+    generated code; ``explode`` would also put the whole set into a filter for empty ones, of which there are none."""
+    return texts.select("id", shingle_set(F.col("line"), width).alias("of")).select("id", F.explode_outer("of").alias("s"))
 
 
 def numbered_lines(docs: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -106,9 +109,9 @@ def distinct_lines(lines: DataFrame, order: int, width: int, seed: int) -> DataF
     rng = random.Random(seed)
     masks = [rng.getrandbits(32) - (1 << 31) for _ in range(order * order)]
     code = F.col("code")
-    each = lines.select(_key().alias("key"), _check(seed).alias("check"), F.encode("line", "UTF-32").alias("code"))
+    each = lines.select(_key().alias("key"), _check(seed).alias("check"), F.encode("line", "UTF-16BE").alias("code"))
     each = _placed(each, width)
-    hashes = [F.hash(_shingle(code, F.least(F.col("place") + j, F.col("last")), width)).alias(f"h{j}") for j in range(STEP)]
+    hashes = [F.hash(F.substring(code, F.least(F.col("place") + j, F.col("last")) * 2 + 1, F.lit(width * 2))).alias(f"h{j}") for j in range(STEP)]
     each = each.select("key", "check", (F.col("place") == 0).cast("long").alias("one"), *hashes)
     values = [f"v{k}" for k in range(order * order)]
     least = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(STEP)])).alias(v) for v, m in zip(values, masks)]
@@ -135,9 +138,8 @@ def _likely(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
 def _sketches(texts: DataFrame, width: int) -> DataFrame:
     """(id, n, p0, p1, ...): how many shingles a line has, and the parity of how many fall on each of 64 * WORDS places."""
-    each = texts.select("id", F.explode(shingle_set(F.col("line"), width)).alias("s"))
-    bit, word = F.expr("shiftleft(1L, CAST(s & 63 AS INT))"), F.shiftrightunsigned("s", 6).bitwiseAND(F.lit(WORDS - 1))
-    return each.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(WORDS)])
+    each = _shingles(texts, width).select("id", F.expr("shiftleft(1L, CAST(s & 63 AS INT))").alias("bit"), F.shiftrightunsigned("s", 6).bitwiseAND(F.lit(WORDS - 1)).alias("word"))
+    return each.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(WORDS)])
 
 
 def _may_link(left: str, right: str, threshold: float) -> Column:
@@ -153,21 +155,24 @@ def _sided(sketches: DataFrame, side: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(a, b): the distinct pairs of ids whose whole shingle sets reach the Jaccard similarity ``threshold``."""
+    """(a, b): the distinct pairs of ids whose whole shingle sets reach the Jaccard similarity ``threshold``.
+
+    The sizes are written before they are compared: as part of the join's condition each set would be made twice.
+    """
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     both = both.select("a", "b", shingle_set(F.col("line_a"), width).alias("of_a"), shingle_set(F.col("line_b"), width).alias("of_b"))
     common, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    both = both.select("a", "b", common.alias("common"), total.alias("total"))
+    both = cut(both.select("a", "b", common.alias("common"), total.alias("total")), "line-common")
     return both.where((1 + threshold) * F.col("common") >= threshold * F.col("total") - 1e-6).select("a", "b")
 
 
 def _near(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(a, b), written: the links among distinct pairs."""
+    """(a, b): the links among distinct pairs."""
     held = pairs.join(_sided(sketches, "a").hint("merge"), "a").join(_sided(sketches, "b").hint("merge"), "b")
     held = cut(held.where(_may_link("a_", "b_", threshold)).select("a", "b"), "line-candidates")
-    return cut(_verified(held, texts, width, threshold), "line-links")
+    return _verified(held, texts, width, threshold)
 
 
 def _split(members: DataFrame, graph: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -209,8 +214,7 @@ def _by_rare_shingles(ids: DataFrame, texts: DataFrame, sketches: DataFrame, wid
     first ``n - ceil(t * n) + 1`` of each, so no link is lost.  Shingles of one line only come first in this
     order and are counted, not listed.
     """
-    each = ids.join(texts, "id").select("id", F.explode(shingle_set(F.col("line"), width)).alias("s"))
-    each = cut(each, "line-shingles")
+    each = cut(_shingles(ids.join(texts, "id"), width), "line-shingles")
     holders = each.groupBy("s").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
     mine = Window.partitionBy("id")
     ranked = each.join(holders, "s").withColumn("shared", F.count(F.lit(1)).over(mine)).withColumn("place", F.row_number().over(mine.orderBy("holders", "s")))
@@ -218,29 +222,32 @@ def _by_rare_shingles(ids: DataFrame, texts: DataFrame, sketches: DataFrame, wid
     return ranked.where(F.col("place") <= F.col("shared") - F.ceil(F.col("n") * threshold - 1e-6) + 1).select(F.col("s").alias("bucket"), "id")
 
 
-def grouped(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width: int, threshold: float, crowd: int = CROWD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(node, component) of the linked lines' ids, and (id, key, check) of the lines in shared buckets.
-
-    Lines are linked if they share a bucket, or a rare shingle where buckets are large, and their Jaccard
-    similarity reaches ``threshold``.
-    """
+def _met(distinct: DataFrame, bands: list[list[int]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (bucket, pivot, id) of the crowded buckets, the first pairs (a, b) to compare, and (id, key, check, k0, ...) of their lines."""
     keys = [F.xxhash64(F.lit(n), *[F.col(f"v{k}") for k in band]) for n, band in enumerate(bands)]
     banded = distinct.select("id", F.explode(F.array(*keys)).alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("all")).where("size > 1")
-    shared = cut(shared, "line-buckets")
+    shared = cut(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"), "line-shared")
+    held = cut(_likely(banded, shared, "bucket").join(shared.hint("merge"), "bucket"), "line-held")
+    sizes = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("all"))
+    sizes = cut(sizes, "line-buckets")
     middle = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     low, high = F.col("low"), F.col("high")
     three = F.when(F.col("size") == 3, F.array(pair(low, high), pair(low, middle), pair(middle, high))).otherwise(F.array(pair(low, high)))
-    direct = shared.where("size <= 3").select(F.explode(three).alias("p")).select("p.a", "p.b")
-    crowded = shared.where("size > 3").select("bucket", F.col("low").alias("pivot"))
-    members = cut(_likely(banded, crowded, "bucket").join(crowded.hint("merge"), "bucket").select("bucket", "pivot", "id"), "line-members")
+    direct = sizes.where("size <= 3").select(F.explode(three).alias("p")).select("p.a", "p.b")
+    crowded = sizes.where("size > 3").select("bucket", F.col("low").alias("pivot"))
+    members = cut(held.join(crowded.hint("merge"), "bucket").select("bucket", "pivot", "id"), "line-members")
+    discard(held)
     pairs = cut(direct.unionByName(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))).distinct(), "line-pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    named = cut(_likely(distinct.select("id", "key", "check", *[k.alias(f"k{n}") for n, k in enumerate(keys)]), cut(ids, "line-ids"), "id").join(ids, "id", "left_semi"), "line-names")
-    texts = _likely(lines.select(_key().alias("key"), "line"), named, "key").select("key", _check(seed).alias("check"), "line").distinct()
-    texts = cut(texts.join(named.select("id", "key", "check").hint("merge"), ["key", "check"]).select("id", "line"), "line-texts")
+    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "line-ids")
+    named = _likely(distinct.select("id", "key", "check", *[k.alias(f"k{n}") for n, k in enumerate(keys)]), ids, "id")
+    named = cut(named.join(ids.hint("merge"), "id"), "line-names")  # a semi-join would be put before the set of bits
+    return members, pairs, named
 
+
+def _linked(members: DataFrame, pairs: DataFrame, named: DataFrame, lines: DataFrame, bands: list[list[int]], width: int, threshold: float, crowd: int) -> DataFrame:
+    """(node, component) of the linked lines' ids; ``lines`` (key, check, line) holds the text of each line of ``named``, once or more."""
+    texts = cut(lines.distinct().join(named.select("id", "key", "check").hint("merge"), ["key", "check"]).select("id", "line"), "line-texts")
     sketches = cut(_sketches(texts, width).join(named.drop("key", "check"), "id"), "line-sketches")
     graph = cut(components(_near(pairs, texts, sketches, width, threshold)), "line-components")
     rest = _split(members, graph, sketches)
@@ -253,7 +260,18 @@ def grouped(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width
         groups = groups.unionByName(dealt.join(many, "id").select("bucket", F.lit(None).cast("long").alias("low"), *lines_of))
     graph = _widened(graph, _near(_paired(groups, len(bands), threshold), texts, sketches, width, threshold))
     discard(texts)
-    return graph, named
+    return graph
+
+
+def grouped(distinct: DataFrame, lines: DataFrame, bands: list[list[int]], width: int, threshold: float, crowd: int = CROWD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of the linked lines' ids, and (id, key, check) of the lines in shared buckets.
+
+    Lines are linked if they share a bucket, or a rare shingle where buckets are large, and their Jaccard
+    similarity reaches ``threshold``.
+    """
+    members, pairs, named = _met(distinct, bands)
+    texts = _likely(lines.select(_key().alias("key"), "line"), named, "key").select("key", _check(seed).alias("check"), "line")
+    return _linked(members, pairs, named, texts, bands, width, threshold, crowd), named
 
 
 def repeated_lines(
@@ -275,12 +293,15 @@ def repeated_lines(
     """
     lines = numbered_lines(docs, row_id, text)
     distinct = distinct_lines(lines, order, width, seed)
-    graph, named = grouped(distinct, lines, planes(order, classes), width, threshold, crowd, seed)
-    graph = cut(graph.withColumnRenamed("node", "id").join(named.select("id", "key", "check"), "id").select("key", "check", "component"), "line-graph")
-    several = cut(distinct.where("n > 1").select("key").unionByName(graph.select("key")).distinct(), "line-several")
+    bands = planes(order, classes)
+    members, pairs, named = _met(distinct, bands)
+    several = cut(distinct.where("n > 1").select("key").unionByName(named.select("key")).distinct(), "line-several")
     discard(distinct)
+    # one more pass over the texts finds the lines to compare and the places of all that may go
     placed = _likely(lines.select("doc_id", "text_key", "line_no", "line", _key().alias("key")), several, "key")
-    placed = cut(placed.select("doc_id", "text_key", "line_no", "key", _check(seed).alias("check")), "line-places")
+    placed = cut(placed.select("doc_id", "text_key", "line_no", "key", _check(seed).alias("check"), "line"), "line-places")
+    graph = _linked(members, pairs, named, _likely(placed.select("key", "check", "line"), named, "key"), bands, width, threshold, crowd)
+    graph = cut(graph.withColumnRenamed("node", "id").join(named.select("id", "key", "check"), "id").select("key", "check", "component"), "line-graph")
     # the first place of each line, then of each component: no join meets all places of a common line
     first = placed.groupBy("key", "check").agg(F.min(F.struct("doc_id", "line_no", "text_key")).alias("head"))
     first = cut(first.join(graph, ["key", "check"], "left").select("component", "head"), "line-firsts")

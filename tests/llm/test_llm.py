@@ -266,6 +266,22 @@ def test_crowded_buckets_against_brute_force(spark):
     check_components(spark, list(dict.fromkeys(lines)), crowd=5)
 
 
+def test_shingle_sets_are_made_once_and_rows_kept_out_of_shuffles(spark, monkeypatch):
+    plans, cut = [], linedup.cut
+    monkeypatch.setattr(linedup, "cut", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df, name))
+    rng = random.Random(31)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for g in range(60):
+        line = " ".join(word(6) for _ in range(15))
+        lines += [line, line[:40] + "#" + line[41:], line + " \U0001f600"]
+    check_components(spark, lines)
+    nodes = [node.lstrip(" :+-") for plan in plans for node in plan.split("\n")]
+    assert any("lambdafunction" in node for node in nodes)
+    assert not [node for node in nodes if "lambdafunction" in node and not node.startswith("Project")]  # neither conditions nor generators make sets
+    assert not [node for node in nodes if node.startswith("Join LeftSemi")]  # it would be put before the broadcast bits
+
+
 def test_line_dedup_of_documents_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = sorted((r["doc_id"], k, line.lower().strip(linedup.BLANK)) for r in docs.collect() for k, line in enumerate((r["text"] or "").split("\n")))
