@@ -38,8 +38,8 @@ SEED = 7
 CROWD = 2_000
 #: Words of 64 bits of a line's sketch.
 WORDS = 16
-#: Shingles hashed for each exploded row of the signature pass.
-STEP = 8
+#: Shingles hashed for each exploded row of the signature pass, and before rows are exploded.
+STEP, HEAD = 16, 8
 #: What is cut from the ends of a line.
 BLANK = " \t\r\x0b\f"
 #: Largest size of the bit sets that keep rows out of shuffles, as a power of two.
@@ -62,17 +62,29 @@ def _last(code: Column, width: int, size: int) -> Column:
     return F.greatest((F.octet_length(code) / size).cast("int") - width, F.lit(0))
 
 
-def _placed(rows: DataFrame, width: int) -> DataFrame:
-    """``rows`` with ``last`` and, for every STEP places of a shingle in ``code`` (UTF-16), a row with the first ``place``."""
-    rows = rows.withColumn("last", _last(F.col("code"), width, 2))
-    return rows.select("*", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("place"))
+def _hash_at(place: str, width: int) -> Column:
+    """The hash of the shingle of ``code`` (UTF-16) at ``place``, or of the last one if that comes first.
 
+    Bits and IF stand for sums and the least of two, which generated code keeps in fields and checks for overflow.
+    """
+    return F.hash(F.substring("code", F.expr(f"shiftleft(IF({place} < last, {place}, last), 1) | 1"), F.lit(width * 2)))
 
-def shingle_set(line: Column, width: int = SHINGLE) -> Column:
-    """The distinct shingles of a line as hashes of 64 bits."""
+
+def _least(masks: list[int], count: int, *before: str) -> list[Column]:
+    """For each mask the least ``hash XOR mask`` of h0, h1, ..., and of what the columns ``before`` the mask's number hold."""
+    return [F.least(*[F.col(f"{c}{k}") for c in before], *[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(count)]) for k, m in enumerate(masks)]
+
+
+def _hashes(line: Column, width: int) -> Column:
+    """The shingles of a line from every place, repeated ones too, as hashes of 64 bits."""
     held = F.array(F.encode(line, "UTF-32"))  # encoded once, not at every place
     begins = lambda code: F.sequence(F.lit(1), _last(code, width, 4) * 4 + 1, F.lit(4))
-    return F.transform(held, lambda code: F.array_distinct(F.transform(begins(code), lambda p: F.xxhash64(F.substring(code, p, F.lit(width * 4))))))[0]
+    return F.transform(held, lambda code: F.transform(begins(code), lambda p: F.xxhash64(F.substring(code, p, F.lit(width * 4)))))[0]
+
+
+def shingle_set(line: Column, width: int = SHINGLE) -> Column:
+    """The distinct shingles of a line as hashes of 64 bits."""
+    return F.array_distinct(_hashes(line, width))
 
 
 def _shingles(texts: DataFrame, width: int) -> DataFrame:
@@ -108,16 +120,18 @@ def distinct_lines(lines: DataFrame, order: int, width: int, seed: int) -> DataF
     """
     rng = random.Random(seed)
     masks = [rng.getrandbits(32) - (1 << 31) for _ in range(order * order)]
-    code = F.col("code")
     each = lines.select(_key().alias("key"), _check(seed).alias("check"), F.encode("line", "UTF-16BE").alias("code"))
-    each = _placed(each, width)
-    hashes = [F.hash(F.substring(code, F.least(F.col("place") + j, F.col("last")) * 2 + 1, F.lit(width * 2))).alias(f"h{j}") for j in range(STEP)]
-    each = each.select("key", "check", (F.col("place") == 0).cast("long").alias("one"), *hashes)
+    each = each.withColumn("last", _last(F.col("code"), width, 2))
+    # the least of the first HEAD shingles goes before all others, which are then seldom less: branches that are foreseen cost little
+    each = each.select("*", *[_hash_at(str(j), width).alias(f"h{j}") for j in range(HEAD)])
+    each = each.select("key", "check", "code", "last", *[v.alias(f"t{k}") for k, v in enumerate(_least(masks, HEAD))])
+    each = each.select("*", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("place"))
+    each = each.select("*", *[_hash_at(f"(place | {j})", width).alias(f"h{j}") for j in range(STEP)])
     values = [f"v{k}" for k in range(order * order)]
-    least = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(STEP)])).alias(v) for v, m in zip(values, masks)]
+    least = [F.min(v).alias(name) for name, v in zip(values, _least(masks, STEP, "t"))]
     often = F.least(F.floor(F.log2(F.col("n").cast("double"))), F.lit(31)).cast("int")
     number = F.shiftleft((F.lit(31) - often).cast("long"), 58).bitwiseOR(F.monotonically_increasing_id())
-    found = each.groupBy("key", "check").agg(F.sum("one").alias("n"), *least)
+    found = each.groupBy("key", "check").agg(F.sum((F.col("place") == 0).cast("long")).alias("n"), *least)
     return cut(found.select(number.alias("id"), "key", "check", "n", *values), "line-distinct")
 
 
@@ -155,24 +169,24 @@ def _sided(sketches: DataFrame, side: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(a, b): the distinct pairs of ids whose whole shingle sets reach the Jaccard similarity ``threshold``.
+    """(a, b): the distinct pairs of ids, with ``total`` shingles in both sets, whose sets reach the Jaccard similarity ``threshold``.
 
-    The sizes are written before they are compared: as part of the join's condition each set would be made twice.
+    What the sets share is distinct by itself.  Its size is written before it is compared: as part of the join's
+    condition it would be made twice.
     """
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    both = both.select("a", "b", shingle_set(F.col("line_a"), width).alias("of_a"), shingle_set(F.col("line_b"), width).alias("of_b"))
-    common, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    both = cut(both.select("a", "b", common.alias("common"), total.alias("total")), "line-common")
+    both = both.select("a", "b", "total", _hashes(F.col("line_a"), width).alias("of_a"), _hashes(F.col("line_b"), width).alias("of_b"))
+    both = cut(both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("common"), "total"), "line-common")
     return both.where((1 + threshold) * F.col("common") >= threshold * F.col("total") - 1e-6).select("a", "b")
 
 
 def _near(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, width: int, threshold: float) -> DataFrame:
     """(a, b): the links among distinct pairs."""
     held = pairs.join(_sided(sketches, "a").hint("merge"), "a").join(_sided(sketches, "b").hint("merge"), "b")
-    held = cut(held.where(_may_link("a_", "b_", threshold)).select("a", "b"), "line-candidates")
-    return _verified(held, texts, width, threshold)
+    held = held.where(_may_link("a_", "b_", threshold)).select("a", "b", (F.col("a_n") + F.col("b_n")).alias("total"))
+    return _verified(cut(held, "line-candidates"), texts, width, threshold)
 
 
 def _split(members: DataFrame, graph: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -247,7 +261,7 @@ def _met(distinct: DataFrame, bands: list[list[int]]) -> tuple[DataFrame, DataFr
 
 def _linked(members: DataFrame, pairs: DataFrame, named: DataFrame, lines: DataFrame, bands: list[list[int]], width: int, threshold: float, crowd: int) -> DataFrame:
     """(node, component) of the linked lines' ids; ``lines`` (key, check, line) holds the text of each line of ``named``, once or more."""
-    texts = cut(lines.distinct().join(named.select("id", "key", "check").hint("merge"), ["key", "check"]).select("id", "line"), "line-texts")
+    texts = cut(lines.dropDuplicates(["key", "check"]).join(named.select("id", "key", "check").hint("merge"), ["key", "check"]).select("id", "line"), "line-texts")
     sketches = cut(_sketches(texts, width).join(named.drop("key", "check"), "id"), "line-sketches")
     graph = cut(components(_near(pairs, texts, sketches, width, threshold)), "line-components")
     rest = _split(members, graph, sketches)

@@ -282,6 +282,34 @@ def test_shingle_sets_are_made_once_and_rows_kept_out_of_shuffles(spark, monkeyp
     assert not [node for node in nodes if node.startswith("Join LeftSemi")]  # it would be put before the broadcast bits
 
 
+def test_signatures_start_from_the_first_shingles_and_lines_are_dealt_once(spark, monkeypatch):
+    rng = random.Random(37)
+    text = lambda n: "".join(rng.choice("abcdefgh \u00e9\u4e16") for _ in range(n))
+    lines = list(dict.fromkeys(text(n) for n in [*range(1, 50), 63, 64, 65, 71, 72, 200])) + ["-" * 300, "\U0001f600" * 9]
+    lines = [t for t in lines if t == t.strip()]
+    frame = spark.createDataFrame([(t,) for t in lines + lines[:5]], "line string")
+    plans, cut = {}, linedup.cut
+    monkeypatch.setattr(linedup, "cut", lambda df, name: plans.__setitem__(name, df._jdf.queryExecution().toString()) or cut(df, name))
+    found = {r["key"]: r for r in linedup.distinct_lines(frame, linedup.ORDER, linedup.SHINGLE, linedup.SEED).collect()}
+    masks = random.Random(linedup.SEED)
+    masks = [masks.getrandbits(32) - (1 << 31) for _ in range(linedup.ORDER**2)]
+    units = [(t, t.encode("utf-16-be")) for t in lines]
+    pieces = [(t, u[i : i + 16]) for t, u in units for i in range(0, max(len(u) - 15, 1), 2)]
+    each = spark.createDataFrame(pieces, "line string, piece binary").select("line", F.hash("piece").alias("h"))
+    plain = each.groupBy(F.xxhash64("line").alias("key"), "line").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"v{k}") for k, m in enumerate(masks)]).collect()
+    assert len(plain) == len(found) == len(lines)
+    assert all(found[r["key"]][f"v{k}"] == r[f"v{k}"] for r in plain for k in range(len(masks)))
+    assert all(found[r["key"]]["n"] == 1 + (r["line"] in lines[:5]) for r in plain)
+    assert all(f"least(t{k}#" in plans["line-distinct"] for k in range(len(masks)))  # not the least of each row anew
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20)]
+    check = [" ".join(words[:k] + ["other"] + words[k:]) for k in range(20)]
+    frame = spark.createDataFrame([(t,) for t in check], "line string")
+    linedup.grouped(linedup.distinct_lines(frame, linedup.ORDER, linedup.SHINGLE, linedup.SEED), frame, linedup.planes(), linedup.SHINGLE, linedup.THRESHOLD)
+    assert "array_intersect" in plans["line-common"] and "array_distinct" not in plans["line-common"]
+    first = plans["line-texts"].split("== Physical Plan ==")[1]
+    assert not [x for x in first.split("\n") if "Exchange hashpartitioning" in x and "line#" in x.split("hashpartitioning")[1].split(")")[0]]  # no shuffle by whole lines
+
+
 def test_line_dedup_of_documents_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = sorted((r["doc_id"], k, line.lower().strip(linedup.BLANK)) for r in docs.collect() for k, line in enumerate((r["text"] or "").split("\n")))
